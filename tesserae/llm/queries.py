@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import chat_format, url_filter
+from tesserae.llm import chat_format, decontaminate, url_filter
 from tesserae.llm.common import table
 from tesserae.llm.oracles import ORACLES as ORACLES
 
@@ -22,6 +22,18 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), RULES)
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hit = decontaminate.match_documents(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return hit.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -44,5 +56,6 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op7_chat_formatting": op7_chat_formatting,
 }
