@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import chat_format, decontaminate, url_filter
+from tesserae.llm import chat_format, decontaminate, pieces, url_filter
 from tesserae.llm.common import table
 from tesserae.llm.oracles import ORACLES as ORACLES
 
@@ -34,6 +34,14 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+#: The model file of the tokenizer; a path, as vocabularies aren't part of the repository.
+SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(spark, table(spark, sf_dir, "documents"), SENTENCEPIECE_MODEL).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip", "parity")
+
+
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -57,5 +65,6 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_sentencepiece": op5_sentencepiece,
     "op7_chat_formatting": op7_chat_formatting,
 }
