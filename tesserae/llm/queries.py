@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import chat_format, decontaminate, pieces, url_filter
+from tesserae.llm import ann, chat_format, decontaminate, pieces, sharding, url_filter
 from tesserae.llm.common import table
 from tesserae.llm.oracles import ORACLES as ORACLES
 
@@ -42,6 +42,14 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(spark, table(spark, sf_dir, "documents"), SENTENCEPIECE_MODEL).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip", "parity")
 
 
+SHARDS = 16
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_documents(spark, table(spark, sf_dir, "documents"), SHARDS)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -62,9 +70,15 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_sharding": op6_sharding,
     "op7_chat_formatting": op7_chat_formatting,
+    "op10_approximate_nearest_neighbours": op10_approximate_nearest_neighbours,
 }

@@ -17,7 +17,7 @@ def test_parity_and_round_trip(spark):
     lib = sentencepiece.SentencePieceProcessor(model_file=PATH)
     assert got == sorted((i, lib.encode(t), True, True) for i, t, _ in rows if t is not None)
     back = {r.doc_id: r.text for r in pieces.decode(spark, out, PATH).collect()}
-    assert back == {i: t for i, t, _ in rows}
+    assert back == {i: t and t.replace("▁", " ") for i, t, _ in rows}  # the model itself reads a marker as a space
     assert pieces.encode(spark, df.limit(0), PATH).count() == 0
 
 
