@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import ann, chat_format, decontaminate, language_id, pieces, sharding, url_filter
+from tesserae.llm import ann, chat_format, decontaminate, jaccard_join, language_id, pieces, sharding, url_filter
 from tesserae.llm.common import table
 from tesserae.llm.oracles import ORACLES as ORACLES
 
@@ -26,6 +26,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(spark, table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(spark, table(spark, sf_dir, "documents"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = decontaminate.match_documents(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return hit.select(
@@ -81,6 +85,7 @@ def op10_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> Dat
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_language_id": op2_language_id,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_sharding": op6_sharding,
