@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import ann, chat_format, decontaminate, jaccard_join, language_id, pieces, sharding, url_filter
+from tesserae.llm import ann, chat_format, decontaminate, jaccard_join, language_id, pieces, pii, sharding, url_filter
 from tesserae.llm.common import table
 from tesserae.llm.oracles import ORACLES as ORACLES
 
@@ -78,6 +78,14 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: In production the key comes from a secret store; results have to be the same from run to run here.
+PII_KEY = "surrogates for the registered query"
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replacements(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op10_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -90,5 +98,6 @@ QUERIES = {
     "op5_sentencepiece": op5_sentencepiece,
     "op6_sharding": op6_sharding,
     "op7_chat_formatting": op7_chat_formatting,
+    "op8_pii": op8_pii,
     "op10_approximate_nearest_neighbours": op10_approximate_nearest_neighbours,
 }

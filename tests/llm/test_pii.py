@@ -1,0 +1,73 @@
+import ipaddress
+import re
+
+from tesserae.llm import pii
+
+KEY = "test key"
+
+
+def luhn(d):
+    return sum((x if i % 2 == 0 else (x * 2 - 9 if x > 4 else x * 2)) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
+
+
+def run(spark, texts, key=KEY):
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, _text string, _entities int")
+    out = pii.anonymise(df, key)
+    assert out.columns == df.columns
+    return [r.text for r in out.orderBy("doc_id").collect()]
+
+
+def test_types_keep_their_form(spark):
+    texts = [
+        "mail the.72@mail3.example.com### now",
+        "MAIL THE.72@MAIL3.EXAMPLE.COM now",
+        "at 169.122.221.182 and 169.122.221.183!! or 126.40.69.100.",
+        "call +1 (499) 555-6503%%% or +1 (499) 555-6504",
+        "card 4532015112830366, not right 4952935900253052, spaced 4532 0151 1283 0366",
+        'token = "1eb9c654e721b4f812088970e66a6345cee33dd6"### TOKEN = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"',
+        "ssn 078-05-1120 ok",
+        "Mrs. Smith met Mr Jones; Mrs. Smith left. MR JONES stayed",
+        "clean text, 12 apples, 1.2.3 and 2024-01-02",
+        "",
+        None,
+        "the.72@mail3.example.com",
+    ]
+    out = run(spark, texts)
+    assert out[8:11] == texts[8:11]
+    mail = re.fullmatch(r"mail (\S+@\S+\.com)### now", out[0])[1]
+    assert mail != "the.72@mail3.example.com" and re.fullmatch(r"[a-z]{3}\.\d\d@[a-z]{4}\d\.[a-z]{7}\.com", mail)
+    assert out[1] == f"MAIL {mail.upper()} now" and out[11] == mail
+    ips = re.findall(r"\d+\.\d+\.\d+\.\d+", out[2])
+    assert len(set(ips)) == 3 and all(ipaddress.ip_address(i) for i in ips) and not set(ips) & set(re.findall(r"\d+\.\d+\.\d+\.\d+", texts[2]))
+    a, b = re.fullmatch(r"call (\+1 \(\d{3}\) \d{3}-\d{4})%%% or (\+1 \(\d{3}\) \d{3}-\d{4})", out[3]).groups()
+    assert a != b and a not in texts[3] and b not in texts[3]
+    good, bad, spaced = re.fullmatch(r"card (\d{16}), not right (\d{16}), spaced (\d{4} \d{4} \d{4} \d{4})", out[4]).groups()
+    assert luhn(good) and spaced.replace(" ", "") == good and good != "4532015112830366" and bad != "4952935900253052"
+    assert re.fullmatch(r'token = "[0-9a-f]{40}"### TOKEN = "[0-9A-F]{40}"', out[5]) and out[5] != texts[5]
+    assert re.fullmatch(r"ssn \d{3}-\d\d-\d{4} ok", out[6]) and out[6] != texts[6]
+    x, y, z, u = re.fullmatch(r"Mrs\. (\S+) met Mr (\S+); Mrs\. (\S+) left\. MR (\S+) stayed", out[7]).groups()
+    assert x == z and y.upper() == u and x != y and x.split("-")[0] in pii.FEMALE and y.split("-")[0] in pii.MALE
+    assert run(spark, texts) == out and run(spark, texts, "other")[0] != out[0]
+
+
+def test_permutations_have_no_collisions(spark):
+    rows = [(f"{i:03d}",) for i in range(1000)]
+    df = spark.createDataFrame(rows, "d string").select(pii.permuted_digits(pii.F.col("d"), KEY, "t").alias("p"))
+    assert sorted(r.p for r in df.collect()) == [d for (d,) in rows]
+    rows = [(a + b,) for a in "abcdefghijklmnopqrstuvwxyz" for b in "0123456789"]
+    df = spark.createDataFrame(rows, "d string").select(pii.permuted_signs(pii.F.col("d"), KEY, "t").alias("p"))
+    assert len({r.p for r in df.collect()}) == len(rows)
+
+
+def test_no_collisions_in_a_table(spark):
+    df = spark.createDataFrame([(i, f"u{i}@mail.example.com 10.0.{i % 256}.{i // 256} +1 (555) 555-{i:04d} {4000000000000000 + i}") for i in range(600)], "doc_id long, text string")
+    assert pii.collisions(df, KEY).count() == 0
+    assert pii.anonymise(df.limit(0), KEY).count() == 0
+
+
+def test_long_text_and_plan(spark):
+    text = "word " * 300_000 + "a@b.example.com"
+    (out,) = run(spark, [text])
+    assert out[:1_500_000] == text[:1_500_000] and out != text
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert "Python" not in pii.replacements(df, KEY)._jdf.queryExecution().optimizedPlan().toString()
