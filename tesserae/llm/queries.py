@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import ann, chat_format, decontaminate, jaccard_join, language_id, pieces, pii, sharding, url_filter
+from tesserae.llm import ann, chat_format, decontaminate, jaccard_join, language_id, license_scan, pieces, pii, sharding, url_filter
 from tesserae.llm.common import table
 from tesserae.llm.oracles import ORACLES as ORACLES
 
@@ -86,6 +86,11 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replacements(table(spark, sf_dir, "documents"), PII_KEY)
 
 
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scan.scan(spark, table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.array_join("families", ",").alias("families"), "n_passages", "score", "similarity")
+
+
 def op10_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -99,5 +104,6 @@ QUERIES = {
     "op6_sharding": op6_sharding,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_pii": op8_pii,
+    "op9_license_scans": op9_license_scans,
     "op10_approximate_nearest_neighbours": op10_approximate_nearest_neighbours,
 }
