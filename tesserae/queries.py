@@ -1,6 +1,591 @@
-"""Registered queries of the raster engine and their SQL oracles."""
+"""Registered queries of the raster engine and their SQL oracles.
+
+Each query runs over a whole derived relation; its oracle computes the same in another way
+(lookups by joins where the engine pushes pixels forward, nested windows where it sums events).
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import math
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tesserae.functions import formats as fm
+from tesserae.functions import pixels as pf
+from tesserae.functions.fixed import HALF, ONE, Inverse, Matrix
+from tesserae.operators import blend, blur, bounds, geometry, metrics, ninepatch
+from tesserae.sources import fixtures as fx
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+P = ["image_id", "y", "x", "r", "g", "b", "a"]
+
+
+def query(oracle: str | None = None, name: str | None = None):
+    """Register a query with its oracle."""
+
+    def add(function):
+        key = name or function.__name__
+        QUERIES[key] = function
+        if oracle:
+            ORACLES[key] = oracle
+        return function
+
+    return add
+
+
+def ints(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*(F.col(c).cast("int").alias(c) for c in columns))
+
+
+def _out(select: str, tables: str, *more: str) -> str:
+    return f"with {tables}{''.join(', ' + m for m in more)} {select}"
+
+
+# --- scans, crops, single pixels ---------------------------------------------------------------
+
+
+@query(_out("select image_id, y - 8 as y, x - 8 as x, r, g, b, a from px where x between 8 and 47 and y between 8 and 39", fx.PX))
+def scan_crop(spark, sf_dir):
+    return geometry.move(geometry.crop(fx.px(spark, sf_dir), (8, 8, 48, 40)), -8, -8).select(*P)
+
+
+@query(_out("select image_id, y + 2 as y, x - 3 as x, r, g, b, a from px", fx.PX))
+def translate_shift(spark, sf_dir):
+    return geometry.sample_nearest(fx.px(spark, sf_dir), Matrix.move(-3.0, 2.0)).select(*P)
+
+
+@query(_out("select * from px where (x // 8 + y // 8) % 2 = 0", fx.PX))
+def checkerboard_skip(spark, sf_dir):
+    return geometry.checkerboard(fx.px(spark, sf_dir), 8, 8).select(*P)
+
+
+@query(_out("select * from px where not (x between 10 and 29 and y between 5 and 24)", fx.PX))
+def clear_rect(spark, sf_dir):
+    return geometry.clear(fx.px(spark, sf_dir), (10, 5, 30, 25)).select(*P)
+
+
+def _bright(c: str, add: int) -> str:
+    return f"greatest(0, least(255, {c} + {add}))"
+
+
+@query(_out(f"select image_id, y, x, {', '.join(_bright(c, 51) + ' as ' + c for c in 'rgb')}, a from px", fx.PX))
+def brightness(spark, sf_dir):
+    return pf.brightness(fx.px(spark, sf_dir), 0.2).select(*P)
+
+
+@query(_out("select image_id, y, x, ((r + g + b) // 3)::int as r, ((r + g + b) // 3)::int as g, ((r + g + b) // 3)::int as b, a from px", fx.PX))
+def grayscale_mean(spark, sf_dir):
+    return pf.grayscale(fx.px(spark, sf_dir)).select(*P)
+
+
+@query(_out("select image_id, y, x, r, g, b, ((a * 153) >> 8)::int as a from px", fx.PX))
+def alpha_scale(spark, sf_dir):
+    return pf.alpha_scale(fx.px(spark, sf_dir), 0.6).select(*P)
+
+
+@query(
+    _out(
+        f"select image_id, y, x, m as r, m as g, m as b, ((a * 128) >> 8)::int as a from (select *, (({' + '.join(_bright(c, -76) for c in 'rgb')}) // 3)::int as m from px)",
+        fx.PX,
+    )
+)
+def filter_chain(spark, sf_dir):
+    df = fx.px(spark, sf_dir)
+    for name, params in (("brightness", (-0.3,)), ("grayscale", ()), ("alpha", (0.5,)), ("no such filter", ())):
+        df = pf.apply(df, name, *params)
+    return df.select(*P)
+
+
+@query(
+    _out(
+        "select image_id, y, x, case when k then 255 else r end as r, case when k then 0 else g end as g, case when k then 255 else b end as b, case when k then 64 else a end as a "
+        "from (select *, r = (select min(r) from px where a = 255) and a = 255 and g = 37 and b = 0 as k from (select image_id, y, x, r, (g // 37 * 37)::int as g, 0 as b, a from px))".replace("r = (select min(r) from px where a = 255)", "r = 17").replace("g = 37", "g = 74"),
+        fx.PX,
+    )
+)
+def color_key(spark, sf_dir):
+    df = fx.px(spark, sf_dir).selectExpr("image_id", "y", "x", "r", "cast(g div 37 * 37 as int) g", "0 b", "a")
+    return pf.color_key(df, (17, 74, 0, 255), (255, 0, 255, 64)).select(*P)
+
+
+@query(_out("select image_id, y, x, least(65535, (r * (a + 1) * 39321::bigint) >> 16)::int as r, ((g * (a + 1) * 39321::bigint) >> 16)::int as g, ((b * (a + 1) * 39321::bigint) >> 16)::int as b, ((255 * (a + 1) * 39321::bigint) >> 16)::int as a from px", fx.PX))
+def alpha_scale_v1(spark, sf_dir):
+    return pf.alpha_scale_premultiplied(fm.premultiplied(fx.px(spark, sf_dir)), 0.6).select(*P)
+
+
+# --- formats -----------------------------------------------------------------------------------
+
+_ENC565 = "((r // 8) * 2048 + (g // 4) * 32 + b // 8)::int"
+_LUMA = "((77 * r + 150 * g + 29 * b + 128) >> 8)::int"
+
+
+@query(_out(f"select image_id, y, x, {_ENC565} as code from px", fx.PX))
+def enc_rgb565(spark, sf_dir):
+    return fm.encode(fx.px(spark, sf_dir), "RGB565_BE").select("image_id", "y", "x", "code")
+
+
+@query(_out("select image_id, y, x, ((c // 2048) * 8 + (c // 2048) // 4)::int as r, (((c // 32) % 64) * 4 + ((c // 32) % 64) // 16)::int as g, ((c % 32) * 8 + (c % 32) // 4)::int as b, 255 as a from e", fx.PX, f"e as (select *, {_ENC565} as c from px)"))
+def dec_rgb565(spark, sf_dir):
+    return fm.decode(fm.encode(fx.px(spark, sf_dir), "RGB565_LE"), "RGB565_LE").select(*P)
+
+
+@query(_out("select image_id, y, x, ((c % 256) * 256 + c // 256)::int as code from e", fx.PX, f"e as (select *, {_ENC565} as c from px)"))
+def swap565(spark, sf_dir):
+    return fm.convert(fm.encode(fx.px(spark, sf_dir), "RGB565_BE"), "RGB565_BE", "RGB565_LE").select("image_id", "y", "x", "code")
+
+
+_ENC332 = "((r // 32) * 32 + (g // 32) * 4 + b // 64)::int"
+
+
+@query(_out(f"select image_id, y, x, {_ENC332} as code from px", fx.PX))
+def enc_rgb332(spark, sf_dir):
+    return fm.encode(fx.px(spark, sf_dir), "RGB332").select("image_id", "y", "x", "code")
+
+
+@query(_out("select image_id, y, x, (((c // 32) * 73) // 2)::int as r, ((((c // 4) % 8) * 73) // 2)::int as g, ((c % 4) * 85)::int as b, 255 as a from e", fx.PX, f"e as (select *, {_ENC332} as c from px)"))
+def dec_rgb332(spark, sf_dir):
+    return fm.decode(fm.encode(fx.px(spark, sf_dir), "RGB332"), "RGB332").select(*P)
+
+
+@query(_out("select image_id, y, x, (b * 65536 + g * 256 + r)::int as code from px", fx.PX))
+def bgr_swap(spark, sf_dir):
+    return fm.convert(fm.encode(fx.px(spark, sf_dir), "RGB888"), "RGB888", "BGR888").select("image_id", "y", "x", "code")
+
+
+@query(_out("select image_id, y, x, a as r, a as g, a as b, a from px", fx.PX))
+def alpha8_rt(spark, sf_dir):
+    return fm.decode(fm.encode(fx.px(spark, sf_dir), "Alpha8"), "Alpha8").select(*P)
+
+
+@query(_out(f"select image_id, y, x, {_LUMA} as code from px", fx.PX))
+def gray8_bt601(spark, sf_dir):
+    return fm.encode(fx.px(spark, sf_dir), "Grayscale8").select("image_id", "y", "x", "code")
+
+
+def _quantised(bits: int) -> None:
+    step = 255 // ((1 << bits) - 1)
+
+    @query(_out(f"select image_id, y, x, v as r, v as g, v as b, 255 as a from (select *, (({_LUMA} >> {8 - bits}) * {step})::int as v from px)", fx.PX), name=f"gray{bits}_quant")
+    def run(spark, sf_dir):
+        return fm.decode(fm.encode(fx.px(spark, sf_dir), f"Grayscale{bits}_MSB"), f"Grayscale{bits}_MSB").select(*P)
+
+    per = 8 // bits
+
+    @query(_out(f"select image_id, y, (x // {per})::int as byte, sum(({_LUMA} >> {8 - bits}) << ((x % {per}) * {bits}))::int as v from px group by 1, 2, 3", fx.PX), name=f"bitpack{bits}_lsb")
+    def pack(spark, sf_dir):
+        return fm.pack_rows(fm.encode(fx.px(spark, sf_dir), f"Grayscale{bits}_LSB"), f"Grayscale{bits}_LSB")
+
+
+for _bits in (1, 2, 4):
+    _quantised(_bits)
+
+
+@query(_out(f"select image_id, y, ((x + 3) // 8)::int as byte, sum(({_LUMA} >> 7) << (7 - (x + 3) % 8))::int as v from px group by 1, 2, 3", fx.PX))
+def bitpack_rows(spark, sf_dir):
+    return fm.pack_rows(fm.encode(fx.px(spark, sf_dir), "Grayscale1_MSB"), "Grayscale1_MSB", offset=3)
+
+
+@query(
+    _out(
+        "select distinct p.image_id, p.y, ((p.x // 4) * 4 + k)::int as x, coalesce(q.v, 0)::int as code from px p cross join (select unnest([0, 1, 2, 3]) as k) "
+        f"left join (select image_id, y, x, {_LUMA} >> 6 as v from px) q on q.image_id = p.image_id and q.y = p.y and q.x = (p.x // 4) * 4 + k",
+        fx.PX,
+    )
+)
+def bitunpack_rows(spark, sf_dir):
+    return fm.unpack_rows(fm.pack_rows(fm.encode(fx.px(spark, sf_dir), "Index2_MSB"), "Index2_MSB"), "Index2_MSB")
+
+
+@query(_out("select i.image_id, i.y, i.x, coalesce(p.r, 0) as r, coalesce(p.g, 0) as g, coalesce(p.b, 0) as b, coalesce(p.a, 0) as a from idx i left join pal p on p.idx = i.idx", fx.IDX, fx.PAL))
+def palette_expand(spark, sf_dir):
+    return fm.expand_palette(fx.idx(spark, sf_dir), fx.pal(spark, sf_dir)).select(*P)
+
+
+@query(_out(f"select image_id, y, x, {_ENC565} as code from (select i.image_id, i.y, i.x, coalesce(p.r, 0) as r, coalesce(p.g, 0) as g, coalesce(p.b, 0) as b from idx i left join pal p on p.idx = i.idx)", fx.IDX, fx.PAL))
+def palette_to_565(spark, sf_dir):
+    return fm.convert(fx.idx(spark, sf_dir).withColumnRenamed("idx", "code"), "Index8", "RGB565_BE", fx.pal(spark, sf_dir)).select("image_id", "y", "x", "code")
+
+
+@query(_out("select image_id, y, x, r * (a + 1) // (a + 1) as r, g * (a + 1) // (a + 1) as g, b * (a + 1) // (a + 1) as b, a from px", fx.PX).replace("// (a + 1) as", "// (a + 1) as"))
+def premultiplied_rt(spark, sf_dir):
+    return ints(fm.straight(fm.premultiplied(fx.px(spark, sf_dir))), P)
+
+
+# --- layers ------------------------------------------------------------------------------------
+
+_D, _S = "acc", "v"
+_T = "(acc.a * 255 + v.a * (255 - acc.a))"
+_W = f"((acc.a * 65280 + ({_T} >> 1)) // {_T})"
+_MIX = ", ".join(f"'{c}': ((acc.{c} * {_W} + v.{c} * (256 - {_W})) >> 8)::int" for c in "rgb")
+_FOLD = f"""list_reduce(list_prepend({{'z': -1, 'r': 0, 'g': 0, 'b': 0, 'a': 0}}, list_sort(list({{'z': z, 'r': r, 'g': g, 'b': b, 'a': a}}))),
+  lambda acc, v: case when v.a = 0 or acc.a = 255 then acc when acc.a = 0 then v else {{'z': v.z, {_MIX}, 'a': (({_T} + 127) // 255)::int}} end)"""
+_COMPOSITE = f"select image_id, y, x, p.r as r, p.g as g, p.b as b, p.a as a from (select image_id, y, x, {_FOLD} as p from layers group by 1, 2, 3) where p.a > 0"
+
+
+@query(_out(_COMPOSITE, fx.LAYERS))
+def composite_under(spark, sf_dir):
+    return blend.composite_under(fx.layers(spark, sf_dir))
+
+
+@query(_out(_COMPOSITE, fx.LAYERS))
+def composite_opaque_cut(spark, sf_dir):
+    return blend.composite_under(blend.opaque_cut(fx.layers(spark, sf_dir)))
+
+
+_OVER = ", ".join(f"'{c}': (v.{c} + ((acc.{c}::bigint * (65535 - v.a)) >> 16))::int" for c in "rgba")
+
+
+@query(
+    _out(
+        f"""select image_id, y, x, p.r as r, p.g as g, p.b as b, p.a as a from (select image_id, y, x,
+  list_reduce(list_prepend({{'z': -1, 'r': 0, 'g': 0, 'b': 0, 'a': 0}}, list_sort(list({{'z': z, 'r': r * (a + 1), 'g': g * (a + 1), 'b': b * (a + 1), 'a': 255 * (a + 1)}}))),
+  lambda acc, v: case when v.a <= 255 then acc when v.a >= 65280 or acc.a = 0 then v else {{'z': v.z, {_OVER}}} end) as p from layers group by 1, 2, 3)""",
+        fx.LAYERS,
+    )
+)
+def composite_v1_over(spark, sf_dir):
+    return blend.composite_over(fm.premultiplied(fx.layers(spark, sf_dir)))
+
+
+_FRONT = "front as (select image_id, y, x, arg_max(struct_pack(r := r, g := g, b := b, a := a), (z, r, g, b, a)) as p from layers where z < 3 group by 1, 2, 3)"
+
+
+@query(_out("select image_id, y, x, p.r as r, p.g as g, p.b as b, p.a as a from (select image_id, y, x, max(struct_pack(z := z, r := r, g := g, b := b, a := a)) as p from layers group by 1, 2, 3)", fx.LAYERS))
+def overwrite_placement(spark, sf_dir):
+    return blend.overwrite(fx.layers(spark, sf_dir).withColumn("rank", F.struct("z", *"rgba"))).select(*P)
+
+
+def _front(spark, sf_dir):
+    """The front-most layer of each cell, where a front-most layer is one of the first three."""
+    df = fx.layers(spark, sf_dir).where("z < 3")
+    return blend.overwrite(df.withColumn("rank", F.struct(-F.col("z"), *"rgba")))
+
+
+_FRONT = "front as (select image_id, y, x, p.r as r, p.g as g, p.b as b, p.a as a from (select image_id, y, x, max(struct_pack(z := -z, r := r, g := g, b := b, a := a)) as p from layers where z < 3 group by 1, 2, 3))"
+
+
+def _matte(mask: bool, front: bool, back: bool) -> str:
+    """The documented formula over outer joins; a missing input has no rows."""
+    m = "coalesce(m.v, 0)" if mask else "0"
+    full = f"({m} + ({m} >> 7))"
+    fg = lambda c: f"coalesce(f.{c}, 0)" if front else "0"
+    bg = lambda c: f"coalesce(k.{c}, 0)" if back else "0"
+    cols = ", ".join(f"(({bg(c)} * (256 - {full}) + {fg(c)} * {full}) >> 8)::int as {c}" for c in "rgba")
+    cells = "select image_id, y, x from px union select image_id, y, x from front union select image_id, y, x from mask"
+    joins = " ".join(f"left join {t} {n} on {n}.image_id = c.image_id and {n}.y = c.y and {n}.x = c.x" for t, n in (("mask", "m"), ("front", "f"), ("px", "k")))
+    return _out(f"select * from (select c.image_id, c.y, c.x, {cols} from ({cells}) c {joins}) where a > 0", fx.PX, fx.MASK, fx.LAYERS, _FRONT)
+
+
+@query(_matte(True, True, True))
+def matte_blend(spark, sf_dir):
+    return blend.matte(fx.mask(spark, sf_dir), _front(spark, sf_dir), fx.px(spark, sf_dir))
+
+
+@query(_matte(False, True, True))
+def matte_no_mask(spark, sf_dir):
+    return blend.matte(None, _front(spark, sf_dir), fx.px(spark, sf_dir))
+
+
+@query(_matte(True, True, False))
+def matte_no_bg(spark, sf_dir):
+    return blend.matte(fx.mask(spark, sf_dir), _front(spark, sf_dir), None)
+
+
+@query(_matte(True, False, True))
+def matte_no_fg(spark, sf_dir):
+    return blend.matte(fx.mask(spark, sf_dir), None, fx.px(spark, sf_dir))
+
+
+# --- affine ------------------------------------------------------------------------------------
+
+
+def _grid(table: str, box: geometry.Rect) -> str:
+    x0, y0, x1, y1 = box
+    return f"(select image_id, gy::int as y, gx::int as x from (select distinct image_id from {table}) cross join range({y0}, {y1}) ys(gy) cross join range({x0}, {x1}) xs(gx))"
+
+
+def _position(inv: Inverse, pivot=(0, 0)) -> tuple[str, str]:
+    bx, by = inv.base(*pivot)
+    return f"(g.x * {inv.a}::bigint + g.y * {inv.b}::bigint + {bx})", f"(g.x * {inv.c}::bigint + g.y * {inv.d}::bigint + {by})"
+
+
+def _nearest(m: Matrix, pivot=(0, 0), table: str = "px", cols: str = "r, g, b, a", rect: geometry.Rect | None = None) -> str:
+    left, top, right, bottom = geometry.bounds_of(m, (64, 64), pivot)
+    sx, sy = _position(m.inverse(), pivot)
+    picked = ", ".join(f"p.{c.strip()}" for c in cols.split(","))
+    return f"select g.image_id, g.y, g.x, {picked} from {_grid(table, rect or (left - 2, top - 2, right + 2, bottom + 2))} g join {table} p on p.image_id = g.image_id and p.x = {sx} >> 16 and p.y = {sy} >> 16"
+
+
+SCALE2, ROT45, ROT90 = Matrix.scale(2.0, 1.5), Matrix.turn(math.pi / 4), Matrix.turn(math.pi / 2)
+CENTER = (32 * ONE, 32 * ONE)
+CHAIN = Matrix.move(10.5, -3.25) @ Matrix.turn(0.3, 1.25, 0.75) @ Matrix.move(4.0, 7.0)
+
+
+@query(_out(_nearest(SCALE2), fx.PX))
+def affine_scale2(spark, sf_dir):
+    return geometry.sample_nearest(fx.px(spark, sf_dir), SCALE2).select(*P)
+
+
+@query(_out(_nearest(ROT45, CENTER), fx.PX))
+def affine_rot45(spark, sf_dir):
+    return geometry.sample_nearest(fx.px(spark, sf_dir), ROT45, CENTER).select(*P)
+
+
+@query(_out(_nearest(ROT90, CENTER), fx.PX))
+def affine_rot90(spark, sf_dir):
+    return geometry.sample_nearest(fx.px(spark, sf_dir), ROT90, CENTER).select(*P)
+
+
+@query(_out(_nearest(ROT45, CENTER, rect=(-10, -10, 20, 5)), fx.PX))
+def affine_pruned(spark, sf_dir):
+    return geometry.sample_nearest(fx.px(spark, sf_dir), ROT45, CENTER, rect=(-10, -10, 20, 5)).select(*P)
+
+
+def _bounds_sql(m: Matrix, pivot=(0, 0)) -> str:
+    return _out(f"select image_id, min(x) as x0, min(y) as y0, max(x) + 1 as x1, max(y) + 1 as y1 from ({_nearest(m, pivot)}) group by 1", fx.PX)
+
+
+@query(_bounds_sql(CHAIN, CENTER))
+def affine_bounds(spark, sf_dir):
+    return ints(bounds.boxes(geometry.sample_nearest(fx.px(spark, sf_dir), CHAIN, CENTER)), ["image_id", "x0", "y0", "x1", "y1"])
+
+
+def _bilinear(m: Matrix, fade: int, pivot=(0, 0), plane: bool = False) -> str:
+    """Four lookups with clamped coordinates."""
+    left, top, right, bottom = geometry.bounds_of(m, (64, 64), pivot)
+    px, py = _position(m.inverse(), pivot)
+    low_x, high_x = -HALF if fade & geometry.LEFT else 0, 64 * ONE + (HALF if fade & geometry.RIGHT else 0)
+    low_y, high_y = -HALF if fade & geometry.TOP else 0, 64 * ONE + (HALF if fade & geometry.BOTTOM else 0)
+    cells = f"select g.*, (({px} - {HALF}) >> 16)::int as sx, (({py} - {HALF}) >> 16)::int as sy, ((({px} - {HALF}) >> 8) & 255)::int as fx, ((({py} - {HALF}) >> 8) & 255)::int as fy from {_grid('gray64' if plane else 'px', (left - 3, top - 3, right + 3, bottom + 3))} g where {px} >= {low_x} and {px} < {high_x} and {py} >= {low_y} and {py} < {high_y}"
+    gone = {"0x": f"(sx < 0 and {bool(fade & geometry.LEFT)})", "1x": f"(sx >= 63 and {bool(fade & geometry.RIGHT)})", "0y": f"(sy < 0 and {bool(fade & geometry.TOP)})", "1y": f"(sy >= 63 and {bool(fade & geometry.BOTTOM)})"}
+    corners = [(i, j) for i in (0, 1) for j in (0, 1)]
+    table = "gray64" if plane else "px"
+    joins = " ".join(f"left join {table} p{i}{j} on p{i}{j}.image_id = c.image_id and p{i}{j}.x = greatest(0, least(63, c.sx + {i})) and p{i}{j}.y = greatest(0, least(63, c.sy + {j}))" for i, j in corners)
+    live = {(i, j): f"case when {gone[f'{i}x']} or {gone[f'{j}y']} then 0 else 1 end" for i, j in corners}
+    if plane:
+        w = {(0, 0): "(256 - fx) * (256 - fy)", (1, 0): "fx * (256 - fy)", (0, 1): "(256 - fx) * fy", (1, 1): "fx * fy"}
+        value = " + ".join(f"{w[k]} * coalesce(p{k[0]}{k[1]}.v, 0) * ({live[k]})" for k in corners)
+        seen = " or ".join(f"p{i}{j}.v is not null" for i, j in corners)
+        return _out(f"select c.image_id, c.y, c.x, (({value}) >> 16)::int as v from ({cells}) c {joins} where {seen}", fx.GRAY64)
+    w = {(1, 1): "((fx * fy) >> 8)", (1, 0): "((fx * (256 - fy)) >> 8)", (0, 1): "(((256 - fx) * fy) >> 8)"}
+    w[0, 0] = f"(256 - {w[1, 1]} - {w[1, 0]} - {w[0, 1]})"
+    value = lambda c: " + ".join(f"{w[k]} * coalesce(p{k[0]}{k[1]}.{c}, 0)" + (f" * ({live[k]})" if c == "a" else "") for k in corners)
+    cols = ", ".join(f"(({value(c)}) >> 8)::int as {c}" for c in "rgba")
+    normal = "select image_id, y, x, r, g, b, a from"
+    return _out(f"{normal} (select c.image_id, c.y, c.x, {cols} from ({cells}) c {joins}) where a > 0", fx.PX)
+
+
+HALF_STEP = Matrix(1.0, 0.0, 0.0, 1.0, 0.5, 0.25)
+SKEW = Matrix(1.75, 0.25, -0.5, 1.25, 3.0, 2.0)
+
+
+@query(_bilinear(HALF_STEP, geometry.ALL_EDGES))
+def bilinear_half(spark, sf_dir):
+    return geometry.sample_bilinear(fx.px(spark, sf_dir), HALF_STEP, (64, 64)).where("a > 0").select(*P)
+
+
+@query(_bilinear(SKEW, geometry.LEFT | geometry.BOTTOM, CENTER))
+def bilinear_edge_fade(spark, sf_dir):
+    return geometry.sample_bilinear(fx.px(spark, sf_dir), SKEW, (64, 64), CENTER, geometry.LEFT | geometry.BOTTOM).where("a > 0").select(*P)
+
+
+@query(_bilinear(SKEW, 0, plane=True))
+def bilinear_1ch(spark, sf_dir):
+    return geometry.sample_bilinear_plane(fx.gray64(spark, sf_dir), SKEW, (64, 64), fade=0)
+
+
+# --- blurs -------------------------------------------------------------------------------------
+
+
+def _blur_sql(source: str, axis: str, radius: int, passes: int) -> str:
+    """Grown cells, then sums over a range window, once a pass."""
+    line = "y" if axis == "x" else "x"
+    for _ in range(passes):
+        cells = f"(select image_id, {line}, {axis} + d as {axis}, 0 as r, 0 as g, 0 as b, 0 as a from {source} cross join range(-{radius}, {radius + 1}) ds(d))"
+        dense = f"(select image_id, {line}, {axis}, max(r) as r, max(g) as g, max(b) as b, max(a) as a from (select image_id, {line}, {axis}, r, g, b, a from {source} union all select * from {cells}) group by 1, 2, 3)"
+        w = f"over (partition by image_id, {line} order by {axis} range between {radius} preceding and {radius} following)"
+        sums = f"(select image_id, {line}, {axis}, sum(r * a) {w} as r, sum(g * a) {w} as g, sum(b * a) {w} as b, sum(a) {w} as a from {dense})"
+        source = f"(select image_id, {line}, {axis}::int as {axis}, (r // a)::int as r, (g // a)::int as g, (b // a)::int as b, (a // {2 * radius + 1})::int as a from {sums} where a >= {2 * radius + 1})"
+    return source
+
+
+_SEEN = "(select * from px where a > 0)"
+
+
+@query(_out(f"select * from {_blur_sql(_SEEN, 'x', 3, 1)}", fx.PX))
+def hblur_p1(spark, sf_dir):
+    return blur.box_blur(fx.px(spark, sf_dir), "x", 3).select(*P)
+
+
+@query(_out(f"select * from {_blur_sql(_SEEN, 'x', 2, 3)}", fx.PX))
+def hblur_p3(spark, sf_dir):
+    return blur.box_blur(fx.px(spark, sf_dir), "x", 2, 3).select(*P)
+
+
+@query(_out(f"select * from {_blur_sql(_SEEN, 'y', 3, 1)}", fx.PX))
+def vblur_p1(spark, sf_dir):
+    return blur.box_blur(fx.px(spark, sf_dir), "y", 3).select(*P)
+
+
+@query(_out(f"select * from {_blur_sql(_blur_sql(_SEEN, 'x', 2, 1), 'y', 2, 1)}", fx.PX))
+def blur2d(spark, sf_dir):
+    return blur.blur_2d(fx.px(spark, sf_dir), 2).select(*P)
+
+
+def _mean_sql(source: str, axis: str, line: str, radius: int) -> str:
+    w = f"over (partition by image_id, {line} order by {axis} range between {radius} preceding and {radius} following)"
+    return f"(select image_id, y, x, {', '.join(f'(sum({c}) {w} // count(*) {w})::int as {c}' for c in 'rgba')} from {source})"
+
+
+@query(_out(f"select * from {_mean_sql(_mean_sql('px', 'x', 'y', 2), 'y', 'x', 2)}", fx.PX))
+def boxblur_v1(spark, sf_dir):
+    return blur.mean_blur(fx.px(spark, sf_dir), 2).select(*P)
+
+
+# --- nine-patches ------------------------------------------------------------------------------
+
+
+def _patch_sql(output, size=(64, 64), fixed=(12, 10, 9, 14)) -> str:
+    parts = []
+    for rank, (x0, y0, x1, y1), m in ninepatch.patches(*size, *fixed, *output):
+        inv = m.inverse()
+        if inv is None:
+            continue
+        sx, sy = _position(inv)
+        grid = _grid("px", (-3, -3, int(output[0]) + 4, int(output[1]) + 4))
+        parts.append(
+            f"select g.image_id, g.y, g.x, p.r, p.g, p.b, p.a, {rank} as rank from {grid} g join px p on p.image_id = g.image_id and p.x - {x0} = {sx} >> 16 and p.y - {y0} = {sy} >> 16 "
+            f"where p.x >= {x0} and p.x < {x1} and p.y >= {y0} and p.y < {y1}"
+        )
+    return _out("select image_id, y, x, p.r as r, p.g as g, p.b as b, p.a as a from (select image_id, y, x, arg_max(struct_pack(r := r, g := g, b := b, a := a), rank) as p from parts group by 1, 2, 3)", fx.PX, f"parts as ({' union all '.join(parts)})")
+
+
+@query(_patch_sql((150.0, 97.5)))
+def ninepatch_fill(spark, sf_dir):
+    return ninepatch.fill(fx.px(spark, sf_dir), (64, 64), (12, 10, 9, 14), (150.0, 97.5)).select(*P)
+
+
+@query(_patch_sql((15.0, 18.0)))
+def ninepatch_shrink(spark, sf_dir):
+    return ninepatch.fill(fx.px(spark, sf_dir), (64, 64), (12, 10, 9, 14), (15.0, 18.0)).select(*P)
+
+
+_BORDER = "bordered as (select image_id, y, x, case when (y = 0 and x % 5 = image_id % 5 and x > 9) or (x = 0 and y between 20 and 40 + image_id % 7) then 0 else r + 1 end as r, case when y = 0 or x = 0 then 0 else g end as g, case when y = 0 or x = 0 then 0 else b end as b, 255 as a from px)"
+
+
+@query(
+    _out(
+        "select image_id, coalesce(min(x) filter (t) - 1, 0)::int as \"left\", coalesce(min(y) filter (s) - 1, 0)::int as top, coalesce(62 - max(x) filter (t), 0)::int as \"right\", coalesce(62 - max(y) filter (s), 0)::int as bottom "
+        "from (select *, r = 0 and g = 0 and b = 0 and a > 0 and y = 0 and x between 1 and 62 as t, r = 0 and g = 0 and b = 0 and a > 0 and x = 0 and y between 1 and 62 as s from bordered) group by 1",
+        fx.PX,
+        _BORDER,
+    )
+)
+def ninepatch_meta(spark, sf_dir):
+    df = fx.px(spark, sf_dir).selectExpr(
+        "image_id", "y", "x",
+        "case when (y = 0 and x % 5 = image_id % 5 and x > 9) or (x = 0 and y between 20 and 40 + image_id % 7) then 0 else r + 1 end r",
+        "case when y = 0 or x = 0 then 0 else g end g", "case when y = 0 or x = 0 then 0 else b end b", "255 a",
+    )
+    return ninepatch.stretch_spans(df, 64, 64)
+
+
+# --- bounds ------------------------------------------------------------------------------------
+
+
+@query(_out("select image_id, min(x) as x0, min(y) as y0, max(x) + 1 as x1, max(y) + 1 as y1 from (select image_id, x + 3 as x, y - 5 as y from px union all select image_id, x, y from layers) group by 1", fx.PX, fx.LAYERS))
+def aabb_union(spark, sf_dir):
+    both = geometry.move(fx.px(spark, sf_dir), 3, -5).select("image_id", "y", "x").unionByName(fx.layers(spark, sf_dir).select("image_id", "y", "x"))
+    return ints(bounds.boxes(both), ["image_id", "x0", "y0", "x1", "y1"])
+
+
+@query(_out("select image_id, y, min(x) as x0, max(x) + 1 as x1 from layers where a = 255 group by 1, 2", fx.LAYERS))
+def scanline_ranges(spark, sf_dir):
+    return ints(bounds.spans(fx.layers(spark, sf_dir).where("a = 255")), ["image_id", "y", "x0", "x1"])
+
+
+@query(_out("select image_id, y, min(x) as x0, max(x) + 1 as x1 from (select image_id, y, x, case when v < 200 then 0 else v end as v from mask) where v <> 0 group by 1, 2", fx.MASK))
+def mask_trim(spark, sf_dir):
+    return ints(bounds.mask_spans(fx.mask(spark, sf_dir).withColumn("v", F.when(F.col("v") < 200, 0).otherwise(F.col("v")))), ["image_id", "y", "x0", "x1"])
+
+
+_SPANS = {
+    "m": "select image_id, y, min(x) as x0, max(x) + 1 as x1 from mask where v >= 230 group by 1, 2",
+    "f": "select image_id, y, min(x) as x0, max(x) + 1 as x1 from layers where z = 0 group by 1, 2",
+    "k": "select image_id, y, min(x) as x0, max(x) + 1 as x1 from px where a = 255 and r > 200 group by 1, 2",
+}
+
+
+@query(
+    _out(
+        "select image_id, y, min(x0)::int as x0, max(x1)::int as x1 from (select * from k union all select m.image_id, m.y, greatest(m.x0, f.x0), least(m.x1, f.x1) from m join f using (image_id, y) where greatest(m.x0, f.x0) < least(m.x1, f.x1)) group by 1, 2",
+        fx.PX, fx.MASK, fx.LAYERS, *(f"{n} as ({s})" for n, s in _SPANS.items()),
+    )
+)
+def matte_ranges(spark, sf_dir):
+    back = bounds.spans(fx.px(spark, sf_dir).where("a = 255 and r > 200"))
+    front = bounds.spans(fx.layers(spark, sf_dir).where("z = 0"))
+    return ints(bounds.matte_spans(back, bounds.spans(fx.mask(spark, sf_dir).where("v >= 230")), front), ["image_id", "y", "x0", "x1"])
+
+
+@query(_out("select tx::int as tile_x, ty::int as tile_y, rect_id from rects join range(0, 5) xs(tx) on x0 < (tx + 1) * 12 and x0 + w > tx * 12 join range(0, 4) ys(ty) on y0 < (ty + 1) * 12 and y0 + h > ty * 12", fx.RECTS))
+def tile_overlap(spark, sf_dir):
+    return bounds.tile_overlaps(fx.rects(spark, sf_dir), 12, 5, 4)
+
+
+@query(_out("select coalesce(p.y, n.y) as y, coalesce(p.image_id, n.image_id) as image_id, least(p.x0, n.x0)::int as x0, greatest(p.x1, n.x1)::int as x1 from p full join n on p.image_id = n.image_id and p.y = n.y", fx.LAYERS, "p as (select image_id, y, min(x) as x0, max(x) + 1 as x1 from layers where z = 5 group by 1, 2)", "n as (select image_id, y, min(x) as x0, max(x) + 1 as x1 from layers where z = 6 group by 1, 2)"))
+def dirty_spans(spark, sf_dir):
+    df = fx.layers(spark, sf_dir)
+    both = bounds.dirty_spans(bounds.spans(df.where("z = 5")), bounds.spans(df.where("z = 6")), ["image_id", "y"])
+    return ints(both, ["y", "image_id", "x0", "x1"])
+
+
+@query(
+    _out(
+        "select p.image_id, p.y, p.x, case when not inside then 255 when not within then 0 else r end as r, case when inside and within then g else 0 end as g, case when inside and within then b else 255 end as b, case when inside and within then a else 255 end as a "
+        "from (select px.*, coalesce(px.x >= o.x0 and px.x < o.x1 and px.y >= o.y0 and px.y < o.y1, false) as inside, coalesce(px.x >= s.x0 and px.x < s.x1, false) as within from px left join o using (image_id) left join s on s.image_id = px.image_id and s.y = px.y) p",
+        fx.PX, "o as (select image_id, min(x) as x0, min(y) as y0, max(x) + 1 as x1, max(y) + 1 as y1 from px where b > 250 group by 1)", "s as (select image_id, y, min(x) as x0, max(x) + 1 as x1 from px where b > 250 group by 1, 2)",
+    )
+)
+def range_overlay(spark, sf_dir):
+    df = fx.px(spark, sf_dir)
+    part = df.where("b > 250")
+    return bounds.range_overlay(df, bounds.spans(part), bounds.boxes(part)).select(*P)
+
+
+# --- metrics -----------------------------------------------------------------------------------
+
+_LOG = """log as (select l_linenumber as node, l_returnflag as fmt, l_linestatus as op, (l_orderkey % 97)::bigint as ms, (l_quantity * 4)::bigint as requested, l_quantity::bigint as used,
+  floor(l_extendedprice)::bigint as bytes, (l_orderkey * 10 + l_linenumber)::bigint as label from lineitem)"""
+
+
+def _log(spark, sf_dir):
+    return fx.table(spark, sf_dir, "lineitem").selectExpr(
+        "l_linenumber node", "l_returnflag fmt", "l_linestatus op", "l_orderkey % 97 ms", "cast(l_quantity * 4 as bigint) requested", "cast(l_quantity as bigint) used",
+        "cast(floor(l_extendedprice) as bigint) bytes", "l_orderkey * 10 + l_linenumber label",
+    )
+
+
+@query(_out("select node, count(*) as calls, sum(ms)::bigint as time_sum, sum(requested)::bigint as requested, sum(used)::bigint as used, (max((bytes, label)))[1] as largest, (max((bytes, label)))[2] as largest_label, floor(sum(used) / sum(requested) * 1000)::int as efficiency_pm from log group by 1", _LOG))
+def node_metrics(spark, sf_dir):
+    out = metrics.node_metrics(_log(spark, sf_dir), "node", "ms", "requested", "used", "bytes", "label")
+    return out.withColumn("efficiency_pm", F.floor(F.col("efficiency") * 1000).cast("int")).drop("efficiency", "waste")
+
+
+@query(_out("select fmt, op, count(*) as calls, sum(requested)::bigint as pixels, grouping(fmt, op)::int as level from log group by cube (fmt, op)", _LOG))
+def format_metrics_cube(spark, sf_dir):
+    return metrics.format_cube(_log(spark, sf_dir), "fmt", "op", "requested")
+
+
+@query(_out("select (a // 32)::int as bucket, count(*) as n from layers group by 1", fx.LAYERS))
+def alpha_histogram(spark, sf_dir):
+    return metrics.alpha_histogram(fx.layers(spark, sf_dir))
+
+
+@query("select user_id, max(now)::bigint as peak, sum(d)::bigint as final from (select user_id, d, sum(d) over (partition by user_id order by event_id rows unbounded preceding) as now from (select user_id, event_id, case when event_id % 3 = 0 then -1 else 1 end * floor(value)::bigint as d from events)) group by 1")
+def running_peak(spark, sf_dir):
+    log = fx.table(spark, sf_dir, "events").selectExpr("user_id", "event_id", "case when event_id % 3 = 0 then -1 else 1 end * cast(floor(value) as bigint) d")
+    return metrics.running_peak(log, "user_id", ["event_id"], "d")
