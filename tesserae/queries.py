@@ -16,7 +16,10 @@ from tesserae.functions import formats as fm
 from tesserae.functions import pixels as pf
 from tesserae.functions.fixed import HALF, ONE, Inverse, Matrix
 from tesserae.operators import blend, blur, bounds, geometry, metrics, ninepatch
+from tesserae.plans import graph, nodes
 from tesserae.sources import fixtures as fx
+from tesserae.sources import images
+from tesserae.streaming import dirty, run, vertical_blur
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,7 +105,7 @@ def filter_chain(spark, sf_dir):
 @query(
     _out(
         "select image_id, y, x, case when k then 255 else r end as r, case when k then 0 else g end as g, case when k then 255 else b end as b, case when k then 64 else a end as a "
-        "from (select *, r = (select min(r) from px where a = 255) and a = 255 and g = 37 and b = 0 as k from (select image_id, y, x, r, (g // 37 * 37)::int as g, 0 as b, a from px))".replace("r = (select min(r) from px where a = 255)", "r = 17").replace("g = 37", "g = 74"),
+        "from (select *, r = 17 and g = 74 and a = 255 as k from (select image_id, y, x, r, (g // 37 * 37)::int as g, 0 as b, a from px))",
         fx.PX,
     )
 )
@@ -209,14 +212,13 @@ def palette_to_565(spark, sf_dir):
     return fm.convert(fx.idx(spark, sf_dir).withColumnRenamed("idx", "code"), "Index8", "RGB565_BE", fx.pal(spark, sf_dir)).select("image_id", "y", "x", "code")
 
 
-@query(_out("select image_id, y, x, r * (a + 1) // (a + 1) as r, g * (a + 1) // (a + 1) as g, b * (a + 1) // (a + 1) as b, a from px", fx.PX).replace("// (a + 1) as", "// (a + 1) as"))
+@query(_out("select image_id, y, x, r * (a + 1) // (a + 1) as r, g * (a + 1) // (a + 1) as g, b * (a + 1) // (a + 1) as b, a from px", fx.PX))
 def premultiplied_rt(spark, sf_dir):
     return ints(fm.straight(fm.premultiplied(fx.px(spark, sf_dir))), P)
 
 
 # --- layers ------------------------------------------------------------------------------------
 
-_D, _S = "acc", "v"
 _T = "(acc.a * 255 + v.a * (255 - acc.a))"
 _W = f"((acc.a * 65280 + ({_T} >> 1)) // {_T})"
 _MIX = ", ".join(f"'{c}': ((acc.{c} * {_W} + v.{c} * (256 - {_W})) >> 8)::int" for c in "rgb")
@@ -250,9 +252,6 @@ def composite_v1_over(spark, sf_dir):
     return blend.composite_over(fm.premultiplied(fx.layers(spark, sf_dir)))
 
 
-_FRONT = "front as (select image_id, y, x, arg_max(struct_pack(r := r, g := g, b := b, a := a), (z, r, g, b, a)) as p from layers where z < 3 group by 1, 2, 3)"
-
-
 @query(_out("select image_id, y, x, p.r as r, p.g as g, p.b as b, p.a as a from (select image_id, y, x, max(struct_pack(z := z, r := r, g := g, b := b, a := a)) as p from layers group by 1, 2, 3)", fx.LAYERS))
 def overwrite_placement(spark, sf_dir):
     return blend.overwrite(fx.layers(spark, sf_dir).withColumn("rank", F.struct("z", *"rgba"))).select(*P)
@@ -589,3 +588,122 @@ def alpha_histogram(spark, sf_dir):
 def running_peak(spark, sf_dir):
     log = fx.table(spark, sf_dir, "events").selectExpr("user_id", "event_id", "case when event_id % 3 = 0 then -1 else 1 end * cast(floor(value) as bigint) d")
     return metrics.running_peak(log, "user_id", ["event_id"], "d")
+
+
+# --- plans: transforms gathered at the sources, sinks, graphs ------------------------------------
+
+INNER, OUTER = Matrix.move(4.0, 7.0) @ Matrix.turn(0.2), Matrix.scale(1.5, 0.8)
+
+
+def _source(spark, sf_dir, matrix: Matrix = Matrix()) -> nodes.Image:
+    return nodes.Image(fx.px(spark, sf_dir), 64, 64, CENTER, matrix)
+
+
+@query(_out(f"select image_id, y, x, r, g, b, a from {_blur_sql(f'(select * from ({_nearest(OUTER @ INNER, CENTER)}) where a > 0)', 'x', 2, 1)} where x between -60 and 59 and y between -40 and 39", fx.PX))
+def affine_chain(spark, sf_dir):
+    """A blur between two transforms: the source is transformed by both, then blurred along the screen."""
+    inside = nodes.Affine(nodes.Blur(nodes.Affine(_source(spark, sf_dir), INNER), "x", 2), OUTER)
+    return nodes.Plan(nodes.Render(inside, 120, 80, (60, 40))).frame()
+
+
+@query(_out(f"select image_id, y, x, r, g, b, a from {_blur_sql(f'(select * from ({_nearest(OUTER @ INNER, CENTER)}) where a > 0)', 'x', 2, 1)} where x between -60 and 59 and y between -40 and 39", fx.PX))
+def affine_chain_tiled(spark, sf_dir):
+    inside = nodes.Affine(nodes.Blur(nodes.Affine(_source(spark, sf_dir), INNER), "x", 2), OUTER)
+    return nodes.Plan(nodes.Render(inside, 120, 80, (60, 40), (60, 50))).tiled()
+
+
+SPIN = Matrix.turn(0.5, 0.75, 0.75)
+
+
+@query(
+    _out(
+        f"select 1 as sink_id, image_id, (y + 20)::int as y, (x + 24)::int as x, r, g, b, a from screen where y between -20 and 19 and x between -24 and 23 "
+        f"union all select 2, image_id, y, x, r, g, b, a from ({_nearest(Matrix.move(30.0, 30.0) @ SPIN, (0, 0), 'screen', rect=(0, 0, 60, 60))})",
+        fx.PX, f"screen as (select * from ({_nearest(Matrix(), CENTER)}) where x between -32 and 31 and y between -32 and 31)",
+    )
+)
+def distribute_sinks(spark, sf_dir):
+    sinks = (nodes.Sink(1, 48, 40, (24, 20)), nodes.Sink(2, 60, 60, (30, 30), SPIN))
+    return ints(nodes.Plan(nodes.Render(_source(spark, sf_dir), 64, 64, (32, 32)), sinks).to_df(), ["sink_id", *P])
+
+
+@query(
+    _out(
+        f"select 7 as sink_id, image_id, y, x, {_ENC565} as code from ({_nearest(Matrix.move(30.0, 30.0) @ SPIN, (0, 0), 'screen', rect=(0, 0, 60, 60))})",
+        fx.PX, f"screen as (select * from ({_nearest(Matrix(), CENTER)}) where x between -32 and 31 and y between -32 and 31)",
+    )
+)
+def sink_affine(spark, sf_dir):
+    frame = nodes.Plan(nodes.Render(_source(spark, sf_dir), 64, 64, (32, 32))).frame()
+    return ints(nodes.Sink(7, 60, 60, (30, 30), SPIN, "RGB565_BE").encoded(frame), ["sink_id", "image_id", "y", "x", "code"])
+
+
+GRAPH_NODES = [
+    {"id": "a", "type": "image", "imageId": 1, "pivot": {"x": 32, "y": 32}},
+    {"id": "turn", "type": "affine", "matrix": {"a": 0.5, "d": 0.5, "tx": 6, "ty": -2}},
+    {"id": "dark", "type": "filter", "filterType": "brightness", "filterParams": [-0.2], "independent": True},
+    {"id": "b", "type": "image", "imageId": 2, "pivot": {"x": 32, "y": 32}},
+    {"id": "both", "type": "composite", "inputs": [{"id": "in1"}, {"id": "in2"}]},
+    {"id": "out", "type": "sink", "imageId": 9, "outputWidth": 64, "outputHeight": 64, "pivotX": 32, "pivotY": 32},
+]
+GRAPH_EDGES = [
+    {"fromNodeId": "a", "toNodeId": "dark", "toPortId": "in"},
+    {"fromNodeId": "dark", "toNodeId": "turn", "toPortId": "in"},
+    {"fromNodeId": "turn", "toNodeId": "both", "toPortId": "in1"},
+    {"fromNodeId": "b", "toNodeId": "both", "toPortId": "in2"},
+    {"fromNodeId": "both", "toNodeId": "renderer", "toPortId": "in"},
+    {"fromNodeId": "renderer", "toNodeId": "out", "toPortId": "in"},
+]
+_SMALL = Matrix(0.5, 0.0, 0.0, 0.5, 6.0, -2.0)
+
+
+@query(
+    _out(
+        f"select 9 as sink_id, image_id, (y + 32)::int as y, (x + 32)::int as x, p.r as r, p.g as g, p.b as b, p.a as a from (select image_id, y, x, {_FOLD} as p from layers group by 1, 2, 3) where p.a > 0",
+        fx.PX,
+        f"layers as (select image_id, y, x, 0 as z, {', '.join(_bright(c, -51) + ' as ' + c for c in 'rgb')}, a from ({_nearest(_SMALL, CENTER)}) where x between -32 and 31 and y between -32 and 31 "
+        f"union all select image_id, y, x, 1, g, r, b, 200 from ({_nearest(Matrix(), CENTER)}) where x between -32 and 31 and y between -32 and 31)",
+    )
+)
+def graph_from_dict(spark, sf_dir):
+    px = fx.px(spark, sf_dir)
+    other = px.selectExpr("image_id", "y", "x", "g r", "r g", "b", "200 a")
+    plan = graph.from_dict(GRAPH_NODES, GRAPH_EDGES, {1: (px, 64, 64), 2: (other, 64, 64)}, 64, 64, (32, 32))
+    return ints(plan.to_df(), ["sink_id", *P])
+
+
+@query(
+    _out(
+        "select image_id, y, x, r, g, b, a from cells",
+        "cells as (select 5 as image_id, (i // 48)::int as y, (i % 48)::int as x, case when ((i % 48) // 6 + (i // 48) // 6) % 2 = 0 then 255 else 0 end as r, case when ((i % 48) // 6 + (i // 48) // 6) % 2 = 0 then 255 else 0 end as g, case when ((i % 48) // 6 + (i // 48) // 6) % 2 = 0 then 255 else 0 end as b, 255 as a from range(48 * 32) t(i))",
+    )
+)
+def test_pattern(spark, sf_dir):
+    return images.pattern(spark, "checker", 48, 32, 6, 5)
+
+
+# --- streams -----------------------------------------------------------------------------------
+
+
+@query(_out(f"select image_id, x, y, r, g, b, a from {_blur_sql(_SEEN, 'y', 2, 1)} where y between 0 and 63", fx.PX))
+def stream_vblur(spark, sf_dir):
+    """Lines in order, in two micro-batches, then each column's end mark."""
+    px = fx.px(spark, sf_dir).select("image_id", "x", "y", *"rgba", F.lit(False).alias("last"))
+    ends = px.select("image_id", "x").distinct().select("image_id", "x", F.lit(64).alias("y"), *(F.lit(0).alias(c) for c in "rgba"), F.lit(True).alias("last"))
+    seen = px.where("a > 0")
+    batches = [seen.where("y < 40"), seen.where("y >= 40").unionByName(ends)]
+    return run.run_batches(spark, batches, lambda s: vertical_blur.stream_blur(s, 2), "vblur")
+
+
+@query(
+    _out(
+        "select z as frame, (image_id * 64 + y)::int as y, least(x0, coalesce(lag(x0) over w, x0))::int as x0, greatest(x1, coalesce(lag(x1) over w, x1))::int as x1 from s window w as (partition by image_id, y order by z)",
+        fx.LAYERS,
+        "s as (select image_id, y, z, min(x) as x0, max(x) + 1 as x1 from layers group by 1, 2, 3)",
+    )
+)
+def stream_dirty_spans(spark, sf_dir):
+    """Layers as frames: each line's span joined with its last one."""
+    spans = fx.layers(spark, sf_dir).groupBy("image_id", "y", "z").agg(F.min("x").alias("x0"), (F.max("x") + 1).alias("x1"))
+    spans = spans.selectExpr("z frame", "cast(image_id * 64 + y as int) y", "x0", "x1")
+    return run.run_batches(spark, [spans.where("frame < 3"), spans.where("frame >= 3")], dirty.dirty_stream, "dirty")
