@@ -109,14 +109,15 @@ class Matrix:
         c, s = single(math.cos(single(radians))), single(math.sin(single(radians)))
         return cls(single(c * x), single(-s * y), single(s * x), single(c * y))
 
-    def inverse(self) -> Inverse | None:
-        """The fixed-point inverse; None for a singular matrix."""
+    def inverse(self, round_moves: bool = False) -> Inverse | None:
+        """The fixed-point inverse; None for a singular matrix. The first generation rounds translations instead of cutting them."""
         det = single(single(self.a * self.d) - single(self.b * self.c))
         if abs(det) < 1e-10:
             return None
         over = single(1.0 / det)
         a, b, c, d = (near_fixed(single(v * over)) for v in (self.d, -self.b, -self.c, self.a))
-        tx, ty = cut_fixed(self.tx), cut_fixed(self.ty)
+        move = near_fixed if round_moves else cut_fixed
+        tx, ty = move(self.tx), move(self.ty)
         return Inverse(a, b, c, d, -(tx * a + ty * b) >> SHIFT, -(tx * c + ty * d) >> SHIFT)
 
     def corners(self, x0: float, y0: float, x1: float, y1: float) -> tuple[float, float, float, float]:

@@ -147,6 +147,18 @@ def expand_palette(df: DataFrame, palette: DataFrame, palette_id: int = 0, index
     return found.withColumns({c: F.coalesce(f"_{c}", F.lit(0)) for c in "rgba"}).drop("_idx", *(f"_{c}" for c in "rgba"))
 
 
+def expand_versions(df: DataFrame, palettes: DataFrame, version: str = "frame", index: str = "idx") -> DataFrame:
+    """Looks indices up in a palette that changes with a version column; a missing entry gives zeros."""
+    p = palettes.select(F.col(version).alias("_v"), F.col("idx").alias("_idx"), *(F.col(c).alias(f"_{c}") for c in "rgba"))
+    found = df.join(p, (F.col(version) == F.col("_v")) & (F.col(index) == F.col("_idx")), "left")
+    return found.withColumns({c: F.coalesce(f"_{c}", F.lit(0)) for c in "rgba"}).drop("_v", "_idx", *(f"_{c}" for c in "rgba"))
+
+
+def map_values(df: DataFrame, table: list[int], value: str = "v") -> DataFrame:
+    """Values looked up in a table of at most 256 entries."""
+    return df.withColumn(value, F.element_at(F.array(*map(F.lit, table)), F.col(value) + 1))
+
+
 def convert(df: DataFrame, source: str, target: str, palette: DataFrame | None = None, code: str = "code") -> DataFrame:
     """Codes of one format as codes of another, by the shortest way."""
     s, t = lookup(source), lookup(target)

@@ -87,12 +87,12 @@ def source_rect(m: Matrix, rect: Rect | None, pivot: tuple[int, int], margin: in
     return min(xs) - margin, min(ys) - margin, max(xs) + margin + 1, max(ys) + margin + 1
 
 
-def sample_nearest(df: DataFrame, m: Matrix, pivot: tuple[int, int] = (0, 0), rect: Rect | None = None) -> DataFrame:
+def sample_nearest(df: DataFrame, m: Matrix, pivot: tuple[int, int] = (0, 0), rect: Rect | None = None, round_moves: bool = False) -> DataFrame:
     """The image under a matrix, nearest pixels; pivot (fixed point) lands on the world's origin. A singular matrix gives nothing.
 
     rect limits the output, and by the inverse bounds also what is read of the source.
     """
-    inv = m.inverse()
+    inv = m.inverse(round_moves)
     if inv is None:
         return df.where(F.lit(False))
     if inv.is_move:  # no sampling: a shift of coordinates
@@ -104,6 +104,38 @@ def sample_nearest(df: DataFrame, m: Matrix, pivot: tuple[int, int] = (0, 0), re
     return hit.select(*df.columns)
 
 
+def sample_each(df: DataFrame, matrices: list[Matrix], pivot: tuple[int, int] = (0, 0)) -> DataFrame:
+    """First generation: the image is sampled anew at each matrix, the first one first, instead of once under their product."""
+    for k, m in enumerate(matrices):
+        df = sample_nearest(df, m, pivot if k == 0 else (0, 0), round_moves=True)
+    return df
+
+
+def _up(value: Column, by: int) -> Column:
+    """value / by, rounded up, for either sign."""
+    q = F.call_function("div", value, F.lit(by))
+    return q + F.when((value > 0) & (q * by != value), 1).otherwise(0)
+
+
+def row_spans(rows: DataFrame, m: Matrix, size: tuple[int, int], pivot: tuple[int, int] = (0, 0)) -> DataFrame:
+    """x0 and x1 (excluded) of what an image covers in each line y under a matrix, in closed form; empty lines are left out."""
+    inv = m.inverse()
+    if inv is None:
+        return rows.where(F.lit(False))
+    bx, by = inv.base(*pivot)
+    y = F.col("y").cast("long")
+    low, high = F.lit(-(1 << 40)), F.lit(1 << 40)
+    there = F.lit(True)
+    for step, at, length in ((inv.a, y * inv.b + bx, size[0]), (inv.c, y * inv.d + by, size[1])):
+        top = (length << 16) - at  # 0 <= step * x + at < length, in fixed point
+        if step == 0:
+            there = there & (at >= 0) & (top > 0)
+        else:
+            first, end = (-at, top) if step > 0 else (-top + 1, at + 1)  # abs(step) * x lies in [first, end)
+            low, high = F.greatest(low, _up(first, abs(step))), F.least(high, _up(end, abs(step)))
+    return rows.where(there).withColumns({"x0": low, "x1": high}).where("x0 < x1").withColumns({"x0": F.col("x0").cast("int"), "x1": F.col("x1").cast("int")})
+
+
 def _weighted(df: DataFrame, m: Matrix, size: tuple[int, int], pivot: tuple[int, int], fade: int, rect: Rect | None) -> DataFrame | None:
     """Source pixels with the output cells they take part in: fx, fy, and for each corner whether it is this pixel and whether it fades."""
     inv = m.inverse()

@@ -207,6 +207,21 @@ def palette_expand(spark, sf_dir):
     return fm.expand_palette(fx.idx(spark, sf_dir), fx.pal(spark, sf_dir)).select(*P)
 
 
+_FRAMES = "cycled as (select f::int as frame, ((idx + f * 16) % 256)::int as idx, r, g, b, a from pal cross join range(4) t(f))"
+
+
+@query(_out("select i.image_id, i.y, i.x, coalesce(p.r, 0) as r, coalesce(p.g, 0) as g, coalesce(p.b, 0) as b, coalesce(p.a, 0) as a from idx i left join cycled p on p.frame = i.image_id % 4 and p.idx = i.idx", fx.IDX, fx.PAL, _FRAMES))
+def palette_frames(spark, sf_dir):
+    """A palette that turns with the frame, under fixed indices."""
+    cycled = fx.pal(spark, sf_dir).crossJoin(F.broadcast(spark.range(4))).selectExpr("cast(id as int) frame", "cast((idx + id * 16) % 256 as int) idx", "r", "g", "b", "a")
+    return fm.expand_versions(fx.idx(spark, sf_dir).selectExpr("image_id", "y", "x", "image_id % 4 frame", "idx"), cycled).select(*P)
+
+
+@query(_out("select image_id, y, x, ((v * v + 127) // 255)::int as v from mask", fx.MASK))
+def lut_map(spark, sf_dir):
+    return fm.map_values(fx.mask(spark, sf_dir), [(v * v + 127) // 255 for v in range(256)])
+
+
 @query(_out(f"select image_id, y, x, {_ENC565} as code from (select i.image_id, i.y, i.x, coalesce(p.r, 0) as r, coalesce(p.g, 0) as g, coalesce(p.b, 0) as b from idx i left join pal p on p.idx = i.idx)", fx.IDX, fx.PAL))
 def palette_to_565(spark, sf_dir):
     return fm.convert(fx.idx(spark, sf_dir).withColumnRenamed("idx", "code"), "Index8", "RGB565_BE", fx.pal(spark, sf_dir)).select("image_id", "y", "x", "code")
@@ -396,6 +411,28 @@ def bilinear_1ch(spark, sf_dir):
     return geometry.sample_bilinear_plane(fx.gray64(spark, sf_dir), SKEW, (64, 64), fade=0)
 
 
+EACH = [Matrix.turn(0.3, 1.25, 0.75), Matrix(1.5, 0.25, 0.0, 1.25, 3.7, -2.3)]
+
+
+def _rounded(m: Matrix, pivot, table: str) -> str:
+    left, top, right, bottom = geometry.bounds_of(m, (64, 64), pivot)
+    inv = m.inverse(True)
+    sx, sy = _position(inv, pivot)
+    return f"select g.image_id, g.y, g.x, p.r, p.g, p.b, p.a from {_grid('px', (left - 120, top - 120, right + 120, bottom + 120))} g join {table} p on p.image_id = g.image_id and p.x = {sx} >> 16 and p.y = {sy} >> 16"
+
+
+@query(_out(_rounded(EACH[1], (0, 0), "one"), fx.PX, f"one as ({_rounded(EACH[0], CENTER, 'px')})"))
+def affine_v1(spark, sf_dir):
+    """First generation: sampled at each of two matrices."""
+    return geometry.sample_each(fx.px(spark, sf_dir), EACH, CENTER).select(*P)
+
+
+@query(_out(f"select y, min(x) as x0, max(x) + 1 as x1 from ({_nearest(CHAIN, CENTER, 'full_image')}) group by 1", "full_image as (select 0 as image_id, (i // 64)::int as y, (i % 64)::int as x, 0 as r, 0 as g, 0 as b, 255 as a from range(4096) t(i))"))
+def affine_row_spans(spark, sf_dir):
+    lines = spark.range(-200, 200).selectExpr("cast(id as int) y")
+    return geometry.row_spans(lines, CHAIN, (64, 64), CENTER).select("y", "x0", "x1")
+
+
 # --- blurs -------------------------------------------------------------------------------------
 
 

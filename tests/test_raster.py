@@ -248,3 +248,15 @@ def test_boxes_of_turned_images(spark, angle, pivot):
     assert out and all(left - 1 <= x <= right and top - 1 <= y <= bottom for x, y in out)
     if angle % 90 == 0:
         assert len(out) == 24
+
+
+def test_command_line(spark, tmp_path):
+    from tesserae import cli
+
+    data = np.full((4, 6, 4), 100)
+    data[..., 3] = 255
+    (row,) = images.encode_png(images.from_arrays(spark, {0: data}), 6, 4).collect()
+    (tmp_path / "in.png").write_bytes(row.png)
+    assert cli.main([str(tmp_path / "in.png"), "-o", str(tmp_path / "out"), "--brightness", "0.2", "--grayscale", "--blur", "1", "--alpha", "0.5"]) == 0
+    out = {(r.x, r.y): (r.r, r.g, r.b, r.a) for r in images.read_images(spark, str(tmp_path / "out/in.png")).collect()}
+    assert len(out) == 24 and out[2, 2] == (151, 151, 151, 127)
