@@ -15,8 +15,10 @@ Two sets link when |x & y| / |x | y| >= 0.8, so they differ in at most H = (|x|
    pigeonhole a linked pair shares a key that one side probes and the other indexes.
 4. Candidates are verified exactly on the sorted hashes of whole sets. As only connected components
    are asked for, a key with many sets doesn't need all its pairs: each set is first
-   verified against one partner, twice; then keys whose sets are already in one component are done,
-   and all untested pairs across components that share a key are verified.
+   verified against one partner, twice (the one that most sets share keys with, which in a group of
+   copies is one of the least changed); then keys whose sets are already in one component are done,
+   and all untested pairs across components that share a key are verified, less those whose sketches
+   (parities of hash classes) differ in more bits than a link allows.
 
 Members are 64-bit hashes of shingles; within a pair of sets a false match has a chance of some 2^-40.
 
@@ -45,6 +47,8 @@ BAND_RATIO = 1.25
 QUARTER = 0.28
 #: One segment in so many also indexes one-deletion neighbours.
 DELETION_EVERY = 10
+#: Bits of a set's sketch.
+SKETCH_BITS = 512
 #: Bits of the filter of ids that keeps sets out of a shuffle; beyond its size it only lets more through.
 MOST_FILTER_BITS = 1 << 28
 
@@ -286,21 +290,25 @@ def jaccard_components(spark: SparkSession, documents: DataFrame, id_col: str =
     keys = sets.mapInArrow(_keys, "key long, id long, flags byte")
     # keys that one set probes and another indexes; a row says which side(s) of a link its set can be on
     probe, exact = F.col("flags").bitwiseAND(2) > 0, F.col("flags").bitwiseAND(4) == 0
-    per_key = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max(probe).alias("probed"), F.max(exact).alias("exact")).where("low != high and probed and exact").select("key")
+    per_key = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max(probe).alias("probed"), F.max(exact).alias("exact"), F.count("*").alias("size"))
+    per_key = per_key.where("low != high and probed and exact").select("key", "size")
     shared = scratch.cut(keys.join(scratch.cut(per_key, "shared-keys"), "key"), "shared")
+    # sets that many others share keys with: copies with few changes, in the middle of their group
+    degrees = scratch.cut(shared.groupBy("id").agg(F.sum("size").alias("degree")), "degrees")
+    shared = scratch.cut(shared.drop("size").join(degrees, "id"), "ranked")
     scratch.release()
     # sets by their candidates: the partner with the most common keys first
     edges, tested, labels = None, None, None
     rounds = 0
     while True:
-        rows = shared.select("key", "id", "flags")
+        rows = shared
         if labels is None:
             rows = rows.withColumn("component", F.col("id"))
         else:
-            rows = rows.join(labels, rows["id"] == labels["node"], "left").select("key", "id", "flags", F.coalesce("component", "id").alias("component"))
+            rows = rows.join(labels, rows["id"] == labels["node"], "left").select("key", "id", "flags", "degree", F.coalesce("component", "id").alias("component"))
         if rounds < 2:
-            # one partner for each set: in each key the smallest set of the smallest component
-            center = rows.groupBy("key").agg(F.min(F.struct("component", "id")).alias("c"), F.max("component").alias("last")).where("c.component != last")
+            # one partner for each set: in each key the set of the highest degree, if it is in another component
+            center = rows.groupBy("key").agg(F.max(F.struct("degree", "id", "component")).alias("c"), F.min("component").alias("first"), F.max("component").alias("last")).where("first != last")
             center = scratch.cut(center.select("key", F.col("c.id").alias("v"), F.col("c.component").alias("vc")), "centers")
             pairs = rows.join(center, "key").where("component != vc").groupBy(F.col("id").alias("u"), "v").agg(F.count("*").alias("common"))
             if tested is not None:
@@ -308,7 +316,7 @@ def jaccard_components(spark: SparkSession, documents: DataFrame, id_col: str =
             pairs = pairs.groupBy("u").agg(F.max(F.struct("common", "v")).alias("b")).select("u", F.col("b.v").alias("v"))
         else:
             # what is left: every untested pair across components on which one side probes and not both are deletions
-            pairs = across_components(rows, scratch)
+            pairs = across_components(rows, sets, scratch)
             if tested is not None:
                 pairs = pairs.join(tested, ["u", "v"], "left_anti")
         pairs = scratch.cut(pairs, "pairs")
@@ -339,14 +347,42 @@ def jaccard_components(spark: SparkSession, documents: DataFrame, id_col: str =
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("cls").alias("component_id"))
 
 
-def across_components(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """(u, v), u < v: pairs of sets that share a key across components, probed by one side and exact on one."""
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, n and the parities of SKETCH_BITS hash classes of the members, as longs."""
+    for batch in batches:
+        n, words = [], []
+        for raw in batch.column(1).to_pylist():
+            members = np.frombuffer(raw, _U)
+            odd = np.bincount((mix(members ^ _C[4]) % _U(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+            n.append(len(members))
+            words.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+        columns = np.array(words, np.int64).reshape(len(n), -1)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *(pa.array(columns[:, k]) for k in range(columns.shape[1]))], names=["id", "n", *(f"s{k}" for k in range(columns.shape[1]))])
+
+
+def across_components(rows: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(u, v), u < v: pairs of sets that share a key across components, probed by one side and exact on one.
+
+    Two sets can't differ in fewer members than their sketches differ in bits, so within the join a
+    pair is left out if its sketches differ in more bits than a link allows. That keeps the many sets of
+    a group of copies that lie just too far apart from becoming rows.
+    """
     several = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    rows = scratch.cut(rows.join(scratch.cut(several, "open-keys"), "key"), "open")
-    probes = rows.where(F.col("flags").bitwiseAND(2) > 0).select("key", F.col("id").alias("p"), F.col("flags").alias("pf"), F.col("component").alias("pc"))
-    index = rows.where(F.col("flags").bitwiseAND(1) > 0).select("key", F.col("id").alias("q"), F.col("flags").alias("qf"), F.col("component").alias("qc"))
-    pairs = probes.join(index, "key").where("pc != qc and p != q").where((F.col("pf").bitwiseAND(4) == 0) | (F.col("qf").bitwiseAND(4) == 0))
-    return pairs.select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).distinct()
+    rows = scratch.cut(rows.drop("degree").join(scratch.cut(several, "open-keys"), "key"), "open")
+    longs = [f"s{k}" for k in range(SKETCH_BITS // 64)]
+    sketch = scratch.cut(sets.mapInArrow(_sketches, ", ".join(["id long", "n long", *(f"{c} long" for c in longs)])), "sketches")
+    rows = scratch.cut(rows.join(sketch, "id"), "sketched")
+    side = lambda flag, mark: rows.where(F.col("flags").bitwiseAND(flag) > 0).select("key", *(F.col(c).alias(f"{mark}_{c}") for c in ["id", "flags", "component", "n", *longs]))
+    apart = sum((F.bit_count(F.col(f"p_{c}").bitwiseXOR(F.col(f"q_{c}"))) for c in longs), F.lit(0))
+    can = (
+        (F.col("p_component") != F.col("q_component"))
+        & ((F.col("p_flags").bitwiseAND(4) == 0) | (F.col("q_flags").bitwiseAND(4) == 0))
+        & (F.least("p_n", "q_n") * 100 >= F.greatest("p_n", "q_n") * NUMERATOR)
+        & (apart * NINTH <= F.col("p_n") + F.col("q_n"))
+    )
+    probes, index = side(2, "p"), side(1, "q").withColumnRenamed("key", "q_key")
+    pairs = probes.join(index, (F.col("key") == F.col("q_key")) & can)
+    return pairs.select(F.least("p_id", "q_id").alias("u"), F.greatest("p_id", "q_id").alias("v")).distinct()
 
 
 def keep_one(spark: SparkSession, documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
