@@ -33,8 +33,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import SPACE, Scratch, mix, small_batches, texts_of, word_blocks
@@ -245,6 +246,27 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return labels.select("node", "component")
 
 
+def slot_of(id_col: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(id_col), F.lit(bits))
+
+
+def id_filter(spark: SparkSession, ids: DataFrame) -> tuple[int, object]:
+    """The number of bits and the broadcast bytes of a filter that lets all ids pass, and few others: one bit by hash.
+
+    It has at most MOST_FILTER_BITS. With more ids it lets more others through; an exact join has to follow.
+    """
+    count = ids.count()
+    bits = 1 << 15
+    while bits < min(count * 16, MOST_FILTER_BITS):
+        bits *= 2
+    at = slot_of(F.col("id"), bits)
+    words = ids.select(F.shiftright(at, 15).alias("w"), F.pmod(at, F.lit(1 << 15)).alias("p")).groupBy("w").agg(F.bitmap_construct_agg("p").alias("bitmap"))
+    passing = np.zeros(bits // 8, np.uint8)
+    for r in words.toLocalIterator():
+        passing[r["w"] * 4096 : (r["w"] + 1) * 4096] = np.frombuffer(r["bitmap"], np.uint8)
+    return bits, spark.sparkContext.broadcast(passing)
+
+
 def survivors(spark: SparkSession, documents: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(id, n, cls) of every row, and (id, members) of the classes that can have links, by their smallest id."""
     rows = scratch.cut(documents.mapInArrow(_sizes, "id long, n long, a long, b long"), "sizes")
@@ -254,16 +276,7 @@ def survivors(spark: SparkSession, documents: DataFrame, scratch: Scratch) -> tu
     scratch.release()
     kept = classes.join(lone, "a", "left").where(F.coalesce("lone", F.lit(0)) * 100 <= F.col("n") * (100 - NUMERATOR))
     kept = scratch.cut(kept.select(F.col("cls").alias("id"), "n"), "kept")
-    count = kept.count()
-    bits = 1 << 15
-    while bits < min(count * 16, MOST_FILTER_BITS):
-        bits *= 2
-    at = F.pmod(F.xxhash64("id"), F.lit(bits))
-    words = kept.select(F.shiftright(at, 15).alias("w"), F.pmod(at, F.lit(1 << 15)).alias("p")).groupBy("w").agg(F.bitmap_construct_agg("p").alias("bitmap"))
-    passing = np.zeros(bits // 8, np.uint8)
-    for r in words.toLocalIterator():
-        passing[r["w"] * 4096 : (r["w"] + 1) * 4096] = np.frombuffer(r["bitmap"], np.uint8)
-    shared = spark.sparkContext.broadcast(passing)
+    bits, shared = id_filter(spark, kept)
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,7 +286,7 @@ def survivors(spark: SparkSession, documents: DataFrame, scratch: Scratch) -> tu
             found = [m.tobytes() for _, m in shingle_sets(texts_of(batch.column(1)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "members"])
 
-    sets = documents.withColumn("at", at).mapInArrow(members, "id long, members binary").where(F.length("members") > 0)
+    sets = documents.withColumn("at", slot_of(F.col("id"), bits)).mapInArrow(members, "id long, members binary").where(F.length("members") > 0)
     sets = scratch.cut(sets.join(kept.select("id"), "id", "left_semi").dropDuplicates(["id"]), "sets")
     cls = scratch.cut(rows.join(classes, ["a", "b", "n"], "left").select("id", "n", F.coalesce("cls", "id").alias("cls")), "members-of")
     scratch.drop(rows, classes, lone, kept)
@@ -386,7 +399,20 @@ def across_components(rows: DataFrame, sets: DataFrame, scratch: Scratch) -> Dat
 
 
 def keep_one(spark: SparkSession, documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all columns kept, with only the smallest id of each component."""
+    """The documents, all columns kept, with only the smallest id of each component; rows without an id stay.
+
+    Only texts that may have to go are shuffled: the others pass a filter of the ids to drop as they are read.
+    """
+    scratch = Scratch(spark, "keep-one")
     found = jaccard_components(spark, documents, id_col, text_col)
-    kept = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    return documents.join(kept, documents[id_col] == kept["_kept"], "left_semi")
+    dropped = scratch.cut(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).cast("long").alias("id")).distinct(), "dropped")
+    bits, shared = id_filter(spark, dropped)
+
+    @F.pandas_udf("boolean")
+    def hit(slot: pd.Series) -> pd.Series:
+        at = slot.to_numpy()
+        return pd.Series(((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool))
+
+    maybe = hit(slot_of(documents[id_col].cast("long"), bits))
+    tested = documents.where(maybe)
+    return documents.where(~maybe).unionByName(tested.join(dropped, tested[id_col] == dropped["id"], "left_anti"))
