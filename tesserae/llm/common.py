@@ -50,6 +50,7 @@ class Scratch:
             root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
         self.spark, self.root = spark, f"{root.rstrip('/')}/tesserae/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        self.made: dict[str, DataFrame] = {}
 
     def cut(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Write a table and read it again."""
@@ -58,13 +59,20 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.made[path] = out
         return out
 
+    def keep(self, *dfs: DataFrame) -> None:
+        """Delete all cut tables but these."""
+        kept = {df._scratch_path for df in dfs}
+        self.drop(*[df for path, df in self.made.items() if path not in kept])
+
     def drop(self, *dfs: DataFrame) -> None:
         """Delete cut tables that nothing reads any more."""
         jvm = self.spark._jvm
         conf = self.spark._jsc.hadoopConfiguration()
         for df in dfs:
+            self.made.pop(df._scratch_path, None)
             path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
             path.getFileSystem(conf).delete(path, True)
 

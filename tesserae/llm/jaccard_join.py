@@ -4,7 +4,7 @@ Two sets link when |x & y| / |x | y| >= 0.8, so they differ in at most H = (|x|
 
 1. Equal sets are one class (128-bit set hash); each class goes on as one set.
 2. A set can only link if at most a fifth of its members stand in no other set. Members in the
-   first QUARTER of the hash space are counted over the whole corpus; a class with too many lone ones
+   first COUNTED_PART of the hash space are counted over the whole corpus; a class with too many lone ones
    among them is dropped. This loses no link and leaves few sets in most corpora.
 3. Sizes fall into bands (ratio 1.25). A band splits the universe of members into m > H segments by
    hash. Each set indexes the subset it has in each segment of its band, and, in a fixed tenth of the
@@ -45,7 +45,7 @@ SHINGLE = 5
 NUMERATOR, NINTH = 80, 9
 BAND_RATIO = 1.25
 #: The part of the hash space whose members are counted over the corpus. It has to be over a fifth.
-QUARTER = 0.28
+COUNTED_PART = 0.28
 #: One segment in so many also indexes one-deletion neighbours.
 DELETION_EVERY = 10
 #: Bits of a set's sketch.
@@ -86,7 +86,7 @@ def set_hash(members: np.ndarray) -> tuple[int, int]:
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h, a): a row for each counted member of a set."""
-    limit, seen = _U(int(QUARTER * 2**64)), set()
+    limit, seen = _U(int(COUNTED_PART * 2**64)), set()
     for batch in batches:
         hs, keys, size = [], [], 0
         for _, members in shingle_sets(texts_of(batch.column(1))):
@@ -243,7 +243,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         scratch.drop(hooked, moved, step, labels)
         labels = new
         if not changed:
-            return labels.select("node", "component")
+            found = labels.select("node", "component")
+            found._scratch_path = labels._scratch_path
+            return found
 
 
 def slot_of(id_col: Column, bits: int) -> Column:
@@ -354,6 +356,7 @@ def jaccard_components(spark: SparkSession, documents: DataFrame, id_col: str =
         scratch.release()
         if rounds > 2:
             break
+    scratch.keep(cls, *([] if labels is None else [labels]))
     out = cls
     if labels is not None:
         out = cls.join(labels, cls["cls"] == labels["node"], "left").select("id", "n", F.coalesce("component", "cls").alias("cls"))
