@@ -35,7 +35,7 @@ SAMPLE_CHARS = 20_000
 BITS = 16
 UNKNOWN = "und"
 #: Texts are worked on in blocks of about so many characters.
-BLOCK_CHARS = 400_000
+BLOCK_CHARS = 100_000
 _M = np.uint32(0x9E3779B1)
 
 
