@@ -8,7 +8,8 @@ paragraphs of a bounded corpus sample that hold no distinctive template word, an
 template words. A temperature calibrates the probabilities, and the least probability that a family
 needs is fitted on rows kept from training so that at most MOST_FALSE of unknown ones pass. A
 predicted family counts only if the window holds the words of one of its templates in
-order: the longest common subsequence has to cover CONFIRM of the template.
+order: the longest common subsequence has to cover CONFIRM of the template. The words of a template
+of up to SHORT words have to stand together.
 
 Windows which no family can win are left out first, by an upper bound on the score, for
 whole batches with numpy.
@@ -45,12 +46,13 @@ TEMPLATES = {
     "LGPL": ["licensed under the GNU Lesser General Public License", "the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
     "MIT": ["Released under the MIT License", "licensed under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
-    "proprietary": ["All rights reserved. No part of this work may be reproduced without written permission", "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited"],
+    "proprietary": ["All rights reserved", "All rights reserved. No part of this work may be reproduced without written permission", "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited"],
 }
 UNKNOWN = "unknown"
 PIECE = 20
 SAMPLE_ROWS, SAMPLE_PARAGRAPHS = 600, 4000
 MOST_FALSE, CONFIRM = 0.002, 0.85
+SHORT = 4
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(64 - BITS)
 
@@ -84,6 +86,14 @@ def common_part(template: list[int], window: list[int]) -> float:
     return row[-1] / max(1, len(template))
 
 
+def similarity(template: list[int], window: list[int]) -> float:
+    """common_part; nothing for a short template whose words don't stand together."""
+    n = len(template)
+    if n <= SHORT and not any(window[i : i + n] == template for i in range(len(window) - n + 1)):
+        return 0.0
+    return common_part(template, window)
+
+
 @dataclass
 class Classifier:
     """Weights by feature and family (the last one is unknown), their calibration, and templates as word hashes."""
@@ -128,7 +138,7 @@ class Classifier:
             if p[family] < self.least or p[family] <= p[-1]:
                 continue
             own = window.astype(np.int64).tolist()
-            close = max(common_part(t, own) for t in self.templates[family])
+            close = max(similarity(t, own) for t in self.templates[family])
             if close >= CONFIRM:
                 yield int(paragraph[a]), self.names[family], float(p[family]), close
 

@@ -26,3 +26,11 @@ def test_scan(spark):
 
 def test_common_part():
     assert ls.common_part([1, 2, 3, 4], [9, 1, 3, 9, 4]) == 0.75
+
+
+def test_bare_line_of_reserved_rights(spark):
+    rng = random.Random(5)
+    plain = lambda n: " ".join("".join(rng.choice("abdeinorst") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    texts = ["All rights reserved.", f"{plain(80)}\nAll rights reserved.\n{plain(50)}", f"{plain(80)}\nAll rights reserved.", "all the rights that were reserved", "reserved rights, all"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.families for r in ls.scan(spark, df).orderBy("doc_id").collect()] == [["proprietary"]] * 3 + [[], []]
