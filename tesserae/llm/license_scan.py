@@ -1,12 +1,13 @@
 """Licence scans: a trained paragraph classifier, confirmed by comparison with templates.
 
-Texts are cut into paragraphs (lines) and these into pieces of PIECE words; two neighbouring pieces
-are a window. Each window is classified by sparse multinomial logistic regression on hashed word 1-
+Texts are cut into lines and paragraphs (lines up to one without a word), and both into pieces of PIECE
+words; two neighbouring pieces are a window. Windows of a paragraph run over line ends, so wrapped
+notices are found; those inside a line are the line's own. Each window is classified by sparse multinomial logistic regression on hashed word 1-
 and 2-grams (FTRL with elastic net) into licence families or `unknown`. The model is trained here:
 families from templates with words dropped, swapped and surrounded by other text; `unknown` from
 paragraphs of a bounded corpus sample that hold no distinctive template word, and from shuffled
-template words. A temperature calibrates the probabilities, and the least probability that a family
-needs is fitted on rows kept from training so that at most MOST_FALSE of unknown ones pass. A
+template words. A temperature calibrates the probabilities, and the least probability that all families
+together need is fitted on rows kept from training so that at most MOST_FALSE of unknown ones pass. A
 predicted family counts only if the window holds the words of one of its templates in
 order: the longest common subsequence has to cover CONFIRM of the template. The words of a template
 of up to SHORT words have to stand together.
@@ -110,10 +111,10 @@ class Classifier:
         self.margin = margin.max(axis=1)  # what a feature can win for any family at most
         self.margin_bias = float((self.bias[:-1] - self.bias[-1]).max())
 
-    def scan(self, paragraph: np.ndarray, h: np.ndarray) -> Iterator[tuple[int, str, float, float]]:
-        """(paragraph, family, probability, similarity) of windows in which a family is found and confirmed.
+    def scan(self, paragraph: np.ndarray, h: np.ndarray, line: np.ndarray | None = None) -> Iterator[tuple[int, str, float, float]]:
+        """(first word, family, probability, similarity) of windows in which a family is found and confirmed.
 
-        paragraph: each word's, ascending; h: each word's hash.
+        paragraph: each word's, ascending; h: each word's hash. With line (each word's), only windows over a line end.
         """
         if not len(h):
             return
@@ -131,16 +132,18 @@ class Classifier:
         hope = total * SCALE / (2 * size) + self.margin_bias > 0
         for k in np.flatnonzero(hope & (joined | ~follows)).tolist():
             a, b = int(at[k]), int(ends[k + 1] if joined[k] else ends[k])
+            if line is not None and line[a] == line[b - 1]:
+                continue
             window = h[a:b]
             x, v = counted(window)
             p = softmax(((v @ self.weights[x]) + self.bias)[None, :] / self.temperature)[0]
             family = int(p[:-1].argmax())
-            if p[family] < self.least or p[family] <= p[-1]:
+            if 1 - p[-1] < max(self.least, 0.5):  # families with words in common share what isn't unknown's
                 continue
             own = window.astype(np.int64).tolist()
             close = max(similarity(t, own) for t in self.templates[family])
             if close >= CONFIRM:
-                yield int(paragraph[a]), self.names[family], float(p[family]), close
+                yield a, self.names[family], float(p[family]), close
 
 
 def train(unknown: list[np.ndarray], seed: int = 11) -> Classifier:
@@ -170,13 +173,13 @@ def train(unknown: list[np.ndarray], seed: int = 11) -> Classifier:
     logits = np.array([v @ weights[f] + bias for (f, v), a in zip(made, aside, strict=True) if a])
     temperature = fit_temperature(logits, labels[aside])
     p = softmax(logits / temperature)
-    false = np.sort(p[labels[aside] == len(names), :-1].max(axis=1))
+    false = np.sort(1 - p[labels[aside] == len(names), -1])
     least = float(max(0.3, false[int(len(false) * (1 - MOST_FALSE)) - 1])) if len(false) else 0.5
     return Classifier(names, weights, bias, temperature, least, [[t.astype(np.int64).tolist() for t in own] for own in templates])
 
 
-def paragraphs(counts: np.ndarray, rows: list[bytes | None], starts: np.ndarray) -> np.ndarray:
-    """Each word's paragraph, numbered over a block; base of each row is known from its first word."""
+def lines_of(counts: np.ndarray, rows: list[bytes | None], starts: np.ndarray) -> np.ndarray:
+    """Each word's line, numbered over a block of texts."""
     out, at, base = np.zeros(len(starts), np.int64), 0, 0
     for t, c in zip(rows, counts.tolist(), strict=True):
         if c:
@@ -187,6 +190,11 @@ def paragraphs(counts: np.ndarray, rows: list[bytes | None], starts: np.ndarray)
     return out
 
 
+def paragraphs(line: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Each word's paragraph: a new one after a line without a word, and with each text."""
+    return np.concatenate([[0], np.cumsum((np.diff(line) > 1) | (np.diff(row) > 0))])
+
+
 def unknown_paragraphs(documents: DataFrame) -> list[np.ndarray]:
     """Word hashes of a bounded sample's paragraphs that hold no distinctive template word."""
     n = documents.count()
@@ -200,7 +208,10 @@ def unknown_paragraphs(documents: DataFrame) -> list[np.ndarray]:
 
 
 def scan(spark: SparkSession, documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Id, families (sorted), n_passages (windows in which one was confirmed), score and similarity (best; null where none)."""
+    """Id, families (sorted), n_passages, score and similarity (best; null where none).
+
+    n_passages: windows in which a family was confirmed; those over line ends count where no line of the paragraph holds the family.
+    """
     small_batches(spark)
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     model = train(unknown_paragraphs(docs))
@@ -213,11 +224,14 @@ def scan(spark: SparkSession, documents: DataFrame, id_col: str = "doc_id", text
             for first, rows, counts, starts, _, hashes in word_blocks(texts, NON_ALNUM):
                 if not len(hashes):
                     continue
-                para = paragraphs(counts, rows, starts)
-                row_of = np.repeat(np.arange(len(rows)), counts)
-                firsts, index = np.unique(para, return_index=True)
-                for p, family, probability, close in shared.value.scan(para, hashes):
-                    found[first + int(row_of[index[np.searchsorted(firsts, p)]])].append((family, probability, close))
+                line, row = lines_of(counts, rows, starts), np.repeat(np.arange(len(rows)), counts)
+                paragraph, seen = paragraphs(line, row), set()
+                for a, family, probability, close in shared.value.scan(line, hashes):
+                    seen.add((int(paragraph[a]), family))
+                    found[first + int(row[a])].append((family, probability, close))
+                for a, family, probability, close in shared.value.scan(paragraph, hashes, line):
+                    if (int(paragraph[a]), family) not in seen:
+                        found[first + int(row[a])].append((family, probability, close))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),

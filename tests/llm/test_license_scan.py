@@ -1,4 +1,5 @@
 import random
+import textwrap
 
 from tesserae.llm import license_scan as ls
 
@@ -34,3 +35,34 @@ def test_bare_line_of_reserved_rights(spark):
     texts = ["All rights reserved.", f"{plain(80)}\nAll rights reserved.\n{plain(50)}", f"{plain(80)}\nAll rights reserved.", "all the rights that were reserved", "reserved rights, all"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [r.families for r in ls.scan(spark, df).orderBy("doc_id").collect()] == [["proprietary"]] * 3 + [[], []]
+
+
+NOTICES = {
+    "GPL": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+}
+
+
+def test_wrapped_notices(spark):
+    rng = random.Random(7)
+    plain = lambda n: " ".join("".join(rng.choice("abdeinorst") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    texts, want = [], []
+    for name, notice in NOTICES.items():
+        lines = textwrap.wrap(notice, 72)
+        texts += [f"{plain(60)}\n\n" + "\n".join(lines) + f"\n\n{plain(60)}", "/*\n" + "\n".join(" * " + x for x in lines) + "\n */\n" + plain(60), "\r\n".join("# " + x for x in lines)]
+        want += [[name]] * 3
+    for name, own in ls.TEMPLATES.items():
+        for t in own:
+            if len(t) > 40:
+                texts.append(plain(30) + "\n" + "\n".join(textwrap.wrap(t, len(t) // 2 + 6)) + "\n" + plain(5))
+                want.append([name])
+    texts += ["\n".join(textwrap.wrap(plain(300), 72)) for _ in range(20)] + ["Released under the\n\nMIT License", "Released under the"]
+    want += [[]] * 22
+    texts.append("MIT License")  # follows the row above in its block
+    want.append([])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    out = ls.scan(spark, df).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.families) for r in out if r.families != want[r.doc_id]] == []
