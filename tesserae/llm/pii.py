@@ -7,15 +7,16 @@ Replacements are keyed and depend only on the key and the entity's canonical for
 entity gets the same one everywhere (coreference), in the case and separators of each mention.
 Digits and letters go through a keyed permutation of all strings of their shape (a balanced Feistel network
 on two halves), so different entities of one shape can't collide; where a permutation would leave
-the format (an octet over 255) it permutes the values that are left in it. Names are drawn by
-gender (which the title tells) and can meet. So each document is checked: where two entities would share a
+the format (an octet over 255) it permutes the values that are left in it. Each word of a name gets its
+letters permuted in their alphabets, behind a first name of the title's gender. Each document is checked: where two entities would share a
 replacement, or a replacement is itself an entity of the text, the document's entities are drawn
 again, with another key derived from the key, up to ATTEMPTS times. collisions() lists what two
 entities of a whole table share.
 
 Types: e-mail addresses, IPv4 addresses, phone numbers, card numbers (13 to 19 digits; numbers with a
 right check digit get one), secrets after an assignment (token, key, password, secret), social
-security numbers, and names after a title, whose gender the title tells.
+security numbers, and whole names after a title, whose gender the title tells; words of such names are
+found without a title as well in the same text.
 
 Defined results: a null text stays null, an empty or clean text stays as it is; repeated rows
 get the same result; an empty table gives no rows; other columns are kept by anonymise().
@@ -33,18 +34,30 @@ PHONE = r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![0-9])[0-9]{13,19}(?![0-9])|(?<![0-9])[0-9]{4}(?:[ -][0-9]{4}){3}(?![0-9])"
 SECRET = r"(?i:(?:token|api[_-]?key|secret|password|passwd))\s{0,3}[=:]\s{0,3}[\"'][^\"'\s]{6,200}[\"']"
-NAME = r"\b(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Señor|Señora|MR|MRS|MS|HERR|FRAU)\b\.? [A-ZÄÖÜÉÈÇÑ][A-Za-zÄÖÜäöüßéèêçñíó]{1,30}"
+TITLE = r"(?<![\p{L}\p{M}\p{N}_])(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Señor|Señora|MR|MRS|MS|MISS|HERR|FRAU|MONSIEUR|MADAME|SEÑOR|SEÑORA)(?:\. ?| )"
+NAME_WORD = r"[\p{Lu}\p{Lt}\p{Lo}][\p{L}\p{M}]*+(?:[-‐'’](?!s(?![\p{L}\p{M}]))[\p{L}\p{M}]++)*+|[dl]['’]\p{Lu}[\p{L}\p{M}]*+"
+PARTICLE = r"(?:von|van|vom|zu|zur|zum|der|den|des|del|della|de|di|da|do|dos|du|la|le|ter|ten|bin|ibn|al|el|y|e)"
+NAME = rf"{TITLE}(?:{PARTICLE} ){{0,3}}(?:{NAME_WORD})(?: (?:{PARTICLE} ){{0,3}}(?:{NAME_WORD})){{0,4}}+"
 ENTITY = "|".join([SECRET, EMAIL, NAME, PHONE, IPV4, SSN, CARD])
 
-# Parts of drawn names, by the gender that the title tells, and parts of their second halves.
+# First names by the gender that the title tells.
 FEMALE = ["Ada", "Berta", "Clara", "Dora", "Elsa", "Flora", "Greta", "Hanna", "Ida", "Julia", "Klara", "Lena", "Marta", "Nora", "Olga", "Paula"]
 MALE = ["Adam", "Bert", "Carl", "Dirk", "Emil", "Frank", "Gustav", "Hans", "Ivan", "Jonas", "Karl", "Leon", "Martin", "Nils", "Otto", "Paul"]
-FIRST_HALF = ["Ash", "Birch", "Cold", "Dale", "East", "Fern", "Gold", "High", "Iron", "Long", "Mill", "North", "Oak", "Red", "South", "West"]
-SECOND_HALF = ["bank", "brook", "bury", "croft", "dale", "field", "ford", "gate", "ham", "hill", "land", "ley", "mere", "ton", "wick", "wood"]
+# Letters that replace each other; lower case, or of scripts without case.
+ALPHABETS = [
+    "aeiouy", "bcdfghjklmnpqrstvwxz", "àáâãäåæèéêëìíîïòóôõöøœùúûüýÿāăąēĕėęěĩīĭįōŏőũūŭůűų", "çðñþćĉċčďđĝğġģĥħĵķĺļľłńņňŋŕŗřśŝşšţťŧŵźżž",
+    "αεηιουωάέήίόύώ", "βγδζθκλμνξπρστφχψ", "аеиоуыэюяёієї", "бвгджзйклмнпрстфхцчшщґђјљњћўџ", "ъь",
+]
+# First and last letter of scripts without case: Armenian (small), Hebrew, Arabic, Devanagari, Bengali, Thai, Georgian, kana, Han, Hangul.
+RANGES = [
+    (0x561, 0x586), (0x5D0, 0x5EA), (0x621, 0x63A), (0x641, 0x64A), (0x905, 0x914), (0x915, 0x939), (0x995, 0x9A8), (0xE01, 0xE2E), (0x10D0, 0x10F0),
+    (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3),
+]
 FEMALE_TITLES = ["mrs", "ms", "miss", "frau", "madame", "señora"]
+CARRIED = "array<struct<word:string,female:boolean>>"
 
 #: Only texts with one of these can hold an entity; a cheap test before the expression of all forms.
-HINT = r"[@0-9\"']|\b(?:M(?:r|rs|s|iss|R|RS|S|onsieur|adame)|Herr|Frau|HERR|FRAU|Señora?)\b"
+HINT = r"[@0-9\"']|M(?:rs?|s|iss|RS?|S|ISS|onsieur|adame|ONSIEUR|ADAME)[. ]|Herr|Frau|HERR|FRAU|Señor|SEÑOR"
 
 #: Rounds of the permutation; four make it strong against chosen inputs.
 ROUNDS = 4
@@ -191,22 +204,83 @@ def _secret(assignment: Column, key: str) -> Column:
     return F.concat(head, permuted_signs(value, key, "secret"), F.right(assignment, F.lit(1)))
 
 
-def _name(mention: Column, key: str) -> Column:
-    """The title stays; the name is drawn by the key from the list of the title's gender, in the mention's case."""
-    title = F.regexp_extract(mention, r"^\S+ ", 0)
-    name = F.substr(mention, F.length(title) + 1, F.length(mention))
-    female = F.lower(F.regexp_replace(title, r"[. ]", "")).isin(FEMALE_TITLES)
-    draw = _number(key, F.lit("name"), F.lower(name))
+def _permuted_letters(word: Column, key: str) -> Column:
+    """A keyed permutation of lower-case words: each letter is shifted in its own alphabet by all letters before it.
+
+    Marks and signs stay. A letter of no listed alphabet becomes six Latin consonants.
+    """
+
+    def moved(c: Column, shift: Column) -> Column:
+        out = None
+        for letters in ALPHABETS:
+            at = F.instr(F.lit(letters), c)
+            new = F.substr(F.lit(letters), (F.pmod(at - 1 + shift, F.lit(len(letters))) + 1).cast("int"), F.lit(1))
+            out = F.when(at > 0, new) if out is None else out.when(at > 0, new)
+        code = F.ascii(c)
+        for low, high in RANGES:
+            new = F.pmod(code - low + shift, F.lit(high - low + 1)) + low
+            out = out.when(code.between(low, high), F.decode(F.unhex(F.lpad(F.hex(new), 8, "0")), "UTF-32"))
+        coded = F.translate(F.lpad(F.hex(F.pmod(code + shift, F.lit(0x110000))), 6, "0"), "0123456789ABCDEF", "bcdfghjklmnpqrst")
+        return out.when(c.rlike(r"^\p{L}$") & (c != "ß"), coded).otherwise(c)
+
+    signs = F.filter(F.split(F.translate(word, "ς", "σ"), ""), lambda c: c != "")
+    return F.aggregate(
+        signs,
+        F.struct(F.lit("").alias("seen"), F.lit("").alias("out")),
+        lambda s, c: F.struct(F.concat(s["seen"], c).alias("seen"), F.concat(s["out"], moved(c, _number(key, F.lit("letters"), s["seen"]))).alias("out")),
+        lambda s: s["out"],
+    )
+
+
+def _title(mention: Column) -> Column:
+    return F.regexp_extract(mention, f"^{TITLE}", 0)
 
-    def part(values: list[str], by: int) -> Column:
-        return F.element_at(F.array(*map(F.lit, values)), (F.pmod(F.shiftright(draw, by), F.lit(16)) + 1).cast("int"))
 
-    new = F.concat(F.when(female, part(FEMALE, 0)).otherwise(part(MALE, 0)), F.lit("-"), part(FIRST_HALF, 4), part(SECOND_HALF, 8))
-    return F.concat(title, F.when((F.length(name) > 1) & (name == F.upper(name)), F.upper(new)).otherwise(new))
+def _female(title: Column) -> Column:
+    return F.lower(F.regexp_replace(title, "[. ]", "")).isin(FEMALE_TITLES)
 
 
-def surrogate(entity: Column, key: str) -> Column:
-    """The keyed replacement of an entity."""
+def _particle(words: Column, w: Column, i: Column) -> Column:
+    """Whether a name's word is a particle: not its last one, and in lower or upper case."""
+    return F.lower(w).rlike(f"^{PARTICLE}$") & (i < F.size(words) - 1) & ((w == F.lower(w)) | (w == F.upper(w)))
+
+
+def _split_name(mention: Column) -> Column:
+    return F.split(F.substr(mention, F.length(_title(mention)) + 1, F.length(mention)), " ")
+
+
+def name_words(mention: Column) -> Column:
+    """The words of a name, without its title and without particles, in lower case."""
+    words = _split_name(mention)
+    return F.transform(F.filter(words, lambda w, i: ~_particle(words, w, i)), F.lower)
+
+
+def _name(mention: Column, key: str, carried: Column) -> Column:
+    """Title and particles stay; each word gets a first name of the title's gender and its own letters permuted.
+
+    In other scripts the letters alone are permuted. Without a title the gender is that of the word's first titled mention.
+    """
+    title = _title(mention)
+    words = _split_name(mention)
+
+    def word(w: Column, i: Column) -> Column:
+        low = F.lower(w)
+        first = F.try_element_at(F.filter(carried, lambda c: c["word"] == low), F.lit(1))
+        female = F.when(title != "", _female(title)).otherwise(F.coalesce(first["female"], F.lit(False)))
+        at = (F.pmod(_number(key, F.lit("name"), low), F.lit(16)) + 1).cast("int")
+        given = F.element_at(F.when(female, F.array(*map(F.lit, FEMALE))).otherwise(F.array(*map(F.lit, MALE))), at)
+        letters = _permuted_letters(low, key)
+        letters = F.concat(F.upper(F.substr(letters, F.lit(1), F.lit(1))), F.substr(letters, F.lit(2), F.length(letters)))
+        new = F.when(w.rlike(r"\p{IsLatin}"), F.concat(given, F.lit("-"), letters)).otherwise(letters)
+        return F.when(_particle(words, w, i), w).when((F.length(w) > 1) & (w == F.upper(w)), F.upper(new)).otherwise(new)
+
+    return F.concat(title, F.array_join(F.transform(words, word), " "))
+
+
+def surrogate(entity: Column, key: str, carried: Column | None = None) -> Column:
+    """The keyed replacement of an entity; carried: the words of its text's titled names."""
+    if carried is None:
+        carried = F.array().cast(CARRIED)
     kind = kind_of(entity)
     return (
         F.when(kind == "email", _email(entity, key))
@@ -215,14 +289,33 @@ def surrogate(entity: Column, key: str) -> Column:
         .when(kind == "phone", _phone(entity, key))
         .when(kind == "ssn", _same_form(entity, permuted_digits(F.regexp_replace(entity, "-", ""), key, "ssn")))
         .when(kind == "card", _card(entity, key))
-        .otherwise(_name(entity, key))
+        .otherwise(_name(entity, key, carried))
     )
 
 
-def entities(text: Column) -> Column:
-    """All entities of a text in order."""
+def carried_words(text: Column) -> Column:
+    """The words of a text's titled names, with the gender of their first title."""
+    names = F.regexp_extract_all(text, F.lit(f"({NAME})"), F.lit(1))
+    words = F.flatten(F.transform(names, lambda n: F.transform(name_words(n), lambda w: F.struct(w.alias("word"), _female(_title(n)).alias("female")))))
+    return F.when(text.rlike(NAME), words).otherwise(F.array()).cast(CARRIED)
+
+
+def forms(carried: Column) -> Column:
+    """The expression of a text's entities: ENTITY, and mentions of its titled names without a title."""
+    # letters, hyphens and apostrophes only, so nothing in a word needs quoting; single letters aren't carried
+    words = F.array_distinct(F.filter(F.transform(carried, lambda c: c["word"]), lambda w: w.rlike(r"^(?:..|\p{Lo})")))
+    longest_first = F.transform(F.reverse(F.array_sort(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))), lambda x: x["w"])
+    untitled = F.concat(F.lit(r"(?<![\p{L}\p{M}\p{N}_])(?=[\p{Lu}\p{Lt}\p{Lo}])(?iu:"), F.array_join(longest_first, "|"), F.lit(r")(?![\p{L}\p{M}\p{N}_])"))
+    return F.when(F.size(words) > 0, F.concat(F.lit(f"{ENTITY}|"), untitled)).otherwise(F.lit(ENTITY))
+
+
+def entities(text: Column, carried: Column | None = None) -> Column:
+    """All entities of a text in order; with its carried words, mentions of names without a title as well."""
     none = F.array().cast("array<string>")
-    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(f"({ENTITY})"), F.lit(1))).when(text.isNotNull(), none)
+    found = F.regexp_extract_all(text, F.lit(f"({ENTITY})"), F.lit(1))
+    if carried is not None:
+        found = F.when(F.size(carried) > 0, F.regexp_extract_all(text, F.concat(F.lit("("), forms(carried), F.lit(")")), F.lit(1))).otherwise(found)
+    return F.when(text.rlike(HINT), found).when(text.isNotNull(), none)
 
 
 def _distinct(found: Column, new: Column) -> Column:
@@ -234,12 +327,14 @@ def _distinct(found: Column, new: Column) -> Column:
 def with_replacements(rows: DataFrame, key: str, text: str) -> DataFrame:
     """rows with _entities, _new (their replacements) and _anonymous (the text with them)."""
     draws = [f"{key}\x1f{k}" if k else key for k in range(ATTEMPTS)]
-    out = rows.withColumn("_entities", entities(F.col(text)))
-    out = out.withColumn("_new", F.transform("_entities", lambda e: surrogate(e, draws[0])))
+    out = rows.withColumn("_carried", carried_words(F.col(text)))
+    out = out.withColumn("_entities", entities(F.col(text), F.col("_carried")))
+    out = out.withColumn("_new", F.transform("_entities", lambda e: surrogate(e, draws[0], F.col("_carried"))))
     for d in draws[1:]:
-        again = F.transform("_entities", lambda e, d=d: surrogate(e, d))
+        again = F.transform("_entities", lambda e, d=d: surrogate(e, d, F.col("_carried")))
         out = out.withColumn("_new", F.when((F.size("_entities") == 0) | _distinct(F.col("_entities"), F.col("_new")), F.col("_new")).otherwise(again))
-    parts = F.zip_with(F.split(F.col(text), ENTITY, -1), F.concat("_new", F.array(F.lit(""))), lambda b, n: F.concat(b, n))
+    between = F.when(F.size("_carried") > 0, F.split(F.col(text), forms(F.col("_carried")), -1)).otherwise(F.split(F.col(text), ENTITY, -1))
+    parts = F.zip_with(between, F.concat("_new", F.array(F.lit(""))), lambda b, n: F.concat(b, n))
     return out.withColumn("_anonymous", F.when(F.size("_entities") > 0, F.array_join(parts, "")).otherwise(F.col(text)))
 
 

@@ -1,5 +1,6 @@
 import ipaddress
 import re
+import unicodedata
 
 from tesserae.llm import pii
 
@@ -71,3 +72,25 @@ def test_long_text_and_plan(spark):
     assert out[:1_500_000] == text[:1_500_000] and out != text
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert "Python" not in pii.replacements(df, KEY)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_whole_names(spark):
+    names = ["Jane Doe", "Müller-Lüdenscheidt", "Żak", "O'Neil", "von der Heide", "Анна Петрова", "王小明", "Παπαδόπουλος", "d'Arc", "José García"]
+    texts = [f"so Mrs. {n} said" for n in names] + [f"so Mr {n}'s dog, MR {n.upper()} and Mr. {n}." for n in names]
+    out = run(spark, texts)
+    for n, t in zip(names * 2, out, strict=True):
+        assert t.startswith("so Mr") and (t.endswith(" said") or t.endswith(".")) and not [w for w in re.split("[ -]", n) if w.lower() in t.lower() and w not in ("von", "der")], (n, t)
+    scripts = lambda t: {unicodedata.name(c).split()[0] for c in t if c.isalpha()}
+    assert all(scripts(t[7:-5].strip()) == scripts(n) for n, t in zip(names, out, strict=False))
+    for t in out[len(names) :]:
+        a, b, c = re.fullmatch(r"so Mr (.*)'s dog, MR (.*) and Mr\. (.*)\.", t).groups()
+        assert a == c and a.upper() == b.upper()
+
+
+def test_names_without_title_follow(spark):
+    texts = ["Doe came. Mrs. Jane Doe met Mr Żak, then Doe, Jane Doe, DOE's and Żak left; doe stays, Doebler stays. Mail Doe@mail.example.com", "Doe alone"]
+    out = run(spark, texts)
+    doe, jane, doe2, zak, doe3, jane2, doe4, upper, zak2, rest = re.fullmatch(r"(\S+) came\. Mrs\. (\S+) (\S+) met Mr (\S+), then (\S+), (\S+) (\S+), (\S+)'s and (\S+) left; (.*)", out[0]).groups()
+    assert doe == doe2 == doe3 == doe4 and upper == doe.upper() and jane == jane2 and zak == zak2 and len({doe, jane, zak}) == 3
+    assert doe.split("-")[0] in pii.FEMALE and zak.split("-")[0] in pii.MALE
+    assert rest.startswith("doe stays, Doebler stays. Mail ") and "Doe@" not in rest and out[1] == texts[1]
