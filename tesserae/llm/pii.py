@@ -8,10 +8,10 @@ entity gets the same one everywhere (coreference), in the case and separators of
 Digits and letters go through a keyed permutation of all strings of their shape (a balanced Feistel network
 on two halves), so different entities of one shape can't collide; where a permutation would leave
 the format (an octet over 255) it permutes the values that are left in it. Each word of a name gets its
-letters permuted in their alphabets, behind a first name of the title's gender. Each document is checked: where two entities would share a
-replacement, or a replacement is itself an entity of the text, the document's entities are drawn
-again, with another key derived from the key, up to ATTEMPTS times. collisions() lists what two
-entities of a whole table share.
+letters permuted in their alphabets, behind a first name of the title's gender. Each
+document is checked: a replacement that is itself an entity of the text is drawn again, that
+entity's alone, with another key derived from the key; where this doesn't help the first ones
+stand. collisions() lists what two entities of a whole table share.
 
 Types: e-mail addresses, IPv4 addresses, phone numbers, card numbers (13 to 19 digits; numbers with a
 right check digit get one), secrets after an assignment (token, key, password, secret), social
@@ -61,7 +61,6 @@ HINT = r"[@0-9\"']|M(?:rs?|s|iss|RS?|S|ISS|onsieur|adame|ONSIEUR|ADAME)[. ]|Herr
 
 #: Rounds of the permutation; four make it strong against chosen inputs.
 ROUNDS = 4
-ATTEMPTS = 3
 
 
 def kind_of(entity: Column) -> Column:
@@ -318,21 +317,26 @@ def entities(text: Column, carried: Column | None = None) -> Column:
     return F.when(text.rlike(HINT), found).when(text.isNotNull(), none)
 
 
-def _distinct(found: Column, new: Column) -> Column:
-    """Whether as many replacements as entities, by canonical form, and none is an entity of the text."""
+def _meets(found: Column, new: Column) -> Column:
+    """For each replacement whether it is an entity of the text, or stands for another entity too."""
     before, after = F.transform(found, canonical), F.transform(new, canonical)
-    return (F.size(F.array_distinct(before)) == F.size(F.array_distinct(after))) & ~F.arrays_overlap(before, after)
+    pairs = F.array_distinct(F.arrays_zip(before.alias("b"), after.alias("a")))
+    clear = (F.size(F.array_distinct(before)) == F.size(F.array_distinct(pairs["a"]))) & ~F.arrays_overlap(before, after)
+    each = F.zip_with(before, after, lambda b, a: F.array_contains(before, a) | F.exists(pairs, lambda p: (p["a"] == a) & (p["b"] != b)))
+    return F.when(clear | (F.size(found) == 0), F.transform(found, lambda e: F.lit(False))).otherwise(each)
 
 
 def with_replacements(rows: DataFrame, key: str, text: str) -> DataFrame:
     """rows with _entities, _new (their replacements) and _anonymous (the text with them)."""
-    draws = [f"{key}\x1f{k}" if k else key for k in range(ATTEMPTS)]
     out = rows.withColumn("_carried", carried_words(F.col(text)))
     out = out.withColumn("_entities", entities(F.col(text), F.col("_carried")))
-    out = out.withColumn("_new", F.transform("_entities", lambda e: surrogate(e, draws[0], F.col("_carried"))))
-    for d in draws[1:]:
-        again = F.transform("_entities", lambda e, d=d: surrogate(e, d, F.col("_carried")))
-        out = out.withColumn("_new", F.when((F.size("_entities") == 0) | _distinct(F.col("_entities"), F.col("_new")), F.col("_new")).otherwise(again))
+    out = out.withColumn("_new", F.transform("_entities", lambda e: surrogate(e, key, F.col("_carried"))))
+    out = out.withColumn("_meets", _meets(F.col("_entities"), F.col("_new")))
+    # only what meets is drawn again, and only if that helps: else the permutations of one key stand, which are injective
+    again = F.zip_with(F.arrays_zip("_entities", "_new"), "_meets", lambda x, m: F.when(m, surrogate(x["_entities"], f"{key}\x1f1", F.col("_carried"))).otherwise(x["_new"]))
+    out = out.withColumn("_again", F.when(F.exists("_meets", lambda m: m), again))
+    better = ~F.exists(_meets(F.col("_entities"), F.col("_again")), lambda m: m)
+    out = out.withColumn("_new", F.when(F.col("_again").isNotNull() & better, F.col("_again")).otherwise(F.col("_new")))
     between = F.when(F.size("_carried") > 0, F.split(F.col(text), forms(F.col("_carried")), -1)).otherwise(F.split(F.col(text), ENTITY, -1))
     parts = F.zip_with(between, F.concat("_new", F.array(F.lit(""))), lambda b, n: F.concat(b, n))
     return out.withColumn("_anonymous", F.when(F.size("_entities") > 0, F.array_join(parts, "")).otherwise(F.col(text)))
@@ -354,8 +358,9 @@ def replacements(documents: DataFrame, key: str, id_col: str = "doc_id", text_co
 
 
 def canonical(entity: Column) -> Column:
-    """What mentions of one entity share: lower case, and digits alone for numbers."""
-    return F.when(kind_of(entity).isin("phone", "card", "ssn"), F.regexp_replace(entity, "[^0-9]", "")).otherwise(F.lower(entity))
+    """What mentions of one entity share: lower case, digits alone for numbers, and names without title."""
+    kind = kind_of(entity)
+    return F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(entity, "[^0-9]", "")).when(kind == "name", F.array_join(name_words(entity), " ")).otherwise(F.lower(entity))
 
 
 def collisions(documents: DataFrame, key: str, text_col: str = "text") -> DataFrame:

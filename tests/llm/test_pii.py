@@ -94,3 +94,12 @@ def test_names_without_title_follow(spark):
     assert doe == doe2 == doe3 == doe4 and upper == doe.upper() and jane == jane2 and zak == zak2 and len({doe, jane, zak}) == 3
     assert doe.split("-")[0] in pii.FEMALE and zak.split("-")[0] in pii.MALE
     assert rest.startswith("doe stays, Doebler stays. Mail ") and "Doe@" not in rest and out[1] == texts[1]
+
+
+def test_many_names_do_not_meet(spark):
+    names = [a + b + c for a in ("Ba", "Ke", "Lo", "Mi", "Ru") for b in ("bel", "dor", "fin", "gas", "hut", "jam", "kol", "lin") for c in ("a", "er", "is", "off", "um")]
+    (out,) = run(spark, [", ".join(f"{t} {n}" for n in names for t in ("Mr", "Herr"))])
+    new = [x.split(" ")[1] for x in out.split(", ")]
+    assert new[0::2] == new[1::2] and len(set(new)) == len(names) == 200 and not set(new) & set(names)
+    df = spark.createDataFrame([(1, "Mr Jones"), (2, "Herr Jones"), (3, "MR. JONES")], "doc_id long, text string")
+    assert [r.c for r in df.select(pii.canonical(pii.F.col("text")).alias("c")).distinct().collect()] == ["jones"]
