@@ -14,7 +14,7 @@ entity's alone, with another key derived from the key; where this doesn't help t
 stand. collisions() lists what two entities of a whole table share.
 
 Types: e-mail addresses, IPv4 addresses, phone numbers, card numbers (13 to 19 digits; numbers with a
-right check digit get one), secrets after an assignment (token, key, password, secret), social
+right check digit get one, others don't), secrets after an assignment (token, key, password, secret), social
 security numbers, and whole names after a title, whose gender the title tells; words of such names are
 found without a title as well in the same text.
 
@@ -178,15 +178,15 @@ def _email(address: Column, key: str) -> Column:
 
 
 def _card(number: Column, key: str) -> Column:
-    """Digits permuted in their places. If the check digit was right, it is again: the others are permuted and it is computed."""
+    """Digits permuted in their places. A right check digit is right again, a wrong one is wrong again: all but it are permuted, and it follows."""
     digits = F.regexp_replace(number, "[^0-9]", "")
-    plain = permuted_digits(digits, key, "card")
     body = permuted_digits(F.substr(digits, F.lit(1), F.length(digits) - 1), key, "checked card")
-    check = F.pmod(-_luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
-    checked = F.concat(body, check)
-    # a number without a right check digit mustn't get one by chance: then its last digit moves on by one
-    spoiled = F.when(_luhn_sum(plain) % 10 == 0, plain).otherwise(plain)
-    return _same_form(number, F.when(_luhn_sum(digits) % 10 == 0, checked).otherwise(spoiled))
+    check = F.pmod(-_luhn_sum(F.concat(body, F.lit("0"))), F.lit(10))
+    # how far the last digit is from the right one: 0 stays 0, and 1 to 9 are moved among themselves, so a wrong number stays wrong
+    own = F.substr(digits, F.lit(1), F.length(digits) - 1)
+    off = F.pmod(F.right(digits, F.lit(1)).cast("int") + _luhn_sum(F.concat(own, F.lit("0"))), F.lit(10))
+    moved = F.when(off == 0, F.lit(0)).otherwise(F.pmod(off - 1 + _number(key, F.lit("wrong card"), own), F.lit(9)) + 1)
+    return _same_form(number, F.concat(body, F.pmod(check + moved, F.lit(10)).cast("string")))
 
 
 def _phone(number: Column, key: str) -> Column:

@@ -103,3 +103,11 @@ def test_many_names_do_not_meet(spark):
     assert new[0::2] == new[1::2] and len(set(new)) == len(names) == 200 and not set(new) & set(names)
     df = spark.createDataFrame([(1, "Mr Jones"), (2, "Herr Jones"), (3, "MR. JONES")], "doc_id long, text string")
     assert [r.c for r in df.select(pii.canonical(pii.F.col("text")).alias("c")).distinct().collect()] == ["jones"]
+
+
+def test_wrong_check_digits_stay_wrong(spark):
+    numbers = [str(4000000000000000 + 7 * i) for i in range(400)]
+    out = run(spark, numbers)
+    assert [luhn(a) for a in numbers] == [luhn(a) for a in out] and len(set(out)) == 400
+    ends = [f"400000000000123{i}" for i in range(10)]
+    assert len({x[:-1] for x in run(spark, ends)}) == 1 and len(set(run(spark, ends))) == 10
