@@ -30,10 +30,22 @@ from pyspark.sql import functions as F
 # The forms of entities. Each is one alternative; none has a capturing group.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,255}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}"
 IPV4 = r"(?<![0-9.])(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}(?![0-9]|\.[0-9])"
-PHONE = r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![0-9])[0-9]{13,19}(?![0-9])|(?<![0-9])[0-9]{4}(?:[ -][0-9]{4}){3}(?![0-9])"
-SECRET = r"(?i:(?:token|api[_-]?key|secret|password|passwd))\s{0,3}[=:]\s{0,3}[\"'][^\"'\s]{6,200}[\"']"
+DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./-][0-9]{2}[./-][0-9]{4}"
+# a group of digits in a phone number, unless another number begins there
+_GROUP = rf"(?: (?!{IPV4}|{SSN}|{CARD}|{DATE})|[.-])?[0-9]{{1,5}}"
+#: North American, other international (7 to 15 digits), area codes in brackets, three groups with signs, leading zero (9 to 12 digits).
+PHONE = (
+    r"(?<![0-9+])\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
+    rf"|(?<![0-9+])\+(?=(?:[ .()-]{{0,2}}[0-9]){{7}})[0-9]{{1,3}}(?:[ .-]?\([0-9]{{1,5}}\))?(?:{_GROUP}){{1,8}}(?![0-9])"
+    r"|(?<![0-9(])\([0-9]{2,5}\)[ .-]?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}(?![0-9])"
+    r"|(?<![0-9.+-])(?:[0-9]{3}-[0-9]{3}-[0-9]{4}|[0-9]{3}\.[0-9]{3}\.[0-9]{4})(?![0-9]|[.-][0-9])"
+    rf"|(?<![0-9.,+:/-])(?!{DATE})0(?=(?:[ ./-]?[0-9]){{8,11}}(?![0-9]))[0-9]{{1,4}}[ /.-](?:[0-9]{{2,8}}(?:[ .-][0-9]{{2,4}}){{0,4}})(?![0-9])"
+)
+SECRET_NAME = r"(?i:(?:token|api[_-]?key|secret|password|passwd))"
+#: Quoted values of any length. Without quotes, up to white space: after = any, after : one with a digit.
+SECRET = rf"{SECRET_NAME}[\"']?\s{{0,3}}[=:]\s{{0,3}}(?:[\"'][^\"'\s]{{6,}}+[\"']|(?:(?<==)|(?<==\s)|(?<==\s\s)|(?<==\s\s\s)|(?=[^\"'\s,;&]*[0-9]))[^\"'\s,;&]{{5,}}[^\"'\s,;&.!?)#%*$])"
 TITLE = r"(?<![\p{L}\p{M}\p{N}_])(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Señor|Señora|MR|MRS|MS|MISS|HERR|FRAU|MONSIEUR|MADAME|SEÑOR|SEÑORA)(?:\. ?| )"
 NAME_WORD = r"[\p{Lu}\p{Lt}\p{Lo}][\p{L}\p{M}]*+(?:[-‐'’](?!s(?![\p{L}\p{M}]))[\p{L}\p{M}]++)*+|[dl]['’]\p{Lu}[\p{L}\p{M}]*+"
 PARTICLE = r"(?:von|van|vom|zu|zur|zum|der|den|des|del|della|de|di|da|do|dos|du|la|le|ter|ten|bin|ibn|al|el|y|e)"
@@ -57,10 +69,12 @@ FEMALE_TITLES = ["mrs", "ms", "miss", "frau", "madame", "señora"]
 CARRIED = "array<struct<word:string,female:boolean>>"
 
 #: Only texts with one of these can hold an entity; a cheap test before the expression of all forms.
-HINT = r"[@0-9\"']|M(?:rs?|s|iss|RS?|S|ISS|onsieur|adame|ONSIEUR|ADAME)[. ]|Herr|Frau|HERR|FRAU|Señor|SEÑOR"
+HINT = r"[@0-9\"'=]|M(?:rs?|s|iss|RS?|S|ISS|onsieur|adame|ONSIEUR|ADAME)[. ]|Herr|Frau|HERR|FRAU|Señor|SEÑOR"
 
 #: Rounds of the permutation; four make it strong against chosen inputs.
 ROUNDS = 4
+#: Signs of a secret that are permuted together.
+PIECE = 200
 
 
 def kind_of(entity: Column) -> Column:
@@ -70,9 +84,9 @@ def kind_of(entity: Column) -> Column:
         F.when(entity.contains("@") & whole(EMAIL), "email")
         .when(whole(SECRET), "secret")
         .when(whole(IPV4), "ip")
-        .when(entity.startswith("+"), "phone")
         .when(whole(SSN), "ssn")
-        .when(entity.rlike("^[0-9]"), "card")
+        .when(whole(CARD), "card")
+        .when(entity.rlike("^[+(0-9]"), "phone")
         .otherwise("name")
     )
 
@@ -126,7 +140,7 @@ def _same_form(original: Column, digits: Column) -> Column:
     return F.array_join(F.zip_with(parts, at, lambda c, k: F.when(c.rlike("^[0-9]$"), F.substr(digits, k + 1, F.lit(1))).otherwise(c)), "")
 
 
-def permuted_signs(text: Column, key: str, tweak: str) -> Column:
+def permuted_signs(text: Column, key: str, tweak: str, before: Column | None = None) -> Column:
     """A keyed permutation of strings of a shape: each letter or digit is shifted in its own alphabet.
 
     Long hexadecimal strings are a shape of their own, with one alphabet.
@@ -150,7 +164,7 @@ def permuted_signs(text: Column, key: str, tweak: str) -> Column:
         return F.struct(F.concat(state["seen"], c).alias("seen"), F.concat(state["out"], moved).alias("out"))
 
     shape_or_hex = F.when(hexadecimal, F.concat(F.lit("hex"), F.length(text).cast("string"))).otherwise(shape)
-    return F.aggregate(signs, F.struct(F.lit("").alias("seen"), F.lit("").alias("out")), turn, lambda s: s["out"])
+    return F.aggregate(signs, F.struct((F.lit("") if before is None else before).alias("seen"), F.lit("").alias("out")), turn, lambda s: s["out"])
 
 
 def _octets(address: Column, key: str) -> Column:
@@ -190,17 +204,23 @@ def _card(number: Column, key: str) -> Column:
 
 
 def _phone(number: Column, key: str) -> Column:
-    """The country code stays; all other digits are permuted in their places."""
-    code = F.regexp_extract(number, r"^\+[0-9]{1,3}(?=[^0-9])", 0)
+    """The country code, or a national number's first digit, stays; all other digits are permuted in their places."""
+    code = F.regexp_extract(number, r"^(?:\+[0-9]{1,3}(?=[^0-9])|\(?[0-9])", 0)
     rest = F.substr(number, F.length(code) + 1, F.length(number))
     return F.concat(code, _same_form(rest, permuted_digits(F.regexp_replace(rest, "[^0-9]", ""), key, "phone")))
 
 
 def _secret(assignment: Column, key: str) -> Column:
-    """The name and quotes stay; the value is permuted in its shape."""
-    head = F.regexp_extract(assignment, "^[^\"']*[\"']", 0)
-    value = F.substr(assignment, F.length(head) + 1, F.length(assignment) - F.length(head) - 1)
-    return F.concat(head, permuted_signs(value, key, "secret"), F.right(assignment, F.lit(1)))
+    """The name and quotes stay; the value is permuted in its shape, in pieces of PIECE signs, each under all signs before it."""
+    head = F.regexp_extract(assignment, rf"^{SECRET_NAME}[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?", 0)
+    quote = F.regexp_extract(assignment, "[\"']$", 0)
+    value = F.substr(assignment, F.length(head) + 1, F.length(assignment) - F.length(head) - F.length(quote))
+
+    def piece(i: Column) -> Column:
+        before = F.when(i == 0, F.lit("")).otherwise(F.sha2(F.substr(value, F.lit(1), i * PIECE), 256))
+        return permuted_signs(F.substr(value, i * PIECE + 1, F.lit(PIECE)), key, "secret", before)
+
+    return F.concat(head, F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.length(value) - 1) / PIECE).cast("int")), piece), ""), quote)
 
 
 def _permuted_letters(word: Column, key: str) -> Column:

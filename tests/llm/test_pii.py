@@ -111,3 +111,19 @@ def test_wrong_check_digits_stay_wrong(spark):
     assert [luhn(a) for a in numbers] == [luhn(a) for a in out] and len(set(out)) == 400
     ends = [f"400000000000123{i}" for i in range(10)]
     assert len({x[:-1] for x in run(spark, ends)}) == 1 and len(set(run(spark, ends))) == 10
+
+
+def test_more_forms(spark):
+    phones = ["+33 6 12 34 56 78", "+33 1 23 45 67 89", "(555) 123-4567", "555-123-4567", "555.123.4567", "01 23 45 67 89", "030 1234567", "+44 (0)20 7946 0958", "+49 30 1234 5678 90"]
+    jwt = "".join("aB3_-."[i * i % 6] for i in range(700)) + "x"
+    secrets = [f'token = "{jwt}"', "api_key=abcdef0123456789", "password: hunter22", '{"secret": "abcdefgh"}', "export PASSWORD = correcthorse", f"token='{'k' * 201}'"]
+    keep = ["on 02.01.2024 12:30", "2024-01-02 03:04:05", "pages 10-20, 1.2.3", "password: required", "token: ring", "0.123456789", "3.14159 and 100 000"]
+    out = run(spark, [f"at {x}, then" for x in phones + secrets] + [f"+1 (499) 555-6503 {x}" for x in ("169.122.221.182", "078-05-1120", "12 apples")] + keep)
+    for x, t in zip(phones, out, strict=False):
+        assert re.sub("[0-9]", "0", t) == re.sub("[0-9]", "0", f"at {x}, then") and x not in t
+    for x, t in zip(secrets, out[len(phones) :], strict=False):
+        value = re.search("[=:] ?[\"']?([^\"' }]+)", x)[1]
+        assert len(t) == len(f"at {x}, then") and value not in t and not any(value[i : i + 12] in t for i in range(0, len(value) - 12, 12)), (x, t)
+    ip, ssn, apples = out[-len(keep) - 3 : -len(keep)]
+    assert "169.122.221.182" not in ip and "078-05-1120" not in ssn and apples.endswith(" 12 apples")
+    assert out[-len(keep) :] == keep
