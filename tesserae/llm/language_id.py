@@ -12,8 +12,9 @@ frequencies are counted over all learning rows, whole texts, and predictions rea
 
 Defined results: a null text, or one without letters, is `und` with score 0; without any learning
 row everything is `und`; with one language everything else gets it, with score 1; labels that are
-null aren't learned from; repeated rows are judged alike; an empty table gives no rows; language,
-source and id are never inputs of a prediction.
+null aren't learned from; a language with few learning rows is still learned; repeated rows are judged alike, and
+equal scores go to the first language in order; an empty table gives no rows; language,
+source and id are never inputs of a prediction; keep_known keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -240,7 +241,10 @@ def train(spark: SparkSession, documents: DataFrame, learn: Column, id_col: str
             made.append((feature, SCALE * count * idf[feature]))
             labels.append(at[r["y"]])
     labels = np.array(labels, np.int64)
-    aside = np.arange(len(made)) % 5 == 0  # these fit the temperature
+    # a fifth of each language's rows, after its first four, fits the temperature
+    aside = np.zeros(len(labels), bool)
+    for y in range(len(languages)):
+        aside[np.flatnonzero(labels == y)[4::5]] = True
     weights, bias = fit_ftrl([m for m, a in zip(made, aside, strict=True) if not a], labels[~aside], len(languages))
     model = Model(languages, (weights * idf[:, None] * SCALE).astype(np.float32), bias)
     if aside.any() and len(languages) > 1:
@@ -289,6 +293,6 @@ def identify(spark: SparkSession, documents: DataFrame, id_col: str = "doc_id",
 def keep_known(spark: SparkSession, documents: DataFrame, least: float = 0.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
     """The documents, all columns kept, without those whose language is unknown or scored below `least`."""
     model = train(spark, documents, ~held_out(id_col), id_col, text_col, label_col)
-    found = predict(spark, model, F.col(text_col))
-    rows = documents.withColumn("_found", found)
-    return rows.where((F.col("_found.lang") != UNKNOWN) & (F.col("_found.score") >= least)).select(*documents.columns)
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col(text_col).alias("text"))
+    rows = rows.withColumn("found", predict(spark, model, F.col("text")))
+    return rows.where((F.col("found.lang") != UNKNOWN) & (F.col("found.score") >= least)).select(*[F.col(f"row.`{c}`").alias(c) for c in documents.columns])

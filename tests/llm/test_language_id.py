@@ -57,3 +57,38 @@ def test_no_labels_and_empty(spark):
     df = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score) for r in li.identify(spark, df).collect()] == [("und", 0.0)]
     assert li.identify(spark, df.limit(0)).count() == 0
+
+
+def test_rare_language_and_clashing_columns(spark):
+    rows = [(0, "zaz zaz ziz", "aa", 1)] + [(i, "mono momo nomo", "bb", i) for i in range(1, 60)] + [(7, "mono momo nomo", "bb", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, _found int").withColumn("row", li.F.lit("r")).withColumn("found", li.F.lit(2))
+    learn = li.train(spark, df, li.F.lit(True))
+    assert learn.languages == ["aa", "bb"] and learn.predict(["zaz zaz ziz"])[0] == ["aa"]
+    kept = li.keep_known(spark, df)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_query_scores_by_brute_force(spark):
+    """Predictions of the query equal the model's own weights applied to each whole text alone."""
+    from tesserae.llm.common import table
+    from tesserae.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    docs = table(spark, sf, "documents")
+    model = li.train(spark, docs, ~li.held_out())
+    got = {r.doc_id: r for r in QUERIES["op2_language_id"](spark, sf).collect()}
+    rows = docs.select("doc_id", "text", "lang").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        g = got[r.doc_id]
+        assert g.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        if not r.text or not any(c.isalpha() for c in r.text):
+            assert (g.lang_pred, g.score) == ("und", 0.0)
+            continue
+        _, feature, _ = li.ngrams([r.text], r.text)
+        f, c = np.unique(feature, return_counts=True)
+        logits = (c / c.sum()) @ model.weights[f].astype(np.float64) + model.bias
+        p = np.exp((logits - logits.max()) / model.temperature)
+        assert g.lang_pred == model.languages[int(p.argmax())] and abs(g.score - p.max() / p.sum()) < 1e-3
+    held = [r for r in rows if got[r.doc_id].held_out and r.lang and got[r.doc_id].lang_pred != "und"]
+    assert np.mean([got[r.doc_id].lang_pred == r.lang for r in held]) > 0.95
