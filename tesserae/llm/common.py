@@ -6,6 +6,7 @@ and 64-bit hashes of all words in it, so that no Python code runs once per word.
 
 from __future__ import annotations
 
+import atexit
 import gc
 import tempfile
 import uuid
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 #: Texts are worked on in blocks of about so many bytes, which bounds a worker's memory.
@@ -36,8 +38,12 @@ class Scratch:
 
     Each cut ends the lineage: a lost executor costs a reread, not a recomputation. Where the
     setting is missing and the master is local (tests), a temporary folder is set instead.
+    Operators drop their tables as soon as nothing reads them; those that a returned DataFrame still reads
+    go when the driver ends, or with Scratch.clean().
     """
 
+    _roots: dict[str, SparkSession] = {}
+
     def __init__(self, spark: SparkSession, name: str):
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
@@ -51,6 +57,7 @@ class Scratch:
         self.spark, self.root = spark, f"{root.rstrip('/')}/tesserae/{name}-{uuid.uuid4().hex}"
         self.n = 0
         self.made: dict[str, DataFrame] = {}
+        Scratch._roots[self.root] = spark
 
     def cut(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Write a table and read it again."""
@@ -81,6 +88,24 @@ class Scratch:
         gc.collect()
         self.spark._jvm.System.gc()
 
+    @classmethod
+    def clean(cls) -> None:
+        """Delete all tables of this driver that are still there. DataFrames that read them can't be used any more."""
+        while cls._roots:
+            root, spark = cls._roots.popitem()
+            path = spark._jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+
+
+def _at_exit() -> None:
+    try:
+        Scratch.clean()
+    except (Py4JError, OSError):  # the JVM has gone before: the folder stays as Spark's own checkpoints do
+        pass
+
+
+atexit.register(_at_exit)
+
 
 # --- word hashing ---------------------------------------------------------------------------
 

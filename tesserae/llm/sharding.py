@@ -12,8 +12,11 @@ hash), which gives the last heap small change.
 Slots are gapless without sorting a whole shard in one task: rows are dealt by the hash of their
 ids into cells, ranked in each cell, and shifted by the counts of the cells before.
 
+A text that a large part of all rows has (HOT) is one key: the few such keys are joined by a broadcast of at most HOT
+rows, all others by a shuffle.
+
 Defined results: a null text has size 1 and a null checksum, and all null texts are one group;
-an empty text has size 1; documents with equal ids are each placed, in any order among
+an empty text has size 1; a very long text is a group as any other, never divided; documents with equal ids are each placed, in any order among
 equals; fewer groups than shards leave shards empty; an empty table gives no rows; other
 columns aren't looked at.
 """
@@ -35,6 +38,8 @@ CLASSES = 128
 TOP_ITEMS = 65_536
 #: A group over 1/HEAVY of the shard's fair share goes to the last heap by itself: at most shards * HEAVY groups.
 HEAVY = 256
+#: A group with over 1/HOT of all rows is joined by broadcast: at most HOT groups.
+HOT = 4096
 #: About so many groups, whatever their size, are kept as small change.
 CHANGE = 4096
 
@@ -128,9 +133,15 @@ def shard_documents(spark: SparkSession, documents: DataFrame, shards: int = 16,
         F.coalesce(F.unhex(F.md5(F.encode(text, "UTF-8"))), F.lit(b"\0").cast("binary")).alias("key"),
     )
     rows = scratch.cut(rows, "rows")
-    groups = rows.groupBy("key").agg(F.sum("size").alias("weight"))
-    shard_of = scratch.cut(assign_groups(spark, groups, shards, scratch), "shards")
-    placed = scratch.cut(rows.join(shard_of, "key").select("id", "size", "text_crc32", F.col("shard").cast("int").alias("shard")), "placed")
+    groups = scratch.cut(rows.groupBy("key").agg(F.sum("size").alias("weight"), F.count("*").alias("copies")), "texts")
+    shard_of = scratch.cut(assign_groups(spark, groups.select("key", "weight"), shards, scratch), "shards")
+    total = groups.agg(F.sum("copies")).first()[0] or 0
+    hot = scratch.cut(groups.where(F.col("copies") * HOT > total).join(shard_of, "key").select("key", "shard"), "hot")
+    few = rows.join(F.broadcast(hot.select("key")), "key", "left_anti").join(shard_of, "key")
+    many = rows.join(F.broadcast(hot), "key")
+    placed = few.select("id", "size", "text_crc32", "shard").unionByName(many.select("id", "size", "text_crc32", "shard"))
+    placed = scratch.cut(placed.withColumn("shard", F.col("shard").cast("int")), "placed")
+    scratch.keep(placed)
     return place_in_slots(spark, placed).withColumnRenamed("id", id_col)
 
 

@@ -47,3 +47,36 @@ def test_documents(spark, monkeypatch):
     others = [x for s, x in enumerate(sums) if s != giant]
     assert max(others) - min(others) < 18_000
     assert sharding.shard_documents(spark, df.limit(0), 16).count() == 0
+
+
+def test_query_by_brute_force(spark):
+    """Sizes, checksums, groups and gapless slots of the query by hand; its balance against differencing of all groups in one heap."""
+    from tesserae.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    out = QUERIES["op6_sharding"](spark, sf).collect()
+    assert sorted(r.doc_id for r in out) == sorted(texts)
+    weights, shard_of = {}, {}
+    for r in out:
+        t = texts[r.doc_id]
+        assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len((t or "").encode()) + 1, None if t is None else zlib.crc32(t.encode()), "bytes", None)
+        assert shard_of.setdefault(t, r.shard) == r.shard
+        weights[t] = weights.get(t, 0) + r["size"]
+    for s in range(16):
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
+    w = np.array(list(weights.values()))
+    way = sharding.differencing(w, 16)
+    best = [int(w[way == k].sum()) for k in range(16)]
+    sums = sharding.shard_sums(((r.shard, r["size"]) for r in out), 16)
+    assert max(sums) - min(sums) <= max(best) - min(best) + 16 * 16
+
+
+def test_one_text_in_most_rows(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "HOT", 8)
+    rows = [(i, "same") for i in range(400)] + [(1000 + i, f"text {i}") for i in range(300)] + [(2000 + i, None) for i in range(300)]
+    out = sharding.shard_documents(spark, spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert sorted(r.doc_id for r in out) == [i for i, _ in rows]
+    assert len({r.shard for r in out if r.doc_id < 1000}) == 1 and len({r.shard for r in out if r.doc_id >= 2000}) == 1
+    for s in range(4):
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
