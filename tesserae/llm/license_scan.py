@@ -7,7 +7,7 @@ and 2-grams (FTRL with elastic net) into licence families or `unknown`. The mode
 families from templates with words dropped, swapped and surrounded by other text; `unknown` from
 paragraphs of a bounded corpus sample that hold no distinctive template word, and from shuffled
 template words. A temperature calibrates the probabilities, and the least probability that all families
-together need is fitted on rows kept from training so that at most MOST_FALSE of unknown ones pass. A
+together need is fitted on rows kept from training so that at most MOST_FALSE of unknown ones pass (MOST_LEAST at most). A
 predicted family counts only if the window holds the words of one of its templates in
 order: the longest common subsequence has to cover CONFIRM of the template. The words of a template
 of up to SHORT words have to stand together.
@@ -15,9 +15,12 @@ of up to SHORT words have to stand together.
 Windows which no family can win are left out first, by an upper bound on the score, for
 whole batches with numpy.
 
-Sample bound: paragraphs of about SAMPLE_ROWS documents, at most SAMPLE_PARAGRAPHS of them. Scanning covers whole texts.
+Sample bound, for fitting `unknown` alone: of about SAMPLE_ROWS documents (by the hash of their ids) the first SAMPLE_LINES
+paragraphs, SAMPLE_CHARS signs of each; of these the SAMPLE_PARAGRAPHS with the least hashes (so that the layout of the files
+doesn't matter), and of each SAMPLE_LINES lines of 2 * PIECE words. Scanning covers whole texts.
 
-Defined results: a null or empty text has no families; repeated rows are scanned alike; an empty
+Defined results: a null or empty text has no families; of families with equal probabilities the first in order is confirmed;
+a very long text is scanned whole, in bounded blocks; repeated rows are scanned alike; an empty
 table gives no rows; other columns aren't looked at.
 """
 
@@ -52,7 +55,10 @@ TEMPLATES = {
 UNKNOWN = "unknown"
 PIECE = 20
 SAMPLE_ROWS, SAMPLE_PARAGRAPHS = 600, 4000
+SAMPLE_LINES, SAMPLE_CHARS = 8, 2000
 MOST_FALSE, CONFIRM = 0.002, 0.85
+#: A few licence-like paragraphs in a small sample can't raise the threshold beyond this; templates confirm in any case.
+MOST_LEAST = 0.8
 SHORT = 4
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(64 - BITS)
@@ -174,7 +180,7 @@ def train(unknown: list[np.ndarray], seed: int = 11) -> Classifier:
     temperature = fit_temperature(logits, labels[aside])
     p = softmax(logits / temperature)
     false = np.sort(1 - p[labels[aside] == len(names), -1])
-    least = float(max(0.3, false[int(len(false) * (1 - MOST_FALSE)) - 1])) if len(false) else 0.5
+    least = float(np.clip(false[int(len(false) * (1 - MOST_FALSE)) - 1], 0.3, MOST_LEAST)) if len(false) else 0.5
     return Classifier(names, weights, bias, temperature, least, [[t.astype(np.int64).tolist() for t in own] for own in templates])
 
 
@@ -201,10 +207,16 @@ def unknown_paragraphs(documents: DataFrame) -> list[np.ndarray]:
     spread = 1 << 24
     bound = int(spread * min(1.0, SAMPLE_ROWS / max(n, 1)))
     rows = documents.where(F.pmod(F.xxhash64(F.lit("licence"), "id"), F.lit(spread)) < bound).where("t is not null")
-    lines = rows.select(F.explode(F.slice(F.split("t", "\n"), 1, 8)).alias("line")).where(F.length("line").between(1, 2000)).limit(SAMPLE_PARAGRAPHS)
+    parts = rows.select(F.explode(F.slice(F.split("t", r"\n[^\p{L}\p{N}\n]*\n"), 1, SAMPLE_LINES)).alias("part")).select(F.substring("part", 1, SAMPLE_CHARS).alias("part"))
+    parts = parts.orderBy(F.xxhash64("part"), "part").limit(SAMPLE_PARAGRAPHS)
     marks = {int(h) for own in TEMPLATES.values() for t in own for h, w in zip(words_of(t).tolist(), t.split(), strict=False) if len(w) > 6}
-    found = [words_of(r["line"])[: 2 * PIECE] for r in lines.collect()]
-    return [h for h in found if len(h) and not marks & set(h.tolist())]
+    found = []
+    for r in parts.collect():
+        # a licence wrapped over lines has lines without a mark, so one mark excludes the paragraph
+        lines = [words_of(x) for x in r["part"].split("\n")]
+        if not any(marks & set(h.tolist()) for h in lines):
+            found += [h[: 2 * PIECE] for h in lines[:SAMPLE_LINES] if len(h)]
+    return found
 
 
 def scan(spark: SparkSession, documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
