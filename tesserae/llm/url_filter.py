@@ -5,34 +5,46 @@ URL moves all patterns at once: D = ((D << 1 | start) & mask[byte]) | (D & loop)
 holds the states before a `*`. A batch of URLs moves together, one numpy step per byte position,
 so Python's cost is per position of the longest URL and not per URL.
 
-A URL's canonical form is `.host?path`: neither part can hold a `?`, so a host pattern can't
-match inside a path. The host has A-Z lower-cased; the path stays as it is.
+A URL's canonical form is `.host?path`: neither part can hold a `?`, and every rule has one as a literal, so a host
+pattern can't match inside a path. The host has A-Z lower-cased; the path stays as it is. A rule is literal
+text unless it is `wild`: then `*` in its host and path is any run of bytes, `?` one byte.
 
 Defined results: a null URL, or one without `://`, has an empty host and path and gets the
 default verdict unless a rule fits `.?`. Repeated rows are judged alike, each by itself. Of
 fitting rules the one with the longest text wins; of equally long ones, an allowing rule. An
-empty rule list gives every row the default. Other columns of the input are not looked at.
+empty rule list gives every row the default. Very long URLs are read to their end. Other columns of the input are not looked at.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm.common import Scratch
+
+#: States of one automaton: 64 words, and 128 kB of masks.
+BLOCK_STATES = 4096
+#: UTF-8 bytes of rules in one step; their masks are some 32 times that.
+PART_BYTES = 1 << 20
+#: URLs that move together.
+ROWS = 2048
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A host with all its subdomains, and the start of a path."""
+    """A host with all its subdomains, and the start of a path; if wild, both are globs."""
 
     host: str
     path: str
     verdict: str
+    wild: bool = False
 
     @property
     def text(self) -> str:
@@ -40,7 +52,8 @@ class Rule:
 
     @property
     def glob(self) -> str:
-        return f"*.{escaped(self.host)}\\?{escaped(self.path)}*"
+        host, path = (self.host, self.path) if self.wild else (escaped(self.host), escaped(self.path))
+        return f"*.{host}\\?{path}*"
 
 
 def escaped(text: str) -> str:
@@ -134,23 +147,72 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, UPPER, LOWER), path
 
 
-def judge_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """id, host, path, rule (its text or null) and verdict of every row; a narrow plan without a shuffle."""
-    rank = sorted(range(len(rules)), key=lambda k: (-len(rules[k].text), rules[k].verdict != "allow", k))
-    ranked = [rules[k] for k in rank]
-    automaton = WildcardAutomaton([r.glob for r in ranked])
+def parts_of(rules: list[Rule], most: int) -> Iterator[list[Rule]]:
+    """Runs of rules whose globs have at most so many bytes; a longer one is alone."""
+    held, size = [], 0
+    for r in rules:
+        n = len(r.glob.encode())
+        if held and size + n > most:
+            yield held
+            held, size = [], 0
+        held.append(r)
+        size += n
+    if held:
+        yield held
+
+
+class Judge:
+    """Ranked rules as automata of bounded size."""
+
+    def __init__(self, rules: list[Rule]):
+        self.blocks = [(block, WildcardAutomaton([r.glob for r in block])) for block in parts_of(rules, BLOCK_STATES)]
+
+    def first(self, texts: list[bytes]) -> list[Rule | None]:
+        """The first rule in rank that fits each text."""
+        out: list[Rule | None] = [None] * len(texts)
+        for at in range(0, len(texts), ROWS):
+            left = list(range(at, min(at + ROWS, len(texts))))
+            for rules, automaton in self.blocks:
+                if not left:
+                    break
+                fits = automaton.fits([texts[i] for i in left])
+                found, which = fits.any(axis=1).tolist(), fits.argmax(axis=1).tolist()
+                for i, yes, k in zip(left, found, which, strict=True):
+                    if yes:
+                        out[i] = rules[k]
+                left = [i for i, yes in zip(left, found, strict=True) if not yes]
+        return out
 
-    @F.pandas_udf("int")
-    def best(canonical: pd.Series) -> pd.Series:
-        fits = automaton.fits([t.encode() for t in canonical])
-        if not ranked:
-            return pd.Series(np.zeros(len(canonical), np.int32))
-        return pd.Series(np.where(fits.any(axis=1), fits.argmax(axis=1) + 1, 0).astype(np.int32))
 
+def judge_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """id, host, path, rule (its text or null) and verdict of every row; a narrow plan without a shuffle."""
+    spark = pages.sparkSession
+    ranked = sorted(rules, key=lambda r: (-len(r.text), r.verdict != "allow"))
     host, path = host_and_path(F.col(url_col))
-    out = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
-    out = out.withColumn("_best", best(F.concat(F.lit("."), "host", F.lit("?"), "path")))
-    texts = F.array(F.lit(None).cast("string"), *[F.lit(r.text) for r in ranked])
-    verdicts = F.array(F.lit(default), *[F.lit(r.verdict) for r in ranked])
-    at = F.col("_best") + 1
-    return out.select(id_col, "host", "path", F.element_at(texts, at).alias("rule"), F.element_at(verdicts, at).alias("verdict"))
+    rows = pages.select(F.col(id_col).alias("_id"), host.alias("host"), path.alias("path"), F.lit(None).cast("struct<rule:string,verdict:string>").alias("_found"))
+    scratch = None
+    for k, part in enumerate(parts_of(ranked, PART_BYTES)):
+        if k:
+            scratch = scratch or Scratch(spark, "url-rules")
+            rows = scratch.cut(rows, "part")
+        rows = rows.withColumn("_found", F.coalesce("_found", _step(spark.sparkContext.broadcast(part))(F.concat(F.lit("."), "host", F.lit("?"), "path"))))
+    return rows.select(F.col("_id").alias(id_col), "host", "path", F.col("_found.rule").alias("rule"), F.coalesce("_found.verdict", F.lit(default)).alias("verdict"))
+
+
+def _step(shared: Broadcast):
+    made: list[Judge] = []
+
+    @F.pandas_udf("rule string, verdict string")
+    def best(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        if not made:
+            made.append(Judge(shared.value))
+        for canonical in batches:
+            found = made[0].first([t.encode() for t in canonical])
+            yield pd.DataFrame({"rule": [r and r.text for r in found], "verdict": [r and r.verdict for r in found]}, dtype=object)
+
+    # a struct without a rule is null, so that a later part's rule can stand
+    def run(canonical: Column) -> Column:
+        out = best(canonical)
+        return F.when(out["rule"].isNotNull(), out)
+
+    return run

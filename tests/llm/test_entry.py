@@ -53,6 +53,31 @@ def test_url_rules_by_brute_force(spark):
     assert u.judge_urls(df.limit(0), rules).count() == 0
 
 
+def test_wild_rules_and_many(spark, monkeypatch):
+    """Globs in rules, and rules that fill many blocks and several steps, against one regular expression a rule."""
+    from tesserae.llm import url_filter as u
+
+    rules = [u.Rule(f"h{i % 37}.org", f"/{'p' * (i % 11)}{i}", ("allow", "block")[i % 2]) for i in range(3000)]
+    rules += [u.Rule("ads*.net", "/*/track?", "block", True), u.Rule("*", "*.exe", "block", True), u.Rule("good.org", "*.exe", "allow", True), u.Rule("h?", "/", "block", True)]
+    urls = [f"http://w.h{i % 40}.org/{'p' * (i % 11)}{i * 7 % 3000}x" for i in range(300)]
+    urls += ["http://x.ads7.net/a/b/track1z", "http://ads.net/track1", "http://a.b/c/d.exe", "http://a.good.org/d.exe", "http://hx/", "http://hxy/", "http://h/", "http://ads1.net?/a/track1", None, ""]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+
+    def want(url):
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+        text = f".{m[1].lower()}?{m[2]}" if m else ".?"
+        form = lambda g, wild: "".join({"*": ".*", "?": "."}[c] if wild and c in "*?" else re.escape(c) for c in g)
+        fits = [r for r in rules if re.fullmatch(rf"(?s).*\.{form(r.host, r.wild)}\?{form(r.path, r.wild)}.*", text)]
+        best = max(fits, key=lambda r: (len(r.text), r.verdict == "allow"), default=None)
+        return (best.text, best.verdict) if best else (None, "allow")
+
+    expect = {i: want(x) for i, x in enumerate(urls)}
+    assert {"/*/track?" in (r or "") for r, _ in expect.values()} == {True, False}
+    for part in (1 << 20, 20_000):
+        monkeypatch.setattr(u, "PART_BYTES", part)
+        assert {r.page_id: (r.rule, r.verdict) for r in u.judge_urls(df, rules).collect()} == expect
+
+
 def test_globs():
     from tesserae.llm.url_filter import WildcardAutomaton
 
