@@ -53,6 +53,8 @@ def test_parts_and_long_texts(spark, monkeypatch):
     docs = [(i, text(50)) for i in range(10)] + [(99, text(900_000) + " tail")]
     got, want = run(spark, docs[:10], items, 6), brute(docs[:10], items, 6)
     assert got == want
+    monkeypatch.setattr(d, "FILTER_BYTES", 2)  # a full filter only lets more texts through
+    assert run(spark, docs[:10], items, 6) == want
     long = run(spark, docs[10:], items, 6)[0]
     assert long[1] == 900_001 and long[3] == ["0", "1", "2", "3", "4"]
 
@@ -71,3 +73,36 @@ def test_removal(spark, coverage, left):
     out = {r.doc_id: r for r in d.remove_contamination(spark, a, b, 4, coverage).collect()}
     assert set(out) == left and out[2].text == "before ; after it all" and out[1].text == docs[0][1] and out[3].text is None
     assert out[1]["_text"] == "x"
+
+
+def test_many_parts_with_short_and_long_items(spark, monkeypatch):
+    """Items cut into pieces, items shorter than a window, documents without a hit, and several spans in a text."""
+    monkeypatch.setattr(d, "PART_BYTES", 60)
+    rng = random.Random(8)
+    vocab = [f"v{k}" for k in range(12)]
+    text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    items = [(1, text(120)), (2, text(3)), (3, text(1)), (4, text(2)), (5, text(40)), (6, "v1"), (7, "v1 v1")]
+    docs = [(i, text(rng.randint(0, 80))) for i in range(40)] + [(100, "none of these"), (101, None)]
+    docs += [(200, " ".join(items[0][1].split()[20:90]) + " zz " + items[4][1])]
+    assert len(list(d.load_items(spark.createDataFrame(items, "item_id long, text string"), 4))) > 5
+    assert run(spark, docs, items, 4) == brute(docs, items, 4)
+
+
+def test_nested_short_items():
+    """Many short items that end in one another: outputs are found by links, not copied into every state."""
+    names = [(str(k), list(range(9 - k, 10))) for k in range(9)]
+    automaton = d.SuffixAutomaton([*names, ("long", list(range(30)))], 20)
+    found = {i: (reach, sorted(items)) for i, reach, items in automaton.stream(list(range(25)))}
+    assert found[9] == (9 + 0, [str(k) for k in range(9)]) and found[19][0] == 20 and found[24] == (25, ["long"])
+    assert sum(map(len, automaton.short.values())) == 9
+
+
+@pytest.mark.parametrize("part", [600_000, 40])
+def test_clashing_columns(spark, monkeypatch, part):
+    monkeypatch.setattr(d, "PART_BYTES", part)
+    item = "one two three four five six seven"
+    df = spark.createDataFrame([(1, f"a {item} b", "s", 5, "i", 1.5), (2, "clean", None, None, None, None)], "doc_id long, text string, _spans string, _n_words int, _items string, c1 double")
+    bench = spark.createDataFrame([(1, item), (2, "eight nine ten eleven twelve thirteen")], "item_id long, text string")
+    out = d.remove_contamination(spark, df, bench, 4, 1.0)
+    assert out.columns == df.columns
+    assert sorted(map(tuple, out.collect())) == [(1, "a  b", "s", 5, "i", 1.5), (2, "clean", None, None, None, None)]
