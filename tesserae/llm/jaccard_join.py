@@ -2,7 +2,7 @@
 
 Two sets link when |x & y| / |x | y| >= 0.8, so they differ in at most H = (|x| + |y|) / 9 members.
 
-1. Equal sets are one class (128-bit set hash); each class goes on as one set.
+1. Equal sets are one class, named by a 64-bit hash of the set; each class goes on as one set.
 2. A set can only link if at most a fifth of its members stand in no other set. Members in the
    first COUNTED_PART of the hash space are counted over the whole corpus; a class with too many lone ones
    among them is dropped. This loses no link and leaves few sets in most corpora.
@@ -18,14 +18,18 @@ Two sets link when |x & y| / |x | y| >= 0.8, so they differ in at most H = (|x|
    verified against one partner, twice (the one that most sets share keys with, which in a group of
    copies is one of the least changed); then keys whose sets are already in one component are done,
    and all untested pairs across components that share a key are verified, less those whose sketches
-   (parities of hash classes) differ in more bits than a link allows.
+   (parities of hash classes) differ in more bits than a link allows. A key with more than CELL_ROWS sets is
+   spread over a grid of cells, so no task compares more than CELL_ROWS with CELL_ROWS.
+5. Rows with the same id are one document: the classes of its texts are joined before the components get their
+   smallest ids.
 
 Members are 64-bit hashes of shingles; within a pair of sets a false match has a chance of some 2^-40.
 
 Defined results: A-Z are lower-cased, words are `[^\\x20\\x09-\\x0D]+`; a text of fewer than 5 words is
-one shingle; a null or empty text has no shingles, links with nothing and is its own component;
-rows with the same id are one node, with the set of any of them; an empty table gives no rows;
-other columns aren't looked at.
+one shingle; a null or empty text has no shingles, links with nothing and is its own component (that of its id, if
+another row has the same id); n_shingles is each row's own; ids are of any type with an order, strings in theirs; a row without an id
+links, but names no component: its component_id is null if no linked row has an id; very long texts are
+hashed piece by piece, whole; an empty table gives no rows; other columns aren't looked at.
 """
 
 from __future__ import annotations
@@ -37,6 +41,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from tesserae.llm.common import SPACE, Scratch, mix, small_batches, texts_of, word_blocks
 
@@ -50,6 +55,8 @@ COUNTED_PART = 0.28
 DELETION_EVERY = 10
 #: Bits of a set's sketch.
 SKETCH_BITS = 512
+#: Sets of a key that are compared in one place with as many others.
+CELL_ROWS = 2048
 #: Bits of the filter of ids that keeps sets out of a shuffle; beyond its size it only lets more through.
 MOST_FILTER_BITS = 1 << 28
 
@@ -77,11 +84,10 @@ def shingle_sets(texts: list[bytes | None]) -> Iterator[tuple[int, np.ndarray]]:
             at += c
 
 
-def set_hash(members: np.ndarray) -> tuple[int, int]:
-    """A 128-bit hash of a set, as two signed integers."""
-    a = np.add.reduce(mix(members ^ _C[1]), dtype=_U) + _U(len(members))
-    b = np.add.reduce(mix(members * _C[3] + _C[0]), dtype=_U)
-    return tuple(np.array([a, b], _U).astype(np.int64).tolist())
+def set_hash(members: np.ndarray) -> int:
+    """A 64-bit hash of a set, as a signed integer."""
+    total = np.add.reduce(mix(members ^ _C[1]), dtype=_U) + _U(len(members))
+    return int(mix(np.array([total], _U)).astype(np.int64)[0])
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,21 +104,21 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen.add(key)
             part = members[: np.searchsorted(members, limit)]
             hs.append(part)
-            keys.append(np.full(len(part), key[0], np.int64))
+            keys.append(np.full(len(part), key, np.int64))
             size += len(part)
         if size:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).astype(np.int64)), pa.array(np.concatenate(keys))], names=["h", "a"])
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The id, and the size and hash of its set; the hash is null without members."""
     for batch in batches:
-        n = batch.num_rows
-        size, a, b = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        size: list[int] = [0] * batch.num_rows
+        cls: list[int | None] = [None] * batch.num_rows
         for row, members in shingle_sets(texts_of(batch.column(1))):
-            size[row] = len(members)
             if len(members):
-                a[row], b[row] = set_hash(members)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(a), pa.array(b)], names=["id", "n", "a", "b"])
+                size[row], cls[row] = len(members), set_hash(members)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(cls, pa.int64())], names=["id", "n", "cls"])
 
 
 # --- bands, segments and keys ---------------------------------------------------------------
@@ -270,47 +276,83 @@ def id_filter(spark: SparkSession, ids: DataFrame) -> tuple[int, object]:
 
 
 def survivors(spark: SparkSession, documents: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(id, n, cls) of every row, and (id, members) of the classes that can have links, by their smallest id."""
-    rows = scratch.cut(documents.mapInArrow(_sizes, "id long, n long, a long, b long"), "sizes")
-    classes = scratch.cut(rows.where("n > 0").groupBy("a", "b", "n").agg(F.min("id").alias("cls")), "classes")
+    """(id, n, cls) of every row, and (id, members) of the classes that can have links, by the class's hash."""
+    kind = documents.schema["id"].dataType.simpleString()
+    rows = scratch.cut(documents.mapInArrow(_sizes, f"id {kind}, n long, cls long"), "rows")
+    classes = scratch.cut(rows.where("n > 0").groupBy("cls").agg(F.max("n").alias("n"), F.min("id").alias("some")), "classes")
     lone = documents.mapInArrow(_members, "h long, a long").groupBy("h").agg(F.min("a").alias("a"), F.max("a").alias("z")).where("a = z")
-    lone = scratch.cut(lone.groupBy("a").agg(F.count("*").alias("lone")), "lone")
+    lone = scratch.cut(lone.groupBy(F.col("a").alias("cls")).agg(F.count("*").alias("lone")), "lone")
     scratch.release()
-    kept = classes.join(lone, "a", "left").where(F.coalesce("lone", F.lit(0)) * 100 <= F.col("n") * (100 - NUMERATOR))
-    kept = scratch.cut(kept.select(F.col("cls").alias("id"), "n"), "kept")
+    kept = classes.join(lone, "cls", "left").where(F.coalesce("lone", F.lit(0)) * 100 <= F.col("n") * (100 - NUMERATOR))
+    kept = scratch.cut(kept.select("cls", F.col("some").alias("id")), "kept")
+    # one row of each class is enough: texts are hashed again only where the row's id may be that of a class
     bits, shared = id_filter(spark, kept)
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             slot = batch.column(2).to_numpy()
             on = np.flatnonzero((shared.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
-            batch = batch.take(pa.array(on))
-            found = [m.tobytes() for _, m in shingle_sets(texts_of(batch.column(1)))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "members"])
-
-    sets = documents.withColumn("at", slot_of(F.col("id"), bits)).mapInArrow(members, "id long, members binary").where(F.length("members") > 0)
-    sets = scratch.cut(sets.join(kept.select("id"), "id", "left_semi").dropDuplicates(["id"]), "sets")
-    cls = scratch.cut(rows.join(classes, ["a", "b", "n"], "left").select("id", "n", F.coalesce("cls", "id").alias("cls")), "members-of")
-    scratch.drop(rows, classes, lone, kept)
+            found = [m for _, m in shingle_sets(texts_of(batch.column(1).take(pa.array(on)))) if len(m)]
+            yield pa.RecordBatch.from_arrays([pa.array([set_hash(m) for m in found], pa.int64()), pa.array([m.tobytes() for m in found], pa.binary())], names=["id", "members"])
+
+    sets = documents.withColumn("at", slot_of(F.col("id"), bits)).mapInArrow(members, "id long, members binary")
+    sets = scratch.cut(sets.join(kept.select(F.col("cls").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "sets")
+    scratch.drop(classes, lone, kept)
     scratch.release()
-    return cls, sets
+    return rows, sets
+
+
+def named_classes(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(id, n, cls) of every row, and (cls, component, least): the component of each class and its smallest id."""
+    small_batches(spark)
+    rows, sets = survivors(spark, docs, scratch)
+    edges = class_links(sets, scratch)
+    # an id with several texts joins their classes
+    several = rows.where("id is not null and cls is not null").groupBy("id").agg(F.min("cls").alias("u"), F.max("cls").alias("z")).where("u != z")
+    several = scratch.cut(several.select("id", "u"), "several")
+    if not several.isEmpty():
+        own = rows.where("cls is not null").join(several, "id").where("cls != u").select("u", F.col("cls").alias("v"))
+        edges = scratch.cut(own if edges is None else edges.union(own), "edges")
+    named = rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("own"))
+    if edges is None:
+        named = named.select("cls", F.col("cls").alias("component"), F.col("own").alias("least"))
+    else:
+        labels = components(edges, scratch).select(F.col("node").alias("cls"), "component")
+        named = scratch.cut(named.join(labels, "cls", "left").select("cls", "own", F.coalesce("component", "cls").alias("component")), "named")
+        named = named.join(named.groupBy("component").agg(F.min("own").alias("least")), "component").select("cls", "component", "least")
+    named = scratch.cut(named, "least")
+    scratch.keep(rows, named)
+    return rows, named
+
+
+def _row_components(rows: DataFrame, named: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, n, least) of every row; a row without members belongs where another row with its id does."""
+    empty, full = rows.where("cls is null"), rows.where("cls is not null").join(named, "cls").select("id", "n", "least")
+    ids = scratch.cut(empty.where("id is not null").select("id").distinct(), "empty")
+    elsewhere = scratch.cut(full.join(ids, "id", "left_semi").groupBy("id").agg(F.min("least").alias("least")), "elsewhere")
+    return full.unionByName(empty.join(elsewhere, "id", "left").select("id", "n", F.coalesce("least", "id").alias("least")))
 
 
 def jaccard_components(spark: SparkSession, documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Id, n_shingles and component_id (the smallest id reachable by links) of every row."""
-    small_batches(spark)
     scratch = Scratch(spark, "jaccard")
-    docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    cls, sets = survivors(spark, docs, scratch)
+    rows, named = named_classes(spark, documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), scratch)
+    out = _row_components(rows, named, scratch)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
+
+
+def class_links(sets: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """(u, v): links that join all classes of a component; None without any."""
     keys = sets.mapInArrow(_keys, "key long, id long, flags byte")
     # keys that one set probes and another indexes; a row says which side(s) of a link its set can be on
     probe, exact = F.col("flags").bitwiseAND(2) > 0, F.col("flags").bitwiseAND(4) == 0
     per_key = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max(probe).alias("probed"), F.max(exact).alias("exact"), F.count("*").alias("size"))
-    per_key = per_key.where("low != high and probed and exact").select("key", "size")
-    shared = scratch.cut(keys.join(scratch.cut(per_key, "shared-keys"), "key"), "shared")
+    per_key = scratch.cut(per_key.where("low != high and probed and exact").select("key", "size"), "shared-keys")
+    shared = scratch.cut(keys.join(per_key, "key"), "shared")
     # sets that many others share keys with: copies with few changes, in the middle of their group
     degrees = scratch.cut(shared.groupBy("id").agg(F.sum("size").alias("degree")), "degrees")
-    shared = scratch.cut(shared.drop("size").join(degrees, "id"), "ranked")
+    wide, shared = shared, scratch.cut(shared.drop("size").join(degrees, "id"), "ranked")
+    scratch.drop(per_key, wide, degrees)
     scratch.release()
     # sets by their candidates: the partner with the most common keys first
     edges, tested, labels = None, None, None
@@ -338,7 +380,7 @@ def jaccard_components(spark: SparkSession, documents: DataFrame, id_col: str =
         rounds += 1
         if pairs.isEmpty():
             if rounds > 2:
-                break
+                return edges
             rounds = 2
             continue
         checked = verify(pairs, sets, scratch)
@@ -348,19 +390,14 @@ def jaccard_components(spark: SparkSession, documents: DataFrame, id_col: str =
         good = checked.where("good").select("u", "v")
         if good.isEmpty():
             if rounds > 2:
-                break
+                return edges
             rounds = 2
             continue
         edges = scratch.cut(good if edges is None else edges.union(good), "edges")
+        if rounds > 2:
+            return edges
         labels = components(edges, scratch)
         scratch.release()
-        if rounds > 2:
-            break
-    scratch.keep(cls, *([] if labels is None else [labels]))
-    out = cls
-    if labels is not None:
-        out = cls.join(labels, cls["cls"] == labels["node"], "left").select("id", "n", F.coalesce("component", "cls").alias("cls"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("cls").alias("component_id"))
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,12 +420,19 @@ def across_components(rows: DataFrame, sets: DataFrame, scratch: Scratch) -> Dat
     pair is left out if its sketches differ in more bits than a link allows. That keeps the many sets of
     a group of copies that lie just too far apart from becoming rows.
     """
-    several = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
+    several = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("cells")).where("low != high").select("key", "cells")
     rows = scratch.cut(rows.drop("degree").join(scratch.cut(several, "open-keys"), "key"), "open")
     longs = [f"s{k}" for k in range(SKETCH_BITS // 64)]
     sketch = scratch.cut(sets.mapInArrow(_sketches, ", ".join(["id long", "n long", *(f"{c} long" for c in longs)])), "sketches")
     rows = scratch.cut(rows.join(sketch, "id"), "sketched")
-    side = lambda flag, mark: rows.where(F.col("flags").bitwiseAND(flag) > 0).select("key", *(F.col(c).alias(f"{mark}_{c}") for c in ["id", "flags", "component", "n", *longs]))
+    # a key with many sets is a grid: probes are dealt over its lines and repeated along them, the index over its columns
+    own, every = F.pmod(F.xxhash64("id"), F.col("cells")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
+
+    def side(flag: int, mark: str) -> DataFrame:
+        chosen = rows.where(F.col("flags").bitwiseAND(flag) > 0)
+        line, column = (own, every) if mark == "p" else (every, own)
+        return chosen.select(F.col("key").alias(f"{mark}_key"), line.alias(f"{mark}_line"), column.alias(f"{mark}_column"), *(F.col(c).alias(f"{mark}_{c}") for c in ["id", "flags", "component", "n", *longs]))
+
     apart = sum((F.bit_count(F.col(f"p_{c}").bitwiseXOR(F.col(f"q_{c}"))) for c in longs), F.lit(0))
     can = (
         (F.col("p_component") != F.col("q_component"))
@@ -396,26 +440,49 @@ def across_components(rows: DataFrame, sets: DataFrame, scratch: Scratch) -> Dat
         & (F.least("p_n", "q_n") * 100 >= F.greatest("p_n", "q_n") * NUMERATOR)
         & (apart * NINTH <= F.col("p_n") + F.col("q_n"))
     )
-    probes, index = side(2, "p"), side(1, "q").withColumnRenamed("key", "q_key")
-    pairs = probes.join(index, (F.col("key") == F.col("q_key")) & can)
+    met = (F.col("p_key") == F.col("q_key")) & (F.col("p_line") == F.col("q_line")) & (F.col("p_column") == F.col("q_column"))
+    pairs = side(2, "p").join(side(1, "q"), met & can)
     return pairs.select(F.least("p_id", "q_id").alias("u"), F.greatest("p_id", "q_id").alias("v")).distinct()
 
 
+@F.pandas_udf(LongType())
+def class_of(texts: pd.Series) -> pd.Series:
+    """The hash of each text's set; null without members."""
+    out = pd.array([None] * len(texts), "Int64")
+    for row, members in shingle_sets([None if t is None else t.encode() for t in texts]):
+        if len(members):
+            out[row] = set_hash(members)
+    return pd.Series(out)
+
+
 def keep_one(spark: SparkSession, documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all columns kept, with only the smallest id of each component; rows without an id stay.
+    """The documents, all columns kept, with one row of each component: that of its smallest id, of several rows with it the one of the least text.
 
-    Only texts that may have to go are shuffled: the others pass a filter of the ids to drop as they are read.
+    Of linked rows none of which has an id the one of the least text stays; rows with neither an id nor words all stay.
+    Only texts that may have to go are shuffled: the others pass a filter of their ids as they are read.
     """
     scratch = Scratch(spark, "keep-one")
-    found = jaccard_components(spark, documents, id_col, text_col)
-    dropped = scratch.cut(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).cast("long").alias("id")).distinct(), "dropped")
-    bits, shared = id_filter(spark, dropped)
+    columns = documents.columns
+    found, named = named_classes(spark, documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), scratch)
+    # what the filter can't pass at once: ids that go, and ids with several rows
+    decided = _row_components(found.where("id is not null"), named, scratch).groupBy("id").agg(F.min("least").alias("least"), F.count("*").alias("copies"))
+    decided = scratch.cut(decided.where("id != least or copies > 1").select("id", (F.col("id") != F.col("least")).alias("goes")), "decided")
+    bits, shared = id_filter(spark, decided)
 
     @F.pandas_udf("boolean")
     def hit(slot: pd.Series) -> pd.Series:
         at = slot.to_numpy()
         return pd.Series(((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool))
 
-    maybe = hit(slot_of(documents[id_col].cast("long"), bits))
-    tested = documents.where(maybe)
-    return documents.where(~maybe).unionByName(tested.join(dropped, tested[id_col] == dropped["id"], "left_anti"))
+    def least(rows: DataFrame, key: str) -> DataFrame:
+        """One row for each key: the aggregate keeps it as it goes, so many copies don't meet."""
+        return rows.groupBy(key).agg(F.min_by("_row", F.struct("_text", F.xxhash64("_row"))).alias("_row")).select("_row")
+
+    rows = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"))
+    marked = rows.where("_id is not null").withColumn("_maybe", hit(slot_of(F.col("_id"), bits)))
+    tested = marked.where("_maybe").join(decided, F.col("_id") == F.col("id"), "left")
+    out = marked.where("not _maybe").select("_row").unionByName(tested.where("goes is null").select("_row")).unionByName(least(tested.where("not goes"), "_id"))
+    if not found.where("id is null").isEmpty():
+        without = rows.where("_id is null").withColumn("cls", class_of("_text")).join(named, "cls", "left")
+        out = out.unionByName(without.where("cls is null").select("_row")).unionByName(least(without.where("cls is not null and least is null"), "component"))
+    return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in columns])

@@ -14,22 +14,22 @@ def shingles(text):
 
 
 def brute(docs):
-    sets = {i: shingles(t) for i, t in docs}
-    ids, parent = sorted(sets), {i: i for i in sets}
+    """By id: for each of its rows the set's size, and the smallest id reachable."""
+    sets = [(i, shingles(t)) for i, t in docs]
+    ids, parent = sorted({i for i, _ in sets}), {i: i for i, _ in sets}
 
     def root(i):
         while parent[i] != i:
             i = parent[i]
         return i
 
-    for a, i in enumerate(ids):
-        for k in ids[a + 1 :]:
-            x, y = sets[i], sets[k]
+    for a, (i, x) in enumerate(sets):
+        for k, y in sets[a + 1 :]:
             common = len(x & y)
             if x and y and 100 * common >= 80 * (len(x) + len(y) - common):
                 p, q = sorted((root(i), root(k)))
                 parent[q] = p
-    return {i: (len(sets[i]), root(i)) for i in ids}
+    return {i: (sorted(len(x) for k, x in sets if k == i), root(i)) for i in ids}
 
 
 def corpus(seed):
@@ -54,9 +54,14 @@ def corpus(seed):
     return [(i * 3 + 1, t) for i, t in enumerate(texts)] + [(5000, None), (5001, ""), (5002, " \n"), (5003, "one"), (5004, "ONE "), (5005, "one two")]
 
 
-def run(spark, docs):
-    df = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], "doc_id long, text string, a string, id int")
-    return {r.doc_id: (r.n_shingles, r.component_id) for r in j.jaccard_components(spark, df).collect()}
+def run(spark, docs, kind="long"):
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], f"doc_id {kind}, text string, a string, id int")
+    out = {}
+    for r in j.jaccard_components(spark, df).collect():
+        sizes, component = out.setdefault(r.doc_id, ([], r.component_id))
+        assert component == r.component_id
+        sizes.append(r.n_shingles)
+    return {i: (sorted(n), c) for i, (n, c) in out.items()}
 
 
 def test_against_brute_force(spark):
@@ -83,10 +88,42 @@ def test_every_linked_pair_shares_a_key():
 
 def test_empty(spark):
     assert run(spark, []) == {}
-    assert run(spark, [(2, None)]) == {2: (0, 2)}
+    assert run(spark, [(2, None)]) == {2: ([0], 2)}
 
 
 def test_one_of_each_group_stays(spark):
     text = " ".join(f"w{i}" for i in range(40))
     df = spark.createDataFrame([(4, text, "x"), (2, text, "y"), (9, "other words", None), (7, None, None)], "doc_id long, text string, _kept string")
     assert sorted(r.doc_id for r in j.keep_one(spark, df).collect()) == [2, 7, 9]
+
+
+def test_repeated_ids_and_any_type_of_id(spark):
+    words = lambda a, n: " ".join(f"w{a}x{i}" for i in range(n))
+    t, u = words(1, 60), words(2, 60)
+    docs = [(2, t), (2, u), (5, t + " x"), (6, u + " y"), (8, None), (8, words(3, 30)), (1, words(3, 30) + " z"), (9, t), (9, t), (7, None), (7, None)]
+    got = run(spark, docs)
+    assert got == brute(docs) and got[6][1] == 2 and got[8][1] == 1 and got[9] == ([56, 56], 2) and got[7] == ([0, 0], 7)
+    names = [(f"id {i}", x) for i, x in docs]
+    assert run(spark, names, "string") == brute(names)
+
+
+def test_hot_key_and_long_texts(spark, monkeypatch):
+    """Sets that share a passage, too far apart to link, over a grid of small cells; a text of many blocks."""
+    monkeypatch.setattr(j, "CELL_ROWS", 3)
+    rng = random.Random(6)
+    passage = " ".join(f"p{i}" for i in range(40))
+    body = lambda k, n: " ".join(f"{k}b{i}" for i in range(n))
+    docs = [(i, passage + " " + body(rng.randrange(12), rng.choice([4, 8, 12, 16]))) for i in range(80)]
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(150_000))
+    docs += [(1000, long), (1001, long + " one more"), (1002, long[: len(long) // 2])]
+    assert run(spark, docs) == brute(docs)
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b, c = (" ".join(f"{k}w{i}" for i in range(40)) for k in "abc")
+    rows = [(3, a, 1), (3, a, 1), (3, a, 1), (4, a + " x", 2), (None, a, 3), (None, b, 4), (None, b + " y", 5), (None, None, 6), (None, None, 6), (7, None, 7), (7, None, 7), (8, "", 8), (9, c, 9), (9, a, 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row int").withColumn("least", j.F.lit("l")).withColumn("id", j.F.lit(1.5))
+    out = j.keep_one(spark, df.repartition(3))
+    assert out.columns == df.columns
+    kept = sorted(((r.doc_id, r["_row"]) for r in out.collect()), key=repr)
+    assert kept == sorted([(3, 1), (None, 4), (None, 6), (None, 6), (7, 7), (8, 8)], key=repr)
