@@ -4,19 +4,25 @@ A vector is coded as the sum of one codeword from each of STAGES full-dimensiona
 codebooks start as residual k-means stages and are then refitted together by least squares
 (alternating with encoding) on a bounded sample. Encoding is a beam search over the stages. Each
 row of the index holds its codes and the squared norm of its reconstruction, so the squared
-distance to a query is, but for a constant, norm - 2 * (sum of looked-up inner products). In
-each unit of some UNIT_ROWS rows the best `rerank` candidates of a query by that score are measured exactly, in double
+distance to a query is, but for a constant, norm - 2 * (sum of looked-up inner products).
+
+Rows lie in cells by two coarse codebooks (a cell is a pair of codewords, so few words make many cells, which grow
+with the table). A query probes its nearest cells only. How many, is measured on the sample: as many as hold
+COVERED of its rows' exact neighbours. Vectors with structure need few cells; vectors without any, most of them.
+A cell is dealt into units of some UNIT_ROWS rows, its queries into blocks of some QUERY_BLOCK; a unit meets a block in one
+task, by a shuffle on both. There the best `rerank` candidates of a query by the score are measured exactly, in double
 precision, on the original vectors; the nearest of each unit are merged by query.
 
-Identical vectors share one entry in a unit, which keeps its smallest ids: however many copies
-there are, only so many can be among the nearest.
+Queries with equal vectors are searched once. Identical vectors share one entry in a unit, which keeps its
+smallest ids: however many copies there are, only so many can be among the nearest.
 
 Sample bound: about FIT_ROWS rows, chosen by the hash of their ids. Everything else covers all
-rows. Queries are taken in blocks of at most QUERY_BLOCK, so what is broadcast has a bound.
+rows. The driver gets the sample and a count for each cell (MOST_WORDS squared at most).
 
 Defined results: vectors that are null, zero, hold null or non-finite components, or differ in
 length from most vectors take no part; fewer candidates than k give fewer rows; ties go to
-the smaller id; repeated ids are each a candidate, but none for a query with their id; an
+the smaller id; repeated ids are each a candidate, but none for a query with their id; rows of one id with different
+vectors are each a query, with ranks of its own, equal rows are one; an
 empty table gives no rows; other columns aren't looked at.
 """
 
@@ -27,16 +33,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from tesserae.llm.common import Scratch
 
 STAGES, WORDS, BEAM = 32, 64, 4
 FIT_ROWS = 6000
 #: Rows that are searched at once; candidates are picked in each such unit, so recall doesn't fall with the table's size.
-UNIT_ROWS = 8192
-QUERY_BLOCK = 4096
+UNIT_ROWS = 4096
+QUERY_BLOCK = 2048
+#: Words of each coarse codebook, at most.
+MOST_WORDS = 256
+#: The part of the sample's exact neighbours that lies in the cells that are probed, and the sample's rows that it is measured on.
+COVERED, MEASURED_ROWS = 0.98, 256
 
 
 @dataclass
@@ -144,9 +157,54 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def build_index(spark: SparkSession, vectors: DataFrame, scratch: Scratch, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, Quantiser | None]:
-    """(id, v, codes, norm) of every usable row, written to the shared folder, and the quantiser."""
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null").where(usable(F.col("v")))
+@dataclass
+class Index:
+    """Codes, and cells by two coarse codebooks with the number of cells that a query probes."""
+
+    quantiser: Quantiser
+    coarse: Quantiser
+    probes: int
+
+    @classmethod
+    def fit(cls, sample: np.ndarray, count: int) -> Index:
+        words = int(np.clip(np.sqrt(count / UNIT_ROWS), 1, MOST_WORDS))
+        out = cls(Quantiser.fit(sample), Quantiser.fit(sample, stages=2, words=words, rounds=0), 1)
+        words = out.coarse.books.shape[1]
+        if words > 1:
+            out.probes = out._measured(sample)
+        return out
+
+    def cells(self, x: np.ndarray) -> np.ndarray:
+        """The cell of each row."""
+        codes, _ = self.coarse.encode(x, beam=8)
+        return codes[:, 0].astype(np.int64) * self.coarse.books.shape[1] + codes[:, 1]
+
+    def ranked_cells(self, queries: np.ndarray) -> np.ndarray:
+        """All cells for each query, nearest first."""
+        first, second = self.coarse.books
+        norms = ((first[:, None, :] + second[None, :, :]) ** 2).sum(axis=2)
+        tables = self.coarse.tables(queries)
+        far = norms[None, :, :] - 2 * (tables[:, 0, :, None] + tables[:, 1, None, :])
+        return np.argsort(far.reshape(len(queries), -1), axis=1, kind="stable")
+
+    def _measured(self, sample: np.ndarray, k: int = 10) -> int:
+        cells = self.cells(sample)
+        depth = []
+        for at in range(0, min(MEASURED_ROWS, len(sample)), 32):
+            q = sample[at : min(at + 32, MEASURED_ROWS)]
+            rank = np.argsort(self.ranked_cells(q), axis=1)  # where each cell stands for a query
+            d = (sample**2).sum(axis=1)[None, :] - 2 * q @ sample.T
+            d[np.arange(len(q)), at + np.arange(len(q))] = np.inf
+            near = np.argsort(d, axis=1, kind="stable")[:, :k]
+            depth.append(np.take_along_axis(rank, cells[near], axis=1).ravel())
+        return int(np.quantile(np.concatenate(depth), COVERED, method="higher")) + 1
+
+
+def build_index(spark: SparkSession, vectors: DataFrame, scratch: Scratch, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, Index | None]:
+    """(id, v, codes, norm, cell, deal) of every usable row, written to the shared folder, and the index's codebooks."""
+    single = isinstance(vectors.schema[vector_col].dataType, ArrayType) and isinstance(vectors.schema[vector_col].dataType.elementType, FloatType)
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast(f"array<{'float' if single else 'double'}>").alias("v"))
+    rows = rows.where("id is not null").where(usable(F.col("v")))
     sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if sizes is None:
         return rows.limit(0), None
@@ -154,104 +212,124 @@ def build_index(spark: SparkSession, vectors: DataFrame, scratch: Scratch, id_co
     rows = rows.where(F.size("v") == dim)
     part = min(1.0, FIT_ROWS / count)
     sample = rows.where(F.pmod(F.xxhash64(F.lit("fit"), "id"), F.lit(1 << 20)) <= int(part * (1 << 20))).select("v").limit(2 * FIT_ROWS)
-    quantiser = Quantiser.fit(np.array([r["v"] for r in sample.collect()] or [[0.0] * dim]))
-    books = spark.sparkContext.broadcast(quantiser)
+    x = np.array(sorted(r["v"] for r in sample.collect()) or [[0.0] * dim], np.float64)
+    made = Index.fit(x[np.random.default_rng(5).permutation(len(x))], count)
+    shared = spark.sparkContext.broadcast(made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes, norms = books.value.encode(_matrix(batch.column(1), dim))
+            x = _matrix(batch.column(1), dim)
+            codes, norms = shared.value.quantiser.encode(x)
             packed = pa.array([c.tobytes() for c in codes], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed, pa.array(norms, pa.float32())], names=["id", "v", "codes", "norm"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed, pa.array(norms, pa.float32()), pa.array(shared.value.cells(x))], names=["id", "v", "codes", "norm", "cell"])
 
-    kind = rows.schema["id"].dataType.simpleString()
-    return scratch.cut(rows.mapInArrow(run, f"id {kind}, v array<double>, codes binary, norm float"), "index"), quantiser
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    index = rows.mapInArrow(run, f"id {kinds['id']}, v {kinds['v']}, codes binary, norm float, cell long")
+    # which unit of its cell a row goes to doesn't depend on its id, as ids may repeat
+    return scratch.cut(index.withColumn("deal", F.abs(F.xxhash64(F.monotonically_increasing_id()) % (1 << 40))), "index"), made
 
 
-def search(spark: SparkSession, index: DataFrame, quantiser: Quantiser, queries: DataFrame, scratch: Scratch, k: int = 10, rerank: int = 512) -> DataFrame:
+def search(spark: SparkSession, index: DataFrame, made: Index, queries: DataFrame, scratch: Scratch, k: int = 10, rerank: int = 128) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest found for each query (id, v), its own id left out."""
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    found = None
-    for b in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).distinct().orderBy("id").collect()
-        if not part:
-            continue
-        ids = np.array([r["id"] for r in part])
-        vectors = np.array([r["v"] for r in part])
-        block = spark.sparkContext.broadcast((ids, vectors, quantiser))
-        one = index.mapInArrow(_searcher(block, k, rerank), "query_id long, vec_id long, score double")
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    held, n = [], 0
-    for batch in batches:
-        held.append(batch)
-        n += batch.num_rows
-        if n >= UNIT_ROWS:
-            yield pa.Table.from_batches(held).combine_chunks()
-            held, n = [], 0
-    if n:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
-def _searcher(block, k: int, rerank: int):
-    def nearest(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        query_ids, queries, quantiser = block.value
-        order = np.argsort(ids, kind="stable")
-        ids, x, codes, norms = ids[order], x[order], codes[order], norms[order]
-        entries: dict[bytes, list[int]] = {}
-        for i, row in enumerate(x):
-            own = entries.setdefault(row.tobytes(), [])
-            if len(own) < k + 1 or ids[i] == ids[own[-1]]:  # one more than k, as a query leaves itself out
-                own.append(i)
-        heads = np.array([own[0] for own in entries.values()], np.int64)
-        members = list(entries.values())
+    queries = scratch.cut(queries.distinct(), "queries")
+    keys = scratch.cut(queries.groupBy("v").agg(F.count("*")).select("v").withColumn("key", F.monotonically_increasing_id()), "keys")
+    shared = spark.sparkContext.broadcast(made)
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = shared.value.probes
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                cells = shared.value.ranked_cells(_matrix(part.column(0), shared.value.coarse.books.shape[2]))[:, :p]
+                again = pa.array(np.repeat(np.arange(part.num_rows), cells.shape[1]))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(again), part.column(1).take(again), pa.array(cells.ravel())], names=["v", "key", "cell"])
+
+    kind = index.schema["v"].dataType.simpleString()
+    probes = keys.mapInArrow(probe, f"v {kind}, key long, cell long")
+    # at most MOST_WORDS squared rows: into how many units and blocks a cell is dealt
+    rows_in, asked = index.groupBy("cell").agg(F.count("*").alias("rows")), probes.groupBy("cell").agg(F.count("*").alias("asked"))
+    cells = scratch.cut(rows_in.join(asked, "cell").select("cell", F.ceil(F.col("rows") / UNIT_ROWS).alias("units"), F.ceil(F.col("asked") / QUERY_BLOCK).alias("blocks")), "cells")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = index.join(F.broadcast(cells), "cell").withColumns({"unit": F.col("deal") % F.col("units"), "block": each("blocks")}).select("cell", "unit", "block", "id", "v", "codes", "norm")
+    right = probes.join(F.broadcast(cells), "cell").withColumn("unit", each("units")).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks"))).select("cell", "unit", "block", "key", "v")
+    names = ["cell", "unit", "block"]
+    id_kind = index.schema["id"].dataType.simpleString()
+    found = left.groupBy(*names).cogroup(right.groupBy(*names)).applyInArrow(_searcher(shared, k, rerank), f"key long, vec_id {id_kind}, score double")
+    # of each id k rows, of each query's rows those of k + 1 ids at least: one of them may be its own
+    found = found.repartition("key")
+    found = found.withColumn("n", F.row_number().over(Window.partitionBy("key", "vec_id").orderBy("score"))).where(F.col("n") <= k)
+    found = found.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("score", "vec_id"))).where(F.col("n") <= k * (k + 1))
+    found = scratch.cut(found.select("key", "vec_id", "score"), "found")
+    asking = scratch.cut(queries.join(keys, "v").select(F.col("id").alias("query_id"), "key"), "asking")
+    scratch.drop(index, queries, keys, cells)
+    own = found.join(asking, "key").where("query_id != vec_id")
+    w = Window.partitionBy("query_id", "key").orderBy("score", "vec_id")
+    return own.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _entries(ids: np.ndarray, x: np.ndarray, k: int) -> list[np.ndarray]:
+    """Rows by distinct vector, rows in order of ids: of each vector k + 1 ids, of each id k rows."""
+    flat = np.ascontiguousarray(x).view(np.void(x.dtype.itemsize * x.shape[1]).dtype).ravel()
+    _, first, of = np.unique(flat, return_index=True, return_inverse=True)
+    if len(first) == len(x):
+        return [np.array([i]) for i in range(len(x))]
+    order = np.argsort(of, kind="stable")
+    out = []
+    for rows in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
+        new = np.concatenate([[True], ids[rows][1:] != ids[rows][:-1]])
+        start = np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))
+        out.append(rows[(np.cumsum(new) <= k + 1) & (np.arange(len(rows)) - start < k)])
+    return out
+
+
+def _searcher(shared: Broadcast, k: int, rerank: int):
+    def nearest(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norms: np.ndarray, queries: np.ndarray) -> Iterator[np.ndarray]:
+        """For each query the rows that may be among its k nearest, and their distances."""
+        members = _entries(ids, x, k)
+        heads = np.array([own[0] for own in members], np.int64)
         codes, norms, x_heads = codes[heads], norms[heads], x[heads]
-        for at in range(0, len(query_ids), 64):
+        for at in range(0, len(queries), 64):
             q = queries[at : at + 64]
-            tables = quantiser.tables(q)
+            tables = shared.value.quantiser.tables(q)
             scores = np.repeat(norms[None, :], len(q), axis=0)
             for s in range(codes.shape[1]):
                 scores -= 2 * tables[:, s, :][:, codes[:, s]]
             for j in range(len(q)):
                 best = np.argpartition(scores[j], rerank - 1)[:rerank] if len(heads) > rerank else np.arange(len(heads))
                 d = np.sqrt(((x_heads[best] - q[j]) ** 2).sum(axis=1))
-                near = best[np.argsort(d, kind="stable")[: k + 1]] if len(best) > k + 1 else best
-                cut = d[np.argsort(d, kind="stable")[min(k, len(best) - 1)]]
-                near = best[d <= cut]
-                rows = np.array([i for h in near for i in members[h]], np.int64)
-                rows = rows[ids[rows] != query_ids[at + j]]
+                cut = np.sort(d)[min(k, len(best) - 1)]
+                rows = np.concatenate([members[h] for h in best[d <= cut]])
+                if len(np.unique(ids[rows])) <= k:  # ids that repeat: all candidates
+                    rows = np.concatenate([members[h] for h in best])
                 d = np.sqrt(((x[rows] - q[j]) ** 2).sum(axis=1))
-                first = np.lexsort((ids[rows], d))[:k]
-                yield int(query_ids[at + j]), ids[rows[first]], d[first]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stages = len(block.value[2].books)
-        for unit in _units(batches):
-            codes = np.frombuffer(b"".join(unit.column(2).to_pylist()), np.uint8 if block.value[2].books.shape[1] <= 256 else np.uint16).reshape(-1, stages)
-            out = list(nearest(unit.column(0).to_numpy(), _matrix(unit.column(1), block.value[1].shape[1]), codes, unit.column(3).to_numpy()))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([np.full(len(i), q) for q, i, _ in out]), pa.int64()),
-                    pa.array(np.concatenate([i for _, i, _ in out]), pa.int64()),
-                    pa.array(np.concatenate([d for _, _, d in out]), pa.float64()),
-                ],
-                names=["query_id", "vec_id", "score"],
-            )
+                order = np.lexsort((ids[rows], d))
+                yield rows[order], d[order]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = []
+        if left.num_rows and right.num_rows:
+            quantiser = shared.value.quantiser
+            stages, words, dim = quantiser.books.shape
+            left = left.take(pa.compute.sort_indices(left, sort_keys=[("id", "ascending")]))
+            ids = np.asarray(left["id"].to_numpy())
+            codes = np.frombuffer(b"".join(left["codes"].to_pylist()), np.uint8 if words <= 256 else np.uint16).reshape(-1, stages)
+            x, norms = _matrix(left["v"], dim), left["norm"].to_numpy()
+            queries, keys = _matrix(right["v"], dim), right["key"].to_pylist()
+            for key, (rows, d) in zip(keys, nearest(ids, x, codes, norms, queries), strict=True):
+                found.append((np.full(len(rows), key), rows, d))
+        none = [np.zeros(0, np.int64)]
+        rows = np.concatenate(none + [r for _, r, _ in found])
+        return pa.table({"key": np.concatenate(none + [q for q, _, _ in found]), "vec_id": left["id"].take(pa.array(rows)).combine_chunks(), "score": np.concatenate([np.zeros(0)] + [d for _, _, d in found])})
 
     return run
 
 
-def nearest_neighbours(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest_neighbours(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", rerank: int = 128) -> DataFrame:
     """query_id, rank, vec_id and Euclidean distance of the k nearest found for each row that is_query holds for."""
     scratch = Scratch(spark, "ann")
-    index, quantiser = build_index(spark, vectors, scratch, id_col, vector_col)
-    if quantiser is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    index, made = build_index(spark, vectors, scratch, id_col, vector_col)
+    if made is None:
+        kind = vectors.schema[id_col].dataType.simpleString()
+        return spark.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
     queries = index.select(F.col("id").alias(id_col), "v").where(is_query).select(F.col(id_col).alias("id"), "v")
-    return search(spark, index, quantiser, queries, scratch, k)
+    return search(spark, index, made, queries, scratch, k, rerank)

@@ -8,7 +8,7 @@ def brute(rows, k):
     good = [(i, np.array(v, float)) for i, v in rows if v is not None and len(v) == 16 and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     out = {}
     for q, v in good:
-        if q % 100 == 0:
+        if q % 100 == 0:  # ids are unique here but for those that no query shares
             out[q] = sorted((float(np.sqrt(((v - w) ** 2).sum())), i) for i, w in good if i != q)[:k]
     return out
 
@@ -38,3 +38,58 @@ def test_few_and_none(spark):
     out = ann.nearest_neighbours(spark, df, F.col("vec_id") % 100 == 0).orderBy("rank").collect()
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in out] == [(0, 1, 1, 1.0), (0, 2, 2, 26**0.5)]
     assert ann.nearest_neighbours(spark, df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def recall(spark, x, **options):
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    x = np.asarray(x, np.float32).astype(float)
+    found = {}
+    for r in ann.nearest_neighbours(spark, df, F.col("vec_id") % 50 == 0, **options).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = total = 0
+    for q in range(0, len(x), 50):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        near = np.argsort(d, kind="stable")[:10]
+        hits, total = hits + len(found[q] & set(near.tolist())), total + 10
+    return hits / total
+
+
+def test_recall_of_the_approximation(spark, monkeypatch):
+    """Several cells, and units from which far fewer rows are measured exactly than they hold."""
+    monkeypatch.setattr(ann, "UNIT_ROWS", 400)
+    rng = np.random.default_rng(1)
+    flat = rng.normal(size=(5000, 32))
+    assert recall(spark, flat / np.linalg.norm(flat, axis=1, keepdims=True), rerank=40) >= 0.9
+    groups = rng.normal(size=(60, 32))[rng.integers(0, 60, 5000)] + 0.3 * rng.normal(size=(5000, 32))
+    assert recall(spark, groups, rerank=40) >= 0.9
+    made = ann.Index.fit(groups, len(groups))
+    cells = made.coarse.books.shape[1] ** 2
+    assert cells >= 9 and made.probes <= cells // 2  # structure is used
+
+
+def test_repeated_ids(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.9, 0.1, 0.0]
+    rows = [(100, a), (100, b), (100, a), (1, a), (2, b), (3, c), (3, c), (5, [0.0, 0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = ann.nearest_neighbours(spark, df, F.col("vec_id") % 100 == 0, k=3).collect()
+    lists = sorted([r.vec_id for r in sorted(out, key=lambda r: r["rank"]) if round(r.score, 6) in own] for own in ({0.0, 0.141421}, {0.0}))
+    assert len(out) == 6 and sorted(r["rank"] for r in out) == [1, 1, 2, 2, 3, 3]
+    assert sorted(r.vec_id for r in out) == [1, 2, 3, 3, 3, 3] and lists
+
+
+def test_one_id_in_many_rows(spark, monkeypatch):
+    """An id with more rows near its own query than any list holds doesn't hide the others."""
+    monkeypatch.setattr(ann, "UNIT_ROWS", 64)
+    rng = np.random.default_rng(2)
+    near = [[float(v) for v in 1 + 1e-3 * rng.normal(size=8)] for _ in range(300)]
+    rows = [(100, v) for v in near] + [(i, [float(v) for v in 1 + rng.normal(size=8)]) for i in range(1, 60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = ann.nearest_neighbours(spark, df, F.col("vec_id") % 100 == 0, k=3, rerank=512).collect()
+    assert len(out) == 900 and 100 not in {r.vec_id for r in out}
+
+
+def test_strings_as_ids(spark):
+    df = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [2.0, 0.0]), ("c", [1.5, 0.0])], "vec_id string, embedding array<double>")
+    out = ann.nearest_neighbours(spark, df, F.col("vec_id") == "a", k=2).orderBy("rank").collect()
+    assert [(r.query_id, r.vec_id, r.score) for r in out] == [("a", "c", 0.5), ("a", "b", 1.0)]
