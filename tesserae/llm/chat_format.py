@@ -1,10 +1,10 @@
 """Chat formatting of reply trees, in DataFrame functions only.
 
 Messages form trees by their parents. Binary lifting by self-joins (each round joins the table
-of 2^k-th ancestors with itself) gives ancestors in log2(depth) rounds; expanding every leaf with
-those tables enumerates its root-to-leaf path in as many rounds, and the number of rows is the
-sum of path lengths. Paths of a tree are ranked by the sum of their scores, the best `top`
-are kept, and each becomes one conversation in a template:
+of 2^k-th ancestors with itself, and adds up the scores between) gives ancestors in log2(depth) rounds. Leaves climb to
+their roots by those tables and so get the sum of their paths' scores without a row for each message on it. The best
+`top` leaves of a tree are chosen by that sum, and only their root-to-leaf paths are then expanded, by the
+same tables; each becomes one conversation in a template:
 
     <|im_start|>role\\ntext<|im_end|>\\n
 
@@ -12,10 +12,12 @@ Escapes make the template reversible: in a text, `\\` becomes `\\\\` and then `<
 `<\\|`; in a role also a line end becomes `<\\n`. So `<|` in the output is always a mark. The loss
 mask lists (start, length) in characters of the escaped assistant texts.
 
-Defined results: a null text or role is empty; a null tree id is a tree of its own; a parent
+Defined results: a null text or role is empty; a null tree id is a tree of its own; a null score is 0; a parent
 that isn't there makes its child a root; messages above which lies a circle of parents are left
-out, as they have no root; rows at the same turn are ordered by role, then text; equal
-paths' scores rank by the smaller leaf; an empty table gives no rows.
+out, as they have no root; of rows with the same tree and node the least by parent, score, role and text stays; rows at
+the same turn are ordered by role, then text; equal
+paths' scores rank by the smaller leaf (sums are in double precision); very long texts and paths stay whole; other columns,
+whatever their names, aren't looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -61,44 +63,75 @@ def turns_to_messages(conversations: DataFrame) -> DataFrame:
     ).withColumn("score", F.lit(1.0))
 
 
-def best_paths(spark: SparkSession, messages: DataFrame, top: int = 1) -> DataFrame:
+def _keyed(messages: DataFrame, unique: bool) -> DataFrame:
+    """(k, tree, node, parent, score, role, text): one row for each node."""
+    key = F.coalesce(F.col("tree").cast("string"), F.lit("\0null"))
+    rows = messages.select(key.alias("k"), "tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"), "role", "text")
+    if unique:
+        return rows
+    least = rows.groupBy("k", "tree", "node").agg(F.min(F.struct("parent", "score", "role", "text")).alias("m"))
+    return least.select("k", "tree", "node", "m.parent", "m.score", "m.role", "m.text")
+
+
+def best_paths(spark: SparkSession, messages: DataFrame, top: int = 1, unique: bool = False) -> DataFrame:
     """(tree, leaf, rank, node, dist) of the best root-to-leaf paths; dist counts from the leaf.
 
-    messages: tree, node (unique in its tree), parent (null: a root), role, text, score.
+    messages: tree, node, parent (null: a root), role, text, score; unique: no node is twice in a tree.
     """
+    return _chosen(spark, _keyed(messages, unique), top).select("tree", "leaf", "rank", "node", "dist")
+
+
+def _chosen(spark: SparkSession, keyed: DataFrame, top: int) -> DataFrame:
     scratch = Scratch(spark, "reply-trees")
-    key = F.coalesce(F.col("tree").cast("string"), F.lit("\0null"))
-    nodes = scratch.cut(messages.select(key.alias("k"), "tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")), "nodes")
+    nodes = scratch.cut(keyed.select("k", "tree", "node", "parent", "score"), "nodes")
     there = nodes.select("k", F.col("node").alias("parent"))
-    up = scratch.cut(nodes.where("parent is not null").select("k", "node", "parent").join(there, ["k", "parent"]).select("k", "node", "parent"), "up")
+    up = scratch.cut(nodes.where("parent is not null").join(there, ["k", "parent"]).select("k", "node", "parent", F.col("score").alias("total")), "up")
     levels = [up]
     n = up.count()
     for _ in range(math.ceil(math.log2(n + 2)) + 1 if n else 0):
         last = levels[-1]
         nxt = last.alias("a").join(last.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.parent") == F.col("b.node")))
-        nxt = scratch.cut(nxt.select("a.k", "a.node", "b.parent"), "up")
+        nxt = scratch.cut(nxt.select("a.k", "a.node", "b.parent", (F.col("a.total") + F.col("b.total")).alias("total")), "up")
         levels.append(nxt)
         if nxt.isEmpty():
             break
     # rows left at the last level never reach a root: a circle lies above them
     lost = levels[-1].select("k", "node")
-    paths = nodes.join(up.select("k", F.col("parent").alias("node")), ["k", "node"], "left_anti").join(lost, ["k", "node"], "left_anti")
-    paths = paths.select("k", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("dist"))
+    leaves = nodes.join(up.select("k", F.col("parent").alias("node")), ["k", "node"], "left_anti").join(lost, ["k", "node"], "left_anti")
+    leaves = scratch.cut(leaves.select("k", "tree", F.col("node").alias("leaf")), "leaves")
+    per_tree = scratch.cut(leaves.groupBy("k", "tree").agg(F.count("*").alias("n"), F.min("leaf").alias("leaf")), "trees")
+    best = per_tree.where("n = 1").select("k", "tree", "leaf", F.lit(1).alias("rank"))
+    several = per_tree.where("n > 1").select("k")
+    if not several.isEmpty():
+        climbed = _climb(leaves.join(several, "k", "left_semi"), nodes, levels[:-1] if n else [], scratch)
+        ranked = climbed.withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("total"), "leaf"))).where(F.col("rank") <= top)
+        best = best.unionByName(ranked.select("k", "tree", "leaf", "rank"))
+    paths = best.withColumns({"node": F.col("leaf"), "dist": F.lit(0).cast("long")})
     for i, level in enumerate(levels[:-1] if n else []):
-        more = paths.join(level, ["k", "node"]).select("k", "leaf", F.col("parent").alias("node"), (F.col("dist") + (1 << i)).alias("dist"))
-        paths = scratch.cut(paths.unionByName(more), "paths")
-    scored = paths.join(nodes.select("k", "tree", "node", "score"), ["k", "node"])
-    totals = scored.groupBy("k", "leaf").agg(F.sum("score").alias("total"))
-    best = totals.withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("total"), "leaf"))).where(F.col("rank") <= top)
-    return scored.join(best, ["k", "leaf"]).select("k", "tree", "leaf", "rank", "node", "dist")
-
-
-def format_trees(spark: SparkSession, messages: DataFrame, top: int = 1) -> DataFrame:
-    """tree, rank, formatted, loss_mask (start and length in characters, from 0) of each chosen path."""
-    paths = best_paths(spark, messages, top)
-    key = F.coalesce(F.col("tree").cast("string"), F.lit("\0null"))
-    texts = messages.select(key.alias("k"), "node", "role", "text")
-    turns = paths.join(texts, ["k", "node"])
+        paths = scratch.cut(paths, "paths")
+        more = paths.join(level, ["k", "node"]).select("k", "tree", "leaf", "rank", F.col("parent").alias("node"), (F.col("dist") + (1 << i)).alias("dist"))
+        paths = paths.unionByName(more)
+    paths = scratch.cut(paths, "paths")
+    scratch.keep(paths)
+    return paths
+
+
+def _climb(leaves: DataFrame, nodes: DataFrame, levels: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """leaves with total: the sum of the scores from each leaf to its root, by jumps of falling length."""
+    at = leaves.withColumns({"at": F.col("leaf"), "total": F.lit(0.0)})
+    for i in range(len(levels) - 1, -1, -1):
+        jump = levels[i].select("k", F.col("node").alias("at"), "parent", F.col("total").alias("more"))
+        at = at.join(jump, ["k", "at"], "left").select("k", "tree", "leaf", F.coalesce("parent", "at").alias("at"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"))
+        if i % 3 == 0:
+            at = scratch.cut(at, "climbing")
+    root = nodes.select("k", F.col("node").alias("at"), F.col("score").alias("more"))
+    return scratch.cut(at.join(root, ["k", "at"]).select("k", "tree", "leaf", (F.col("total") + F.col("more")).alias("total")), "climbed")
+
+
+def format_trees(spark: SparkSession, messages: DataFrame, top: int = 1, unique: bool = False) -> DataFrame:
+    """tree, rank, formatted, loss_mask (start and length in characters, from 0) of each chosen path; unique as in best_paths()."""
+    keyed = _keyed(messages, unique)
+    turns = _chosen(spark, keyed, top).join(keyed.select("k", "node", "role", "text"), ["k", "node"])
     role = escape_role(F.coalesce(F.col("role"), F.lit("")))
     head = F.concat(F.lit(START), role, F.lit("\n"))
     body = escape(F.coalesce(F.col("text"), F.lit("")))

@@ -64,7 +64,7 @@ CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.sql(f"select * from values (-1L, 0L, 'user', '{CONTROL_TEXT}'), (-1L, 1L, 'assistant', '{CONTROL_TEXT}') t(conv_id, turn, role, text)")
-    out = chat_format.format_trees(spark, chat_format.turns_to_messages(rows.unionByName(extra)))
+    out = chat_format.format_trees(spark, chat_format.turns_to_messages(rows.unionByName(extra)), unique=True)
     turns = chat_format.read_turns(F.col("formatted"))
     digest = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     read = out.select(F.col("tree").alias("conv_id"), turns.alias("turns"), chat_format.read_loss(F.col("formatted"), F.col("loss_mask")).alias("loss"), "formatted")

@@ -112,6 +112,25 @@ def test_chat_trees(spark):
     assert len(r.t) == 701 and r.loss == "".join(f"t{i}" for i in range(1, 700, 2))
 
 
+def test_branches_are_ranked_before_they_are_expanded(spark):
+    """A comb: every second message is a leaf. One path is chosen; repeated rows and other columns change nothing."""
+    from tesserae.llm import chat_format as c
+
+    rows = []
+    for i in range(120):
+        rows.append((1, 2 * i, 2 * i - 2 if i else None, "user", f"spine {i}", 0.25))
+        rows.append((1, 2 * i + 1, 2 * i, "assistant", f"tooth {i} " + "x" * (100_000 if i == 70 else 1), 100.0 if i == 70 else 0.5))
+    rows += [(2, 1, None, "user", "twice", 0.0), (2, 1, None, "user", "twice", 0.0), (2, 2, 1, "assistant", "b", 0.0), (2, 2, 1, "assistant", "a", 0.0)]
+    df = spark.createDataFrame([(*r, "c", 1, 2) for r in rows], "tree long, node long, parent long, role string, text string, score double, k string, rank int, total int")
+    out = {(r.tree, r["rank"]): [x.text for x in r.t] for r in c.format_trees(spark, df, top=2).select("tree", "rank", c.read_turns(F.col("formatted")).alias("t")).collect()}
+
+    def path(leaf):
+        return [f"spine {i}" for i in range(leaf + 1)]
+
+    assert out == {(1, 1): [*path(70), "tooth 70 " + "x" * 100_000], (1, 2): [*path(119), "tooth 119 x"], (2, 1): ["twice", "a"]}
+    assert c.best_paths(spark, df, top=1).count() == 72 + 2
+
+
 def test_sharding_query(spark):
     out = QUERIES["op6_sharding"](spark, SF).toPandas()
     texts = spark.read.parquet(f"{SF}/documents.parquet").toPandas().set_index("doc_id")["text"]
