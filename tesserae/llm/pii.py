@@ -4,32 +4,44 @@ One regular expression finds all types in a pass; a text is split at the entitie
 by itself, and the parts are joined again, so nothing is shuffled and no table of entities is needed.
 
 Replacements are keyed and depend only on the key and the entity's canonical form: the same
-entity gets the same one everywhere (coreference), in the case and separators of each mention.
-Digits and letters go through a keyed permutation of all strings of their shape (a balanced Feistel network
-on two halves), so different entities of one shape can't collide; where a permutation would leave
-the format (an octet over 255) it permutes the values that are left in it. Each word of a name gets its
-letters permuted in their alphabets, behind a first name of the title's gender. Each
-document is checked: a replacement that is itself an entity of the text is drawn again, that
-entity's alone, with another key derived from the key; where this doesn't help the first ones
-stand. collisions() lists what two entities of a whole table share.
-
-Types: e-mail addresses, IPv4 addresses, phone numbers, card numbers (13 to 19 digits; numbers with a
-right check digit get one, others don't), secrets after an assignment (token, key, password, secret), social
-security numbers, and whole names after a title, whose gender the title tells; words of such names are
+entity gets the same one everywhere (coreference), in the case and separators of each mention. There is one key for
+the whole corpus, and nothing is drawn twice.
+
+What is replaced of an entity is a string of signs, each with a place in an alphabet: a digit, a letter of its
+script, an octet. A Feistel network on the two halves of the whole string permutes all strings of that shape, each
+sign by a keyed hash of the other half. The network is run, the first sign moved on by a keyed step
+that isn't zero, and the network run back. So every shape is permuted without a fixed point: different entities
+never meet (distinctness), and none keeps its value. Each word of a name gets its
+letters permuted in their alphabets, behind a first name of the title's gender. The n_collisions of replacements() counts, in each
+text, replacements that stand for two entities (none, by the above) or that are another entity of the
+text (which happens by chance in small shapes; that one is replaced as well). collisions() lists what two entities of a whole table share.
+
+Types: e-mail addresses, IPv4 and IPv6 addresses, phone numbers, card numbers (13 to 19 digits; numbers with a
+right check digit get one, others don't), secrets after an assignment (token, key, password, secret) and access key
+ids, social security numbers, and whole names after a title, whose gender the title tells; words of such names are
 found without a title as well in the same text.
 
-Defined results: a null text stays null, an empty or clean text stays as it is; repeated rows
-get the same result; an empty table gives no rows; other columns are kept by anonymise().
+Defined results: a null text stays null, an empty or clean text stays as it is; very long texts are searched whole; repeated rows
+get the same result; an empty table gives no rows; other columns are kept by anonymise(). A letter of a script without an
+alphabet here moves among the 16 code points around it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The forms of entities. Each is one alternative; none has a capturing group.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,255}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}"
+EMAIL = r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]++@[\p{L}\p{N}][\p{L}\p{M}\p{N}.-]*(?<=\.\p{L}{2,24})"
 IPV4 = r"(?<![0-9.])(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}(?![0-9]|\.[0-9])"
+_HEX = "[0-9A-Fa-f]{1,4}"
+IPV6 = (
+    r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]*[0-9])"
+    rf"(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}(?::{_HEX}){{0,6}})?::(?:{_HEX}(?::{_HEX}){{0,6}}))(?![0-9A-Za-z:]|\.[0-9])"
+)
+ACCESS_KEY = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![0-9])[0-9]{13,19}(?![0-9])|(?<![0-9])[0-9]{4}(?:[ -][0-9]{4}){3}(?![0-9])"
 DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./-][0-9]{2}[./-][0-9]{4}"
@@ -46,11 +58,11 @@ PHONE = (
 SECRET_NAME = r"(?i:(?:token|api[_-]?key|secret|password|passwd))"
 #: Quoted values of any length. Without quotes, up to white space: after = any, after : one with a digit.
 SECRET = rf"{SECRET_NAME}[\"']?\s{{0,3}}[=:]\s{{0,3}}(?:[\"'][^\"'\s]{{6,}}+[\"']|(?:(?<==)|(?<==\s)|(?<==\s\s)|(?<==\s\s\s)|(?=[^\"'\s,;&]*[0-9]))[^\"'\s,;&]{{5,}}[^\"'\s,;&.!?)#%*$])"
-TITLE = r"(?<![\p{L}\p{M}\p{N}_])(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Señor|Señora|MR|MRS|MS|MISS|HERR|FRAU|MONSIEUR|MADAME|SEÑOR|SEÑORA)(?:\. ?| )"
+TITLE = r"(?<![\p{L}\p{M}\p{N}_])(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora|MR|MRS|MS|MISS|DR|PROF|HERR|FRAU|MONSIEUR|MADAME|SEÑOR|SEÑORA|[Гг]-н|[Гг]-жа|[Гг]осподин|[Гг]оспожа)(?:\. ?| )"
 NAME_WORD = r"[\p{Lu}\p{Lt}\p{Lo}][\p{L}\p{M}]*+(?:[-‐'’](?!s(?![\p{L}\p{M}]))[\p{L}\p{M}]++)*+|[dl]['’]\p{Lu}[\p{L}\p{M}]*+"
 PARTICLE = r"(?:von|van|vom|zu|zur|zum|der|den|des|del|della|de|di|da|do|dos|du|la|le|ter|ten|bin|ibn|al|el|y|e)"
-NAME = rf"{TITLE}(?:{PARTICLE} ){{0,3}}(?:{NAME_WORD})(?: (?:{PARTICLE} ){{0,3}}(?:{NAME_WORD})){{0,4}}+"
-ENTITY = "|".join([SECRET, EMAIL, NAME, PHONE, IPV4, SSN, CARD])
+NAME = rf"{TITLE}(?:{PARTICLE} ){{0,3}}(?:{NAME_WORD})(?: (?:{PARTICLE} ){{0,3}}(?:{NAME_WORD})){{0,7}}+"
+ENTITY = "|".join([SECRET, EMAIL, NAME, PHONE, IPV4, IPV6, SSN, CARD, ACCESS_KEY])
 
 # First names by the gender that the title tells.
 FEMALE = ["Ada", "Berta", "Clara", "Dora", "Elsa", "Flora", "Greta", "Hanna", "Ida", "Julia", "Klara", "Lena", "Marta", "Nora", "Olga", "Paula"]
@@ -65,18 +77,18 @@ RANGES = [
     (0x561, 0x586), (0x5D0, 0x5EA), (0x621, 0x63A), (0x641, 0x64A), (0x905, 0x914), (0x915, 0x939), (0x995, 0x9A8), (0xE01, 0xE2E), (0x10D0, 0x10F0),
     (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3),
 ]
-FEMALE_TITLES = ["mrs", "ms", "miss", "frau", "madame", "señora"]
+FEMALE_TITLES = ["mrs", "ms", "miss", "frau", "madame", "señora", "г-жа", "госпожа"]
+#: Titles that tell no gender: the name's hash chooses.
+OPEN_TITLES = ["dr", "prof"]
+# Signs of a kind that are no letters of a script, in order.
+DIGITS, HEX, CODE, LATIN, MARKS = "0123456789", "0123456789abcdef", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "!#$%*+/=?@^~"
 CARRIED = "array<struct<word:string,female:boolean>>"
 
 #: Only texts with one of these can hold an entity; a cheap test before the expression of all forms.
-HINT = r"[@0-9\"'=]|M(?:rs?|s|iss|RS?|S|ISS|onsieur|adame|ONSIEUR|ADAME)[. ]|Herr|Frau|HERR|FRAU|Señor|SEÑOR"
+HINT = r"[@0-9\"'=]|A[KS]IA|M(?:rs?|s|iss|RS?|S|ISS|onsieur|adame|ONSIEUR|ADAME)[. ]|Herr|Frau|HERR|FRAU|Señor|SEÑOR|D[rR][. ]|Prof|PROF|[Гг]-|[Гг]оспо"
 
 #: Rounds of the permutation; four make it strong against chosen inputs.
 ROUNDS = 4
-#: Signs of a secret that are permuted together.
-PIECE = 200
-
-
 def kind_of(entity: Column) -> Column:
     """The type of an entity that ENTITY found."""
     whole = lambda p: entity.rlike(f"^(?:{p})$")
@@ -84,6 +96,8 @@ def kind_of(entity: Column) -> Column:
         F.when(entity.contains("@") & whole(EMAIL), "email")
         .when(whole(SECRET), "secret")
         .when(whole(IPV4), "ip")
+        .when(whole(IPV6), "ip6")
+        .when(whole(ACCESS_KEY), "access key")
         .when(whole(SSN), "ssn")
         .when(whole(CARD), "card")
         .when(entity.rlike("^[+(0-9]"), "phone")
@@ -96,30 +110,94 @@ def _number(key: str, *parts: Column) -> Column:
     return F.conv(F.substring(F.sha2(F.concat_ws("\x1f", F.lit(key), *parts), 256), 1, 13), 16, 10).cast("long")
 
 
-def permuted_digits(digits: Column, key: str, tweak: str) -> Column:
-    """A keyed permutation of all digit strings of a length (2 to 34): a Feistel network on halves of up to 17 digits."""
-    n = F.length(digits)
-    left_size = F.floor(n / 2).cast("int")
-    right_size = n - left_size
-    # rounds change the halves in turn, so both keep their lengths
-    state = F.struct(F.substr(digits, F.lit(1), left_size).alias("a"), F.substr(digits, left_size + 1, right_size).alias("b"))
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+#: Alphabets in the order of their numbers, and the ways of reading a string in which each is used.
+TABLES = [(DIGITS, ("digits", "signs")), (HEX, ("hex",)), (CODE, ("code",)), (LATIN, ("signs",)), (MARKS, ("marks",))]
+TABLES += [(letters, ("name",) if k < 2 else ("name", "signs")) for k, letters in enumerate(ALPHABETS)]
+STAYS, OCTET, POINT = -1, -2, -3
+
+
+def _place(sign: Column, mode: Column) -> Column:
+    """A sign's alphabet (or STAYS, OCTET, POINT: a range of code points from low), its size, and the sign's place in it."""
+    low = F.when(mode == "code", sign).otherwise(F.translate(F.lower(sign), "ς", "σ"))
+    found = lambda table, size, at, first=0: F.struct(F.lit(table).alias("table"), F.lit(size).alias("size"), at.cast("int").alias("at"), (first if isinstance(first, Column) else F.lit(first)).cast("int").alias("low"))
+    out = F.when(mode == "octet", found(OCTET, 256, sign))
+    for k, (letters, modes) in enumerate(TABLES):
+        at = F.instr(F.lit(letters), low)
+        out = out.when(mode.isin(*modes) & (at > 0), found(k, len(letters), at - 1))
+    code, letters = F.ascii(low), mode.isin("signs", "name")
+    for first, last in RANGES:
+        out = out.when(letters & code.between(first, last), found(POINT, last - first + 1, code - first, first))
+    other = letters & (code > 127) & low.rlike(r"^\p{L}$") & (low != "ß")
+    return out.when(other, found(POINT, 16, code % 16, code - code % 16)).otherwise(found(STAYS, 1, F.lit(0)))
+
+
+def _sign(original: Column, place: Column, at: Column) -> Column:
+    """The sign at another place of the original's alphabet, in its case."""
+    tables = F.array(*[F.lit(letters) for letters, _ in TABLES])
+    new = (
+        F.when(place["table"] == OCTET, at.cast("string"))
+        .when(place["table"] == POINT, F.decode(F.unhex(F.lpad(F.hex((place["low"] + at).cast("long")), 8, "0")), "UTF-32"))
+        .otherwise(F.substr(F.element_at(tables, F.greatest(place["table"], F.lit(0)) + 1), at + 1, F.lit(1)))
+    )
+    upper = (original != F.lower(original)) & (place["table"] >= 0) & (place["table"] != 2)
+    return F.when(place["table"] == STAYS, original).when(upper, F.upper(new)).otherwise(new)
+
+
+def _round(halves: Column, sizes: Column, k: Column, sign: int, key: str, tweak: Column) -> Column:
+    """One half's places moved by a keyed hash of the other half; the halves change in turn."""
+    even = k % 2 == 0
+    fixed, moving = F.when(even, halves["b"]).otherwise(halves["a"]), F.when(even, halves["a"]).otherwise(halves["b"])
+    own = F.when(even, sizes["a"]).otherwise(sizes["b"])
+    seed = F.sha2(F.concat_ws("\x1f", F.lit(key), tweak, k.cast("string"), F.array_join(fixed.cast("array<string>"), ",")), 256)
+    # ten steps of 24 bits from each hash
+    blocks = _let(seed, lambda d: F.transform(F.sequence(F.lit(0), F.floor(F.size(moving) / 10).cast("int")), lambda j: F.sha2(F.concat(d, F.lit(":"), j.cast("string")), 256)))
+
+    def moved(steps: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            step = F.conv(F.substr(steps[F.floor(i / 10).cast("int")], (i % 10) * 6 + 1, F.lit(6)), 16, 10).cast("long")
+            return F.pmod(x + sign * step, own[i]).cast("int")
+
+        return F.transform(moving, one)
 
-    def turn(s: Column, k: Column) -> Column:
-        even = k % 2 == 0
-        fixed, moving = F.when(even, s["b"]).otherwise(s["a"]), F.when(even, s["a"]).otherwise(s["b"])
-        size = F.length(moving)
-        shift = _number(key, F.lit(tweak), n.cast("string"), k.cast("string"), fixed)
-        value = _shifted(moving, shift, size)
-        return F.struct(F.when(even, value).otherwise(s["a"]).alias("a"), F.when(even, s["b"]).otherwise(value).alias("b"))
+    return _let(_let(blocks, moved), lambda new: F.struct(F.when(even, new).otherwise(halves["a"]).alias("a"), F.when(even, halves["b"]).otherwise(new).alias("b")))
 
-    return F.aggregate(F.array(*[F.lit(k) for k in range(ROUNDS)]), state, turn, lambda s: F.concat(s["a"], s["b"]))
 
+def _permuted_places(at: Column, size: Column, key: str, tweak: Column) -> Column:
+    """A keyed permutation without a fixed point of all arrays of places below the sizes."""
+    half = F.floor(F.size(at) / 2).cast("int")
+    cut = lambda x: F.struct(F.slice(x, F.lit(1), half).alias("a"), F.slice(x, half + 1, F.size(x)).alias("b"))
+    rounds = F.array(*[F.lit(k) for k in range(ROUNDS)])
+    first = F.array_position(F.transform(size, lambda n: n > 1), F.lit(True)).cast("int") - 1
+    step = _number(key, tweak, F.lit("step"))
 
-def _shifted(number: Column, by: Column, size: Column) -> Column:
-    """A digit string and a number added, modulo 10^size, at the same length."""
-    modulus = F.pow(F.lit(10), size).cast("decimal(20,0)")
-    total = F.pmod(number.cast("decimal(20,0)") + by.cast("decimal(20,0)"), modulus)
-    return F.lpad(total.cast("decimal(20,0)").cast("string"), size, "0")
+    def run(sizes: Column) -> Column:
+        there = F.aggregate(rounds, cut(at), lambda h, k: _round(h, sizes, k, 1, key, tweak), lambda h: F.concat(h["a"], h["b"]))
+        on = lambda x, i: F.when(i == first, F.pmod(x + 1 + F.pmod(step, F.greatest(size[i] - 1, F.lit(1))), size[i]).cast("int")).otherwise(x)
+        back = lambda x: F.aggregate(F.reverse(rounds), cut(x), lambda h, k: _round(h, sizes, k, -1, key, tweak), lambda h: F.concat(h["a"], h["b"]))
+        return _let(F.transform(there, on), back)
+
+    return _let(cut(size), run)
+
+
+def permuted(text: Column, mode: Column, key: str, kind: Column) -> Column:
+    """The text's signs permuted among all texts of its shape; a text without a sign that has an alphabet stays.
+
+    mode: digits, hex, code (capitals and digits), octet (numbers between dots), marks, signs (digits and letters), name (letters).
+    """
+    signs = F.when(mode == "octet", F.split(text, r"\.")).otherwise(F.filter(F.split(text, ""), lambda c: c != ""))
+
+    def use(x: Column) -> Column:
+        places, shape = x["places"], F.concat_ws(";", F.transform(x["places"], lambda p: F.concat_ws(":", p["table"].cast("string"), p["low"].cast("string"))))
+        new = _permuted_places(F.transform(places, lambda p: p["at"]), F.transform(places, lambda p: p["size"]), key, F.concat_ws("\x1f", kind, F.sha2(shape, 256)))
+        made = _let(new, lambda at: F.zip_with(x["signs"], F.arrays_zip(places.alias("p"), at.alias("n")), lambda c, y: _sign(c, y["p"], y["n"])))
+        return F.when(F.exists(places, lambda p: p["size"] > 1), F.when(mode == "octet", F.array_join(made, ".")).otherwise(F.array_join(made, ""))).otherwise(text)
+
+    return _let(_let(signs, lambda c: F.struct(c.alias("signs"), F.transform(c, lambda x: _place(x, mode)).alias("places"))), use)
 
 
 def _luhn_sum(digits: Column) -> Column:
@@ -140,123 +218,32 @@ def _same_form(original: Column, digits: Column) -> Column:
     return F.array_join(F.zip_with(parts, at, lambda c, k: F.when(c.rlike("^[0-9]$"), F.substr(digits, k + 1, F.lit(1))).otherwise(c)), "")
 
 
-def permuted_signs(text: Column, key: str, tweak: str, before: Column | None = None) -> Column:
-    """A keyed permutation of strings of a shape: each letter or digit is shifted in its own alphabet.
-
-    Long hexadecimal strings are a shape of their own, with one alphabet.
-    The shift at a place depends on the key, the shape and all signs before it, so the map is
-    invertible and strings that differ come out different.
-    """
-    shape = F.translate(text, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "a" * 26 + "A" * 26 + "0" * 10)
-    signs = F.filter(F.split(text, ""), lambda c: c != "")
-    hexadecimal = text.rlike("^(?:[0-9a-f]{16,}|[0-9A-F]{16,})$")
-
-    def turn(state: Column, c: Column) -> Column:
-        shift = _number(key, F.lit(tweak), shape_or_hex, state["seen"])
-        code = F.ascii(c)
-        moved = (
-            F.when(hexadecimal, F.substr(F.when(text.rlike("[A-F]"), F.lit("0123456789ABCDEF")).otherwise(F.lit("0123456789abcdef")), (F.pmod(F.conv(c, 16, 10).cast("long") + shift, F.lit(16)) + 1).cast("int"), F.lit(1)))
-            .when(c.rlike("^[a-z]$"), F.char(97 + F.pmod(code - 97 + shift, F.lit(26))))
-            .when(c.rlike("^[A-Z]$"), F.char(65 + F.pmod(code - 65 + shift, F.lit(26))))
-            .when(c.rlike("^[0-9]$"), F.char(48 + F.pmod(code - 48 + shift, F.lit(10))))
-            .otherwise(c)
-        )
-        return F.struct(F.concat(state["seen"], c).alias("seen"), F.concat(state["out"], moved).alias("out"))
-
-    shape_or_hex = F.when(hexadecimal, F.concat(F.lit("hex"), F.length(text).cast("string"))).otherwise(shape)
-    return F.aggregate(signs, F.struct((F.lit("") if before is None else before).alias("seen"), F.lit("").alias("out")), turn, lambda s: s["out"])
-
-
-def _octets(address: Column, key: str) -> Column:
-    """A permutation of IPv4 addresses: each octet is shifted by what stands before it."""
-    signs = F.split(address, r"\.")
-    return F.aggregate(
-        signs,
-        F.struct(F.lit("").alias("seen"), F.lit("").alias("out")),
-        lambda s, o: F.struct(
-            F.concat(s["seen"], F.lit("."), o).alias("seen"),
-            F.concat(s["out"], F.when(s["seen"] == "", "").otherwise("."), F.pmod(o.cast("long") + _number(key, F.lit("ip"), s["seen"]), F.lit(256)).cast("string")).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
-
-
-def _email(address: Column, key: str) -> Column:
-    """Local part and domain labels permuted in their shapes; the last label stays. Case follows the mention."""
-    low = F.lower(address)
-    local, domain = F.substring_index(low, "@", 1), F.substring_index(low, "@", -1)
-    top = F.substring_index(domain, ".", -1)
-    rest = F.substr(domain, F.lit(1), F.length(domain) - F.length(top))
-    whole = F.concat(permuted_signs(F.concat(local, F.lit("@"), rest), key, "email"), top)
-    return F.when(address == F.upper(address), F.upper(whole)).otherwise(whole)
+def _secret_value(assignment: Column) -> tuple[Column, Column, Column]:
+    """Name and opening quote, value, and closing quote of a secret."""
+    head = F.regexp_extract(assignment, rf"^{SECRET_NAME}[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?", 0)
+    quote = F.regexp_extract(assignment, "[\"']$", 0)
+    return head, F.substr(assignment, F.length(head) + 1, F.length(assignment) - F.length(head) - F.length(quote)), quote
 
 
-def _card(number: Column, key: str) -> Column:
-    """Digits permuted in their places. A right check digit is right again, a wrong one is wrong again: all but it are permuted, and it follows."""
+def _card_check(number: Column, body: Column, key: str) -> Column:
+    """The last digit behind a permuted body: right if the number's own was, and wrong if it was wrong."""
     digits = F.regexp_replace(number, "[^0-9]", "")
-    body = permuted_digits(F.substr(digits, F.lit(1), F.length(digits) - 1), key, "checked card")
-    check = F.pmod(-_luhn_sum(F.concat(body, F.lit("0"))), F.lit(10))
-    # how far the last digit is from the right one: 0 stays 0, and 1 to 9 are moved among themselves, so a wrong number stays wrong
     own = F.substr(digits, F.lit(1), F.length(digits) - 1)
+    check = F.pmod(-_luhn_sum(F.concat(body, F.lit("0"))), F.lit(10))
+    # how far the last digit is from the right one: 0 stays 0, and 1 to 9 are moved among themselves
     off = F.pmod(F.right(digits, F.lit(1)).cast("int") + _luhn_sum(F.concat(own, F.lit("0"))), F.lit(10))
     moved = F.when(off == 0, F.lit(0)).otherwise(F.pmod(off - 1 + _number(key, F.lit("wrong card"), own), F.lit(9)) + 1)
-    return _same_form(number, F.concat(body, F.pmod(check + moved, F.lit(10)).cast("string")))
-
-
-def _phone(number: Column, key: str) -> Column:
-    """The country code, or a national number's first digit, stays; all other digits are permuted in their places."""
-    code = F.regexp_extract(number, r"^(?:\+[0-9]{1,3}(?=[^0-9])|\(?[0-9])", 0)
-    rest = F.substr(number, F.length(code) + 1, F.length(number))
-    return F.concat(code, _same_form(rest, permuted_digits(F.regexp_replace(rest, "[^0-9]", ""), key, "phone")))
-
-
-def _secret(assignment: Column, key: str) -> Column:
-    """The name and quotes stay; the value is permuted in its shape, in pieces of PIECE signs, each under all signs before it."""
-    head = F.regexp_extract(assignment, rf"^{SECRET_NAME}[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?", 0)
-    quote = F.regexp_extract(assignment, "[\"']$", 0)
-    value = F.substr(assignment, F.length(head) + 1, F.length(assignment) - F.length(head) - F.length(quote))
-
-    def piece(i: Column) -> Column:
-        before = F.when(i == 0, F.lit("")).otherwise(F.sha2(F.substr(value, F.lit(1), i * PIECE), 256))
-        return permuted_signs(F.substr(value, i * PIECE + 1, F.lit(PIECE)), key, "secret", before)
-
-    return F.concat(head, F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.length(value) - 1) / PIECE).cast("int")), piece), ""), quote)
-
-
-def _permuted_letters(word: Column, key: str) -> Column:
-    """A keyed permutation of lower-case words: each letter is shifted in its own alphabet by all letters before it.
-
-    Marks and signs stay. A letter of no listed alphabet becomes six Latin consonants.
-    """
-
-    def moved(c: Column, shift: Column) -> Column:
-        out = None
-        for letters in ALPHABETS:
-            at = F.instr(F.lit(letters), c)
-            new = F.substr(F.lit(letters), (F.pmod(at - 1 + shift, F.lit(len(letters))) + 1).cast("int"), F.lit(1))
-            out = F.when(at > 0, new) if out is None else out.when(at > 0, new)
-        code = F.ascii(c)
-        for low, high in RANGES:
-            new = F.pmod(code - low + shift, F.lit(high - low + 1)) + low
-            out = out.when(code.between(low, high), F.decode(F.unhex(F.lpad(F.hex(new), 8, "0")), "UTF-32"))
-        coded = F.translate(F.lpad(F.hex(F.pmod(code + shift, F.lit(0x110000))), 6, "0"), "0123456789ABCDEF", "bcdfghjklmnpqrst")
-        return out.when(c.rlike(r"^\p{L}$") & (c != "ß"), coded).otherwise(c)
-
-    signs = F.filter(F.split(F.translate(word, "ς", "σ"), ""), lambda c: c != "")
-    return F.aggregate(
-        signs,
-        F.struct(F.lit("").alias("seen"), F.lit("").alias("out")),
-        lambda s, c: F.struct(F.concat(s["seen"], c).alias("seen"), F.concat(s["out"], moved(c, _number(key, F.lit("letters"), s["seen"]))).alias("out")),
-        lambda s: s["out"],
-    )
+    return F.pmod(check + moved, F.lit(10)).cast("string")
 
 
 def _title(mention: Column) -> Column:
     return F.regexp_extract(mention, f"^{TITLE}", 0)
 
 
-def _female(title: Column) -> Column:
-    return F.lower(F.regexp_replace(title, "[. ]", "")).isin(FEMALE_TITLES)
+def _female(title: Column, name: Column) -> Column:
+    """Whether a title's bearer is female; an open title leaves it to the name's last word."""
+    plain = F.lower(F.regexp_replace(title, "[. ]", ""))
+    return F.when(plain.isin(OPEN_TITLES), F.pmod(F.crc32(F.lower(F.substring_index(name, " ", -1))), F.lit(2)) == 0).otherwise(plain.isin(FEMALE_TITLES))
 
 
 def _particle(words: Column, w: Column, i: Column) -> Column:
@@ -274,8 +261,8 @@ def name_words(mention: Column) -> Column:
     return F.transform(F.filter(words, lambda w, i: ~_particle(words, w, i)), F.lower)
 
 
-def _name(mention: Column, key: str, carried: Column) -> Column:
-    """Title and particles stay; each word gets a first name of the title's gender and its own letters permuted.
+def _name(mention: Column, letters: Column, key: str, carried: Column) -> Column:
+    """Title and particles stay; each word gets a first name of the title's gender and its own letters permuted (letters: by word).
 
     In other scripts the letters alone are permuted. Without a title the gender is that of the word's first titled mention.
     """
@@ -285,12 +272,12 @@ def _name(mention: Column, key: str, carried: Column) -> Column:
     def word(w: Column, i: Column) -> Column:
         low = F.lower(w)
         first = F.try_element_at(F.filter(carried, lambda c: c["word"] == low), F.lit(1))
-        female = F.when(title != "", _female(title)).otherwise(F.coalesce(first["female"], F.lit(False)))
+        female = F.when(title != "", _female(title, mention)).otherwise(F.coalesce(first["female"], F.lit(False)))
         at = (F.pmod(_number(key, F.lit("name"), low), F.lit(16)) + 1).cast("int")
         given = F.element_at(F.when(female, F.array(*map(F.lit, FEMALE))).otherwise(F.array(*map(F.lit, MALE))), at)
-        letters = _permuted_letters(low, key)
-        letters = F.concat(F.upper(F.substr(letters, F.lit(1), F.lit(1))), F.substr(letters, F.lit(2), F.length(letters)))
-        new = F.when(w.rlike(r"\p{IsLatin}"), F.concat(given, F.lit("-"), letters)).otherwise(letters)
+        own = letters[i]
+        own = F.concat(F.upper(F.substr(own, F.lit(1), F.lit(1))), F.substr(own, F.lit(2), F.length(own)))
+        new = F.when(w.rlike(r"\p{IsLatin}"), F.concat(given, F.lit("-"), own)).otherwise(own)
         return F.when(_particle(words, w, i), w).when((F.length(w) > 1) & (w == F.upper(w)), F.upper(new)).otherwise(new)
 
     return F.concat(title, F.array_join(F.transform(words, word), " "))
@@ -298,24 +285,52 @@ def _name(mention: Column, key: str, carried: Column) -> Column:
 
 def surrogate(entity: Column, key: str, carried: Column | None = None) -> Column:
     """The keyed replacement of an entity; carried: the words of its text's titled names."""
-    if carried is None:
-        carried = F.array().cast(CARRIED)
-    kind = kind_of(entity)
-    return (
-        F.when(kind == "email", _email(entity, key))
-        .when(kind == "secret", _secret(entity, key))
-        .when(kind == "ip", _octets(entity, key))
-        .when(kind == "phone", _phone(entity, key))
-        .when(kind == "ssn", _same_form(entity, permuted_digits(F.regexp_replace(entity, "-", ""), key, "ssn")))
-        .when(kind == "card", _card(entity, key))
-        .otherwise(_name(entity, key, carried))
-    )
+    carried = F.array().cast(CARRIED) if carried is None else carried
+    low = F.lower(entity)
+    digits = F.regexp_replace(entity, "[^0-9]", "")
+    # an address: the last label stays; a phone number: the country code, or a national number's first digit
+    label = F.substring_index(low, ".", -1)
+    code = F.regexp_extract(entity, r"^(?:\+[0-9]{1,3}(?=[^0-9])|\(?[0-9])", 0)
+    rest = F.substr(entity, F.length(code) + 1, F.length(entity))
+    head, value, quote = _secret_value(entity)
+    hexadecimal = value.rlike("^(?:[0-9a-f]{16,}|[0-9A-F]{16,})$")
+
+    def cores(kind: Column) -> Column:
+        """What is permuted, and how its signs are read."""
+        one = lambda text, mode: F.array(F.struct(text.alias("text"), (F.lit(mode) if isinstance(mode, str) else mode).alias("mode")))
+        return (
+            F.when(kind == "email", one(F.substr(low, F.lit(1), F.length(low) - F.length(label)), "signs"))
+            .when(kind == "secret", one(value, F.when(hexadecimal, "hex").when(value.rlike(r"[\p{L}\p{N}]"), "signs").otherwise("marks")))
+            .when(kind == "ip", one(entity, "octet"))
+            .when(kind == "ip6", one(low, "hex"))
+            .when(kind == "phone", one(F.regexp_replace(rest, "[^0-9]", ""), "digits"))
+            .when(kind == "ssn", one(digits, "digits"))
+            .when(kind == "card", one(F.substr(digits, F.lit(1), F.length(digits) - 1), "digits"))
+            .when(kind == "access key", one(F.substr(entity, F.lit(5), F.length(entity)), "code"))
+            .otherwise(F.transform(_split_name(entity), lambda w: F.struct(F.lower(w).alias("text"), F.lit("name").alias("mode"))))
+        )
+
+    def whole(kind: Column, new: Column) -> Column:
+        capitals = entity == F.upper(entity)
+        return (
+            F.when(kind == "email", _let(F.concat(new[0], label), lambda x: F.when(capitals, F.upper(x)).otherwise(x)))
+            .when(kind == "secret", F.concat(head, F.when(hexadecimal & value.rlike("[A-F]"), F.upper(new[0])).otherwise(new[0]), quote))
+            .when(kind == "ip", new[0])
+            .when(kind == "ip6", F.when(capitals, F.upper(new[0])).otherwise(new[0]))
+            .when(kind == "phone", F.concat(code, _same_form(rest, new[0])))
+            .when(kind == "ssn", _same_form(entity, new[0]))
+            .when(kind == "card", _same_form(entity, F.concat(new[0], _card_check(entity, new[0], key))))
+            .when(kind == "access key", F.concat(F.substr(entity, F.lit(1), F.lit(4)), new[0]))
+            .otherwise(_name(entity, new, key, carried))
+        )
+
+    return _let(kind_of(entity), lambda kind: _let(F.transform(cores(kind), lambda c: permuted(c["text"], c["mode"], key, kind)), lambda new: whole(kind, new)))
 
 
 def carried_words(text: Column) -> Column:
     """The words of a text's titled names, with the gender of their first title."""
     names = F.regexp_extract_all(text, F.lit(f"({NAME})"), F.lit(1))
-    words = F.flatten(F.transform(names, lambda n: F.transform(name_words(n), lambda w: F.struct(w.alias("word"), _female(_title(n)).alias("female")))))
+    words = F.flatten(F.transform(names, lambda n: F.transform(name_words(n), lambda w: F.struct(w.alias("word"), _female(_title(n), n).alias("female")))))
     return F.when(text.rlike(NAME), words).otherwise(F.array()).cast(CARRIED)
 
 
@@ -347,18 +362,13 @@ def _meets(found: Column, new: Column) -> Column:
 
 
 def with_replacements(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """rows with _entities, _new (their replacements) and _anonymous (the text with them)."""
+    """rows with _entities, _new (their replacements), _meets (whether each is or stands for another entity) and _anonymous (the text with them)."""
     out = rows.withColumn("_carried", carried_words(F.col(text)))
     out = out.withColumn("_entities", entities(F.col(text), F.col("_carried")))
     out = out.withColumn("_new", F.transform("_entities", lambda e: surrogate(e, key, F.col("_carried"))))
-    out = out.withColumn("_meets", _meets(F.col("_entities"), F.col("_new")))
-    # only what meets is drawn again, and only if that helps: else the permutations of one key stand, which are injective
-    again = F.zip_with(F.arrays_zip("_entities", "_new"), "_meets", lambda x, m: F.when(m, surrogate(x["_entities"], f"{key}\x1f1", F.col("_carried"))).otherwise(x["_new"]))
-    out = out.withColumn("_again", F.when(F.exists("_meets", lambda m: m), again))
-    better = ~F.exists(_meets(F.col("_entities"), F.col("_again")), lambda m: m)
-    out = out.withColumn("_new", F.when(F.col("_again").isNotNull() & better, F.col("_again")).otherwise(F.col("_new")))
     between = F.when(F.size("_carried") > 0, F.split(F.col(text), forms(F.col("_carried")), -1)).otherwise(F.split(F.col(text), ENTITY, -1))
     parts = F.zip_with(between, F.concat("_new", F.array(F.lit(""))), lambda b, n: F.concat(b, n))
+    out = out.withColumn("_meets", _meets(F.col("_entities"), F.col("_new")))
     return out.withColumn("_anonymous", F.when(F.size("_entities") > 0, F.array_join(parts, "")).otherwise(F.col(text)))
 
 
@@ -371,10 +381,11 @@ def anonymise(documents: DataFrame, key: str, text_col: str = "text") -> DataFra
 
 
 def replacements(documents: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Id, n_entities and the text with surrogates of every row."""
+    """Id, n_entities, n_collisions (see above) and the text with surrogates of every row."""
     rows = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     out = with_replacements(rows, key, "_text")
-    return out.select(F.col("_id").alias(id_col), F.coalesce(F.greatest(F.size("_entities"), F.lit(0)), F.lit(0)).cast("long").alias("n_entities"), F.col("_anonymous").alias("text"))
+    counted = lambda c: F.coalesce(F.greatest(F.size(c), F.lit(0)), F.lit(0)).cast("long")
+    return out.select(F.col("_id").alias(id_col), counted(F.col("_entities")).alias("n_entities"), counted(F.filter("_meets", lambda m: m)).alias("n_collisions"), F.col("_anonymous").alias("text"))
 
 
 def canonical(entity: Column) -> Column:
@@ -386,5 +397,6 @@ def canonical(entity: Column) -> Column:
 def collisions(documents: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """(kind, surrogate, n): replacements that stand for more than one entity of the table, and how many."""
     found = documents.select(F.explode(entities(F.col(text_col))).alias("e")).distinct()
-    pairs = found.select(kind_of(F.col("e")).alias("kind"), canonical(surrogate(F.col("e"), key)).alias("surrogate"), canonical(F.col("e")).alias("entity")).distinct()
+    found = found.withColumn("s", surrogate(F.col("e"), key))
+    pairs = found.select(kind_of(F.col("e")).alias("kind"), canonical(F.col("s")).alias("surrogate"), canonical(F.col("e")).alias("entity")).distinct()
     return pairs.groupBy("kind", "surrogate").agg(F.count("*").alias("n")).where("n > 1")
