@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import os
+from collections import Counter
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +27,9 @@ def main(args: list[str] | None = None) -> int:
     df = images.read_images(spark, given.path)
     sizes = df.groupBy("origin").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
     os.makedirs(given.output, exist_ok=True)
-    for n, r in enumerate(sizes.orderBy("origin").collect()):  # files come one by one, each as a job
+    found = sizes.orderBy("origin").collect()
+    names = Counter(os.path.basename(r["origin"]) for r in found)
+    for n, r in enumerate(found):  # files come one by one, each as a job
         one = df.where(F.col("origin") == r["origin"]).withColumn("image_id", F.lit(n))
         if given.brightness is not None:
             one = pixels.brightness(one, given.brightness)
@@ -36,7 +39,9 @@ def main(args: list[str] | None = None) -> int:
             one = blur.blur_2d(one, given.blur).where(F.col("x").between(0, r["w"] - 1) & F.col("y").between(0, r["h"] - 1))
         if given.alpha is not None:
             one = pixels.alpha_scale(one, given.alpha)
-        name = os.path.splitext(os.path.basename(r["origin"]))[0]
+        name = os.path.basename(r["origin"])
+        if names[name] > 1:  # files of one name in several folders
+            name = f"{n}-{name}"
         for row in images.encode_png(one, r["w"], r["h"]).collect():
             with open(os.path.join(given.output, f"{name}.png"), "wb") as f:
                 f.write(row["png"])

@@ -73,6 +73,28 @@ def floor_column(value: Column) -> Column:
     return F.shiftright(value, SHIFT)
 
 
+def ceil_column(value: Column) -> Column:
+    return -F.shiftright(-value, SHIFT)
+
+
+def round_column(value: Column) -> Column:
+    return F.shiftright(value + HALF, SHIFT)
+
+
+def whole_column(value: Column) -> Column:
+    """Towards zero."""
+    return F.call_function("div", value, F.lit(ONE))
+
+
+def mul_column(a: Column, b: Column) -> Column:
+    return F.shiftright(a.cast("long") * b.cast("long"), SHIFT)
+
+
+def div_column(a: Column, b: Column) -> Column:
+    """Null for a division by zero."""
+    return F.when(b != 0, F.call_function("div", F.shiftleft(a.cast("long"), SHIFT), b.cast("long")))
+
+
 @dataclass(frozen=True)
 class Matrix:
     """[[a, b, tx], [c, d, ty]] in single precision; `m @ n` applies n first."""

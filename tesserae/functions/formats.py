@@ -211,3 +211,14 @@ def straight(df: DataFrame) -> DataFrame:
     """The way back: alpha is the high byte, colours are divided by it plus 1."""
     a = F.shiftright("a", 8)
     return df.withColumns({**{c: F.call_function("div", F.col(c), a + 1).cast("int") for c in "rgb"}, "a": a})
+
+
+def read_pixel(data: Column, x: Column, fmt: str, offset: int = 0) -> Column:
+    """One pixel of a packed line (binary), without unpacking the others; null beyond its end."""
+    f = lookup(fmt)
+    per = 8 // f.bits
+    at = x + offset
+    place = at % per
+    shift = ((per - 1 - place) if f.msb_first else place) * f.bits
+    byte = F.conv(F.hex(F.substr(data, F.floor(at / per).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.when((at >= 0) & (at < F.length(data) * per), _and(F.call_function("shiftright", byte, shift.cast("int")), (1 << f.bits) - 1))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions.fixed import single
+from tesserae.operators import blur
 
 
 def brightness(df: DataFrame, amount: float) -> DataFrame:
@@ -47,9 +48,30 @@ def color_key(df: DataFrame, key: tuple[int, int, int, int], replacement: tuple[
 FILTERS: dict[str, Callable[..., DataFrame]] = {"brightness": brightness, "grayscale": grayscale, "alpha": alpha_scale}
 
 
-def register(name: str, function: Callable[..., DataFrame]) -> None:
-    """Add a filter of one's own."""
+#: How far beyond its output a filter reads, by name, from its parameters.
+MARGINS: dict[str, Callable[..., int]] = {}
+
+
+def register(name: str, function: Callable[..., DataFrame], margin: Callable[..., int] | None = None) -> None:
+    """Add a filter of one's own; margin says how many pixels beyond its output it reads."""
     FILTERS[name] = function
+    MARGINS.pop(name, None)
+    if margin is not None:
+        MARGINS[name] = margin
+
+
+def margin_of(name: str, *params: float) -> int:
+    return MARGINS[name](*params) if name in MARGINS else 0
+
+
+def apply_first(df: DataFrame, name: str, *params: float) -> DataFrame:
+    """A first-generation filter by name, blur and boxblur (radius 3 unless given) among them; an unknown one passes pixels through."""
+    given = lambda default: params[0] if params else default
+    if name in ("blur", "boxblur"):
+        return blur.mean_blur(df, int(given(3.0)))
+    if name in ("brightness", "alpha"):
+        return apply(df, name, given(0.0 if name == "brightness" else 1.0))
+    return grayscale(df) if name == "grayscale" else df
 
 
 def apply(df: DataFrame, name: str, *params: float) -> DataFrame:

@@ -18,9 +18,17 @@ def stacked(frames: list[DataFrame]) -> DataFrame:
 
 
 def opaque_cut(layers: DataFrame) -> DataFrame:
-    """Without what lies behind the front-most opaque layer of its cell. Ties at one z are kept."""
-    front = layers.groupBy(*KEY).agg(F.min(F.when(F.col("a") == 255, F.col("z"))).alias("_front"))
-    return layers.join(front, KEY).where(F.col("_front").isNull() | (F.col("z") <= F.col("_front"))).drop("_front")
+    """Without what lies behind the front-most opaque layer of its cell, in one aggregation. Ties at one z are kept; other columns aren't."""
+    whole = layers.groupBy(*KEY).agg(F.collect_list(F.struct("z", *"rgba")).alias("_all"), _front().alias("_front"))
+    return whole.select(*KEY, F.inline(_before(F.col("_all"), F.col("_front"))))
+
+
+def _front() -> Column:
+    return F.min(F.when(F.col("a") == 255, F.col("z")))
+
+
+def _before(layers: Column, front: Column) -> Column:
+    return F.when(front.isNull(), layers).otherwise(F.filter(layers, lambda p: p["z"] <= front))
 
 
 def _under(d: Column, s: Column) -> Column:
@@ -32,21 +40,27 @@ def _under(d: Column, s: Column) -> Column:
     return F.when((s["a"] == 0) | (d["a"] == 255), d).when(d["a"] == 0, plain).otherwise(mixed)
 
 
-def _fold(layers: DataFrame, step, order: Column) -> DataFrame:
+def _fold(layers: DataFrame, step, order: Column, cut: bool = False) -> DataFrame:
     empty = F.struct(*(F.lit(0).alias(c) for c in "rgba"))
-    whole = layers.groupBy(*KEY).agg(F.array_sort(F.collect_list(order)).alias("_all"))
+    if cut:
+        whole = layers.groupBy(*KEY).agg(F.collect_list(order).alias("_all"), _front().alias("_front"))
+        whole = whole.select(*KEY, F.array_sort(_before(F.col("_all"), F.col("_front"))).alias("_all"))
+    else:
+        whole = layers.groupBy(*KEY).agg(F.array_sort(F.collect_list(order)).alias("_all"))
     done = whole.select(*KEY, F.aggregate("_all", empty, step).alias("_p"))
     return done.select(*KEY, *(F.col(f"_p.{c}").alias(c) for c in "rgba"))
 
 
-def composite_under(layers: DataFrame) -> DataFrame:
+def composite_under(layers: DataFrame, cut: bool = False) -> DataFrame:
     """Layers (z 0 in front) blended from front to back; transparent results are left out.
 
+    cut leaves out what lies behind an opaque layer before the sort; for many layers a cell.
+
     Each step rounds, so the order counts and there is no partial aggregate; transparent layers
     are dropped before the shuffle, as they change nothing. Layers at one z go by their channels.
     """
     order = F.struct("z", "r", "g", "b", "a")
-    return _fold(layers.where("a > 0"), _under, order).where("a > 0")
+    return _fold(layers.where("a > 0"), _under, order, cut).where("a > 0")
 
 
 def composite_over(layers: DataFrame) -> DataFrame:

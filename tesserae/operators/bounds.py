@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.functions import formats
+
 
 def boxes(df: DataFrame) -> DataFrame:
     """The box of all pixels of an image: left and top, right and bottom excluded."""
@@ -42,11 +44,35 @@ def tile_overlaps(rects: DataFrame, tile: int, columns: int, rows: int) -> DataF
     return wide.select(F.col("tile_x"), F.explode("_ys").alias("tile_y"), "rect_id")
 
 
-def range_overlay(df: DataFrame, exact: DataFrame, box: DataFrame) -> DataFrame:
-    """Debug colours: magenta outside an image's box, blue inside the box but outside the line's exact span."""
-    joined = df.join(F.broadcast(box.select("image_id", F.col("x0").alias("bx0"), F.col("y0").alias("by0"), F.col("x1").alias("bx1"), F.col("y1").alias("by1"))), "image_id", "left")
+def dirty_pixels(dirty: DataFrame, now: DataFrame, key: list[str], fmt: str = "RGB565_BE") -> DataFrame:
+    """What a display gets: each cell of the dirty spans with its code in the format, zero where nothing is any more."""
+    cells = dirty.select(*key, F.explode(F.sequence("x0", F.col("x1") - 1)).alias("x"))
+    codes = formats.encode(now, fmt).select(*key, "x", "code")
+    return cells.join(codes, [*key, "x"], "left").select(*key, "x", F.coalesce("code", F.lit(0)).alias("code"))
+
+
+# Debug colours.
+OUTSIDE, LOOSE, EDGE, END = (255, 0, 255, 255), (0, 100, 255, 255), (255, 140, 0, 200), (0, 255, 100, 128)
+
+
+def range_overlay(df: DataFrame, exact: DataFrame, box: DataFrame, buffers: DataFrame | None = None) -> DataFrame:
+    """Debug colours: magenta outside an image's box, blue inside the box but outside the line's exact span.
+
+    With buffers (spans of what each line holds), their first and last pixels are tinted orange, then those of the exact span green.
+    """
+    joined = df.join(box.select("image_id", F.col("x0").alias("bx0"), F.col("y0").alias("by0"), F.col("x1").alias("bx1"), F.col("y1").alias("by1")), "image_id", "left")
     joined = joined.join(exact.withColumnsRenamed({"x0": "sx0", "x1": "sx1"}), ["image_id", "y"], "left")
     inside = F.coalesce((F.col("x") >= F.col("bx0")) & (F.col("x") < F.col("bx1")) & (F.col("y") >= F.col("by0")) & (F.col("y") < F.col("by1")), F.lit(False))
     within = F.coalesce((F.col("x") >= F.col("sx0")) & (F.col("x") < F.col("sx1")), F.lit(False))
-    color = {"r": (255, 0), "g": (0, 0), "b": (255, 255), "a": (255, 255)}
-    return joined.select("image_id", "y", "x", *(F.when(~inside, m).when(~within, b).otherwise(F.col(c)).cast("int").alias(c) for c, (m, b) in color.items()))
+    shade = {c: F.when(~inside, m).when(~within, b).otherwise(F.col(c)) for c, m, b in zip("rgba", OUTSIDE, LOOSE, strict=True)}
+    if buffers is None:
+        return joined.select("image_id", "y", "x", *(v.cast("int").alias(c) for c, v in shade.items()))
+    out = joined.withColumns(shade).join(buffers.withColumnsRenamed({"x0": "ox0", "x1": "ox1"}), ["image_id", "y"], "left")
+    at = lambda low, high: F.coalesce((F.col("x") == F.col(low)) | (F.col("x") == F.col(high) - 1), F.lit(False))
+    div = lambda a, b: F.call_function("div", a, F.lit(b))
+    for hit, color, mix in (
+        (at("ox0", "ox1"), EDGE, lambda c, v: div(F.col(c) * (255 - EDGE[3]) + v * EDGE[3], 255)),
+        (at("sx0", "sx1"), END, lambda c, v: div(F.col(c) + v, 2)),
+    ):
+        out = out.withColumns({**{c: F.when(hit, mix(c, v)).otherwise(F.col(c)) for c, v in zip("rgb", color, strict=False)}, "a": F.when(hit, 255).otherwise(F.col("a"))})
+    return out.select("image_id", "y", "x", *(F.col(c).cast("int").alias(c) for c in "rgba"))

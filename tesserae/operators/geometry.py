@@ -57,8 +57,11 @@ def _cells(df: DataFrame, m: Matrix, pivot: tuple[int, int], reach: float, rect:
     at_x = F.lit(float(m.a)) * (F.col("x") - px) + F.lit(float(m.b)) * (F.col("y") - py) + float(m.tx)
     at_y = F.lit(float(m.c)) * (F.col("x") - px) + F.lit(float(m.d)) * (F.col("y") - py) + float(m.ty)
 
+    # the centre of a cell lies in the image; the matrix in fixed point may be off by 2^-17 a pixel, over 32768 pixels a quarter
+    slack = 0.05 + 0.3 * max(1.0, abs(m.a) + abs(m.b), abs(m.c) + abs(m.d))
+
     def span(at: Column, low: float, high: float, k: int) -> Column:
-        a, b = F.floor(at + low - 1).cast("int"), F.ceil(at + high + 1).cast("int")
+        a, b = F.ceil(at + (low - 0.5 - slack)).cast("int"), F.floor(at + (high - 0.5 + slack)).cast("int")
         if rect is not None:
             a, b = F.greatest(a, F.lit(rect[k])), F.least(b, F.lit(rect[k + 2] - 1))
         return F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))

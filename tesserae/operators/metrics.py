@@ -32,3 +32,24 @@ def running_peak(log: DataFrame, group: str, order: list[str], change: str) -> D
     """The highest running sum of changes in each group."""
     sums = log.withColumn("_now", F.sum(change).over(Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return sums.groupBy(group).agg(F.max("_now").alias("peak"), F.sum(change).alias("final"))
+
+
+def split_estimate(log: DataFrame, node: str, least: str, requested: str) -> DataFrame:
+    """By node, what splitting could reach: the least pixels needed over those requested; 1 where nothing was requested."""
+    sums = log.groupBy(node).agg(F.sum(least).alias("least"), F.sum(requested).alias("requested"))
+    return sums.withColumn("split", F.when(F.col("requested") > 0, F.col("least") / F.col("requested")).otherwise(F.lit(1.0)))
+
+
+def pool_counters(log: DataFrame, group: str, order: list[str], blocks: int) -> DataFrame:
+    """Of a pool of so many blocks, taken (+1) and given back (-1) in order: hits, misses (taken when all were in use) and the peak in use.
+
+    A miss takes no block, and what it would have taken is given back elsewhere: use beyond the pool counts as missed.
+    """
+    w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    used = log.withColumn("_now", F.sum("change").over(w))
+    took = F.col("change") > 0
+    return used.groupBy(group).agg(
+        F.count_if(took & (F.col("_now") <= blocks)).alias("hits"),
+        F.count_if(took & (F.col("_now") > blocks)).alias("misses"),
+        F.least(F.max("_now"), F.lit(blocks).cast("long")).alias("peak"),
+    )

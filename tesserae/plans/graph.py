@@ -13,6 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 
 from tesserae.functions.fixed import Matrix, cut_fixed, single
+from tesserae.operators.geometry import ALL_EDGES
 from tesserae.plans.nodes import Affine, Blur, Composite, CycleError, Filter, Image, Matte, NinePatch, Node, NoUpstreamError, Plan, Render, Sink
 
 SCREEN = "renderer"
@@ -31,8 +32,15 @@ def _pivot(spec: Mapping) -> tuple[int, int]:
     return cut_fixed(float(p.get("x", 0))), cut_fixed(float(p.get("y", 0)))
 
 
-def from_dict(nodes: list[Mapping], edges: list[Mapping], images: Mapping[int, tuple[DataFrame, int, int]], width: int, height: int, pivot: tuple[int, int] = (0, 0), tile: tuple[int, int] = (0, 0)) -> Plan:
-    """A plan; images by id: pixels, width, height."""
+def _color(spec: Mapping | None) -> tuple[int, int, int, int]:
+    return tuple(int((spec or {}).get(c, 0)) for c in "rgba")
+
+
+def from_dict(nodes: list[Mapping], edges: list[Mapping], images: Mapping[int, tuple], width: int = 0, height: int = 0, pivot: tuple[int, int] | None = (0, 0), tile: tuple[int, int] = (0, 0)) -> Plan:
+    """A plan; images by id: pixels, width, height, and for indexed ones their palette.
+
+    A screen without a size has that of the first sink, and a pivot of None is its centre.
+    """
     by_id = {n["id"]: n for n in nodes}
     into: dict[tuple[str, str], str] = {}
     out_of: dict[str, list[str]] = {}
@@ -52,10 +60,12 @@ def from_dict(nodes: list[Mapping], edges: list[Mapping], images: Mapping[int, t
         kind, m = n["type"], matrix_of(n.get("matrix"))
         one = lambda *ports: build(source(node_id, *(ports or ("in", "in1"))), path)
         if kind == "image":
-            df, w, h = images[n["imageId"]]
-            return Image(df, w, h, _pivot(n), m, bool(n.get("bilinear")))
+            df, w, h, *palette = images[n["imageId"]]
+            key = n.get("colorKey")
+            fade = int(n.get("edgeFade", ALL_EDGES))
+            return Image(df, w, h, _pivot(n), m, bool(n.get("bilinear")), fade, (_color(key), _color(n.get("colorKeyReplace"))) if key else None, palette[0] if palette else None)
         if kind == "ninepatch":
-            df, w, h = images[n["imageId"]]
+            df, w, h = images[n["imageId"]][:3]
             return NinePatch(df, w, h, tuple(n["bounds"]), (float(n.get("outputWidth", w)), float(n.get("outputHeight", h))), _pivot(n), m)
         if kind == "affine":
             child = one()
@@ -95,7 +105,10 @@ def from_dict(nodes: list[Mapping], edges: list[Mapping], images: Mapping[int, t
     child = build(source(SCREEN, "in", "in1"), ())
     if child is None:
         raise NoUpstreamError("nothing feeds the screen")
-    return Plan(Render(child, width, height, pivot, tile), tuple(sinks(SCREEN, Matrix(), ())))
+    found = tuple(sinks(SCREEN, Matrix(), ()))
+    if found:
+        width, height = width or found[0].width, height or found[0].height
+    return Plan(Render(child, width, height, (width // 2, height // 2) if pivot is None else pivot, tile), found)
 
 
 def to_json(nodes: list[Mapping], edges: list[Mapping]) -> str:

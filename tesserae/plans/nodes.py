@@ -8,9 +8,10 @@ and each source reads only what the rectangle needs; a blur asks for as much mor
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions import formats, pixels
@@ -67,9 +68,12 @@ class Image(Node):
     bilinear: bool = False
     fade: int = geometry.ALL_EDGES
     color_key: tuple[tuple[int, int, int, int], tuple[int, int, int, int]] | None = None
+    palette: DataFrame | None = None  # pixels then hold an index in idx
+    palette_id: int = 0
 
     def lower(self, view: Matrix, rect: Rect | None) -> DataFrame:
-        df = self.pixels.select(*COLUMNS)
+        df = self.pixels if self.palette is None else formats.expand_palette(self.pixels, self.palette, self.palette_id)
+        df = df.select(*COLUMNS)
         if self.color_key:
             df = pixels.color_key(df, *self.color_key)
         m = view @ self.matrix
@@ -121,7 +125,9 @@ class Filter(_One):
     params: tuple[float, ...] = ()
 
     def lower(self, view, rect):
-        return pixels.apply(self.child.lower(view, rect), self.name, *self.params)
+        margin = pixels.margin_of(self.name, *self.params)
+        out = pixels.apply(self.child.lower(view, geometry.grown(rect, margin, margin)), self.name, *self.params)
+        return geometry.crop(out, rect) if margin else out
 
 
 @dataclass(frozen=True, eq=False)
@@ -189,6 +195,13 @@ class Render(_One):
     def lower(self, view, rect):
         return self.child.lower(view, self.rect)
 
+    def tile_of(self) -> Column:
+        """The number of the tile that a pixel lies in, row by row."""
+        x0, y0, _, _ = self.rect
+        w, h = self.tile[0] or self.width, self.tile[1] or self.height
+        across = -(-self.width // w)
+        return (F.floor((F.col("y") - y0) / h) * across + F.floor((F.col("x") - x0) / w)).cast("int")
+
     def tiles(self) -> list[Rect]:
         """The screen's tiles in world coordinates."""
         x0, y0, x1, y1 = self.rect
@@ -244,14 +257,13 @@ class Plan:
         self.validate()
         return self.render.lower(IDENTITY, None).select(*COLUMNS)
 
-    def tiled(self) -> DataFrame:
-        """The same, tile by tile; tiles don't meet, so their union is the frame."""
-        self.validate()
-        parts = [self.render.child.lower(IDENTITY, t).select(*COLUMNS) for t in self.render.tiles()]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+    def tiled(self, tile_of: Callable[[Render], Column] | None = None) -> DataFrame:
+        """The frame, each image's tile in one partition; tile_of (Render.tile_of unless given) numbers the tiles.
+
+        A tile is a partition of one plan, so there may be any number of them.
+        """
+        number = (tile_of or Render.tile_of)(self.render)
+        return self.frame().repartition("image_id", number)
 
     def to_df(self) -> DataFrame:
         """What all sinks get."""

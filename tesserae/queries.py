@@ -12,11 +12,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae import api
+from tesserae.functions import fixed
 from tesserae.functions import formats as fm
 from tesserae.functions import pixels as pf
 from tesserae.functions.fixed import HALF, ONE, Inverse, Matrix
 from tesserae.operators import blend, blur, bounds, geometry, metrics, ninepatch
-from tesserae.plans import graph, nodes
+from tesserae.plans import builder, graph, nodes
 from tesserae.sources import fixtures as fx
 from tesserae.sources import images
 from tesserae.streaming import dirty, run, vertical_blur
@@ -249,7 +251,12 @@ def composite_under(spark, sf_dir):
 
 @query(_out(_COMPOSITE, fx.LAYERS))
 def composite_opaque_cut(spark, sf_dir):
-    return blend.composite_under(blend.opaque_cut(fx.layers(spark, sf_dir)))
+    return blend.composite_under(fx.layers(spark, sf_dir), cut=True)
+
+
+@query(_out("select image_id, y, x, z, r, g, b, a from (select *, min(case when a = 255 then z end) over (partition by image_id, y, x) as front from layers) where front is null or z <= front", fx.LAYERS))
+def opaque_cut(spark, sf_dir):
+    return blend.opaque_cut(fx.layers(spark, sf_dir)).select("image_id", "y", "x", "z", *"rgba")
 
 
 _OVER = ", ".join(f"'{c}': (v.{c} + ((acc.{c}::bigint * (65535 - v.a)) >> 16))::int" for c in "rgba")
@@ -581,7 +588,7 @@ def dirty_spans(spark, sf_dir):
 
 @query(
     _out(
-        "select p.image_id, p.y, p.x, case when not inside then 255 when not within then 0 else r end as r, case when inside and within then g else 0 end as g, case when inside and within then b else 255 end as b, case when inside and within then a else 255 end as a "
+        "select p.image_id, p.y, p.x, case when not inside then 255 when not within then 0 else r end as r, case when not inside then 0 when not within then 100 else g end as g, case when inside and within then b else 255 end as b, case when inside and within then a else 255 end as a "
         "from (select px.*, coalesce(px.x >= o.x0 and px.x < o.x1 and px.y >= o.y0 and px.y < o.y1, false) as inside, coalesce(px.x >= s.x0 and px.x < s.x1, false) as within from px left join o using (image_id) left join s on s.image_id = px.image_id and s.y = px.y) p",
         fx.PX, "o as (select image_id, min(x) as x0, min(y) as y0, max(x) + 1 as x1, max(y) + 1 as y1 from px where b > 250 group by 1)", "s as (select image_id, y, min(x) as x0, max(x) + 1 as x1 from px where b > 250 group by 1, 2)",
     )
@@ -719,6 +726,243 @@ def test_pattern(spark, sf_dir):
     return images.pattern(spark, "checker", 48, 32, 6, 5)
 
 
+# --- what the tables above don't use: registries, native bytes, read-back, the facade ------------
+
+
+def _values(names: str, rows: list[tuple]) -> str:
+    return f"select * from (values {', '.join(str(r) for r in rows)}) t({names})"
+
+
+@query(_out("select image_id, y, x, case when (x // 6) % 2 = 0 then 65535 else 0 end as code from cells", "cells as (select 1 as image_id, (i // 48)::int as y, (i % 48)::int as x from range(48 * 32) t(i))"))
+def pattern_columns_565(spark, sf_dir):
+    return fm.encode(images.pattern(spark, "columns", 48, 32, 6, 1), "RGB565_BE").select("image_id", "y", "x", "code")
+
+
+@query(_out("select image_id, y, x, case when (y // 6) % 2 = 0 then 255 else 0 end as code from cells", "cells as (select 2 as image_id, (i // 48)::int as y, (i % 48)::int as x from range(48 * 32) t(i))"))
+def pattern_rows_332(spark, sf_dir):
+    return fm.encode(images.pattern(spark, "rows", 48, 32, 6, 2), "RGB332").select("image_id", "y", "x", "code")
+
+
+@query(_out("select image_id, y, x, (v * 255)::int as code from (select image_id, y, x, case when floor(sqrt((x * 2 + 1 - 48) ** 2 + (y * 2 + 1 - 32) ** 2) / 12)::int % 2 = 0 then 1 else 0 end as v from cells)", "cells as (select 3 as image_id, (i // 48)::int as y, (i % 48)::int as x from range(48 * 32) t(i))"))
+def pattern_target_gray(spark, sf_dir):
+    return fm.encode(images.pattern(spark, "target", 48, 32, 6, 3), "Grayscale8").select("image_id", "y", "x", "code")
+
+
+@query(_values("name, bits", [(f.name, f.bits) for f in fm.FORMATS.values()] + [("no such format", 32)]))
+def fmt_lookup(spark, sf_dir):
+    """Formats by name; an unknown one is RGBA8."""
+    return spark.createDataFrame([(n, fm.lookup(n).bits) for n in [*fm.FORMATS, "no such format"]], "name string, bits int")
+
+
+@query(_out("select image_id, y, x, r, g, b, a from px", fx.PX))
+def rgba8_rt(spark, sf_dir):
+    return fm.decode(fm.encode(fx.px(spark, sf_dir), "RGBA8_Straight"), "RGBA8_Straight").select(*P)
+
+
+@query(_out("select image_id, y, x, 255 - r as r, g, b, a from px", fx.PX))
+def user_filter(spark, sf_dir):
+    """A filter of one's own by name."""
+    pf.register("invert red", lambda df: df.withColumn("r", 255 - F.col("r")))
+    return pf.apply(fx.px(spark, sf_dir), "invert red").select(*P)
+
+
+@query(_out("select image_id, y, x, (r // 16) * 16 as r, (g // 16) * 16 as g, (b // 16) * 16 as b, 255 as a from px", fx.PX))
+def user_format(spark, sf_dir):
+    """A pixel format of one's own: four bits a colour."""
+    read = lambda c: (F.shiftright(c, 8) * 16, F.shiftright(c, 4).bitwiseAND(F.lit(15)) * 16, c.bitwiseAND(F.lit(15)) * 16, F.lit(255))
+    write = lambda r, g, b, a: F.shiftleft(F.shiftright(r, 4), 8).bitwiseOR(F.shiftright(g, 4) * 16).bitwiseOR(F.shiftright(b, 4))
+    fm.register(fm.Format("RGB444", 12, read, write))
+    return ints(fm.decode(fm.encode(fx.px(spark, sf_dir), "RGB444"), "RGB444"), P)
+
+
+@query(_out("select k, (v >> 16)::bigint as low, (-((-v) >> 16))::bigint as high, ((v + 32768) >> 16)::bigint as near, (v // 65536)::bigint as cut, ((v * w) >> 16)::bigint as product, ((v * 65536) // w)::bigint as quotient from t", "t as (select (l_orderkey * 10 + l_linenumber)::bigint as k, ((l_partkey - 500) * 7919 + l_suppkey)::bigint as v, (l_suppkey * 331 + 77)::bigint as w from lineitem)"))
+def fixed_scalars(spark, sf_dir):
+    t = fx.table(spark, sf_dir, "lineitem").selectExpr("cast(l_orderkey * 10 + l_linenumber as bigint) k", "cast((l_partkey - 500) * 7919 + l_suppkey as bigint) v", "cast(l_suppkey * 331 + 77 as bigint) w")
+    v, w = F.col("v"), F.col("w")
+    return t.select("k", fixed.floor_column(v).alias("low"), fixed.ceil_column(v).alias("high"), fixed.round_column(v).alias("near"), fixed.whole_column(v).alias("cut"), fixed.mul_column(v, w).alias("product"), fixed.div_column(v, w).alias("quotient"))
+
+
+@query(_out("select image_id, y, x, ((r // 8) * 8 + r // 32)::int as r, ((g // 4) * 4 + g // 64)::int as g, ((b // 8) * 8 + b // 32)::int as b, 255 as a from px", fx.PX))
+def native_565(spark, sf_dir):
+    """Lines of native bytes out and in again."""
+    lines = images.to_native(fx.px(spark, sf_dir), "RGB565_LE", 64)
+    there = fx.px(spark, sf_dir).select("image_id", "y", "x")
+    return images.from_native(lines, "RGB565_LE", 64).join(there, ["image_id", "y", "x"], "left_semi").select(*P)
+
+
+@query(_out("select image_id, y, string_agg(coalesce(printf('%02X%02X%02X%02X', r, g, b, a), '00000000'), '' order by x) as line from (select l.image_id, l.y, c.x, r, g, b, a from (select distinct image_id, y from px) l cross join (select unnest(range(64)) as x) c left join px using (image_id, y, x)) group by 1, 2", fx.PX))
+def dense_lines(spark, sf_dir):
+    """Lines read back as bytes, zero where no pixel is."""
+    return images.dense_rows(fx.px(spark, sf_dir), 64).select("image_id", "y", F.hex("data").alias("line"))
+
+
+@query(_out("select i.image_id, ys.y::int as y, xs.x::int as x, coalesce(r, 0) as r, coalesce(g, 0) as g, coalesce(b, 0) as b, coalesce(a, 0) as a from (select distinct image_id from px) i cross join range(50, 70) ys(y) cross join range(56, 72) xs(x) left join px p on p.image_id = i.image_id and p.y = ys.y and p.x = xs.x", fx.PX))
+def dense_tile(spark, sf_dir):
+    return images.dense_tile(fx.px(spark, sf_dir), (56, 50, 72, 70)).select(*P)
+
+
+@query(_out(f"select image_id, y, ((y * 7) % 64)::int as x, ({_LUMA} >> 6)::int as code from px where x = (y * 7) % 64", fx.PX))
+def bit_random_read(spark, sf_dir):
+    """One pixel of each packed line, without unpacking the others."""
+    packed = fm.pack_rows(fm.encode(fx.px(spark, sf_dir), "Grayscale2_MSB"), "Grayscale2_MSB")
+    lines = packed.groupBy("image_id", "y").agg(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("byte", "v"))), lambda p: F.lpad(F.hex(p["v"].cast("long")), 2, "0")), "")).alias("data"))
+    x = ((F.col("y") * 7) % 64).cast("int")
+    return lines.select("image_id", "y", x.alias("x"), fm.read_pixel(F.col("data"), x, "Grayscale2_MSB").alias("code")).where("code is not null")
+
+
+@query(
+    _out(
+        f"select d.image_id, d.y, c.x::int as x, coalesce(e.code, 0) as code from (select coalesce(p.y, n.y) as y, coalesce(p.image_id, n.image_id) as image_id, least(p.x0, n.x0)::int as x0, greatest(p.x1, n.x1)::int as x1 from p full join n on p.image_id = n.image_id and p.y = n.y) d, unnest(range(d.x0, d.x1)) c(x) left join e on e.image_id = d.image_id and e.y = d.y and e.x = c.x",
+        fx.LAYERS, "p as (select image_id, y, min(x) as x0, max(x) + 1 as x1 from layers where z = 5 group by 1, 2)", "n as (select image_id, y, min(x) as x0, max(x) + 1 as x1 from layers where z = 6 group by 1, 2)",
+        f"e as (select image_id, y, x, max({_ENC565}) as code from layers where z = 6 group by 1, 2, 3)",
+    )
+)
+def dirty_pixels(spark, sf_dir):
+    """What a display gets of the dirty spans, in its format."""
+    df = fx.layers(spark, sf_dir)
+    both = bounds.dirty_spans(bounds.spans(df.where("z = 5")), bounds.spans(df.where("z = 6")), ["image_id", "y"])
+    out = bounds.dirty_pixels(both, df.where("z = 6"), ["image_id", "y"])
+    return ints(out.groupBy("image_id", "y", "x").agg(F.max("code").alias("code")), ["image_id", "y", "x", "code"])
+
+
+@query(
+    _out(
+        "select image_id, y, x, case when e then (r1 + 0) // 2 else r1 end as r, case when e then (g1 + 255) // 2 else g1 end as g, case when e then (b1 + 100) // 2 else b1 end as b, case when e or o then 255 else a0 end as a from ("
+        "select *, case when o then (r0 * 55 + 255 * 200) // 255 else r0 end as r1, case when o then (g0 * 55 + 140 * 200) // 255 else g0 end as g1, case when o then (b0 * 55) // 255 else b0 end as b1 from ("
+        "select p.image_id, p.y, p.x, case when not inside then 255 when not within then 0 else r end as r0, case when not inside then 0 when not within then 100 else g end as g0, case when inside and within then b else 255 end as b0, case when inside and within then a else 255 end as a0, o, e "
+        "from (select px.*, coalesce(px.x >= o.x0 and px.x < o.x1 and px.y >= o.y0 and px.y < o.y1, false) as inside, coalesce(px.x >= s.x0 and px.x < s.x1, false) as within, coalesce(px.x = l.x0 or px.x = l.x1 - 1, false) as o, coalesce(px.x = s.x0 or px.x = s.x1 - 1, false) as e "
+        "from px left join o using (image_id) left join s on s.image_id = px.image_id and s.y = px.y left join l on l.image_id = px.image_id and l.y = px.y) p))",
+        fx.PX, "o as (select image_id, min(x) as x0, min(y) as y0, max(x) + 1 as x1, max(y) + 1 as y1 from px where b > 250 group by 1)", "s as (select image_id, y, min(x) as x0, max(x) + 1 as x1 from px where b > 250 group by 1, 2)", "l as (select image_id, y, min(x) as x0, max(x) + 1 as x1 from px where b > 200 group by 1, 2)",
+    )
+)
+def range_markers(spark, sf_dir):
+    df = fx.px(spark, sf_dir)
+    part = df.where("b > 250")
+    return ints(bounds.range_overlay(df, bounds.spans(part), bounds.boxes(part), bounds.spans(df.where("b > 200"))), P)
+
+
+@query(_out(f"select * from {_mean_sql(_mean_sql('px', 'x', 'y', 3), 'y', 'x', 3)}", fx.PX))
+def filter_v1_blur(spark, sf_dir):
+    """First-generation filters by name: blur without a radius, and an unknown name."""
+    return pf.apply_first(pf.apply_first(fx.px(spark, sf_dir), "blur"), "no such filter").select(*P)
+
+
+@query(_out("select node, (sum(used) // 2)::bigint as least, sum(requested)::bigint as requested, floor((sum(used) // 2) / sum(requested) * 1000)::int as split_pm from log group by 1", _LOG))
+def split_estimate(spark, sf_dir):
+    log = _log(spark, sf_dir).groupBy("node").agg(F.call_function("div", F.sum("used"), F.lit(2)).alias("least"), F.sum("requested").alias("requested"))
+    out = metrics.split_estimate(log, "node", "least", "requested")
+    return out.select("node", "least", "requested", F.floor(F.col("split") * 1000).cast("int").alias("split_pm"))
+
+
+@query("select user_id, count(*) filter (d > 0 and now <= 12) as hits, count(*) filter (d > 0 and now > 12) as misses, least(max(now), 12)::bigint as peak from (select user_id, d, sum(d) over (partition by user_id order by event_id rows unbounded preceding) as now from (select user_id, event_id, case when event_id % 3 = 0 then -1 else 1 end as d from events)) group by 1")
+def pool_counters(spark, sf_dir):
+    log = fx.table(spark, sf_dir, "events").selectExpr("user_id", "event_id", "case when event_id % 3 = 0 then -1 else 1 end change")
+    return metrics.pool_counters(log, "user_id", ["event_id"], 12)
+
+
+@query(_out(f"select image_id, y, x, r, g, b, a from {_blur_sql(_SEEN, 'x', 2, 1)} where x between 8 and 39 and y between 4 and 35", fx.PX))
+def filter_margin(spark, sf_dir):
+    """A filter of one's own that reads beyond its output: the plan asks its source for so much more."""
+    pf.register("soften", lambda df, radius: blur.box_blur(df, "x", int(radius)), lambda radius: int(radius))
+    soft = nodes.Filter(nodes.Image(fx.px(spark, sf_dir), 64, 64), "soften", (2,))
+    return nodes.Plan(nodes.Render(soft, 32, 32, (-8, -4))).frame()
+
+
+@query(_out("select image_id, y, x, r, g, b, a from (select i.image_id, i.y, i.x, coalesce(p.r, 0) as r, coalesce(p.g, 0) as g, coalesce(p.b, 0) as b, coalesce(p.a, 0) as a from idx i left join pal p on p.idx = i.idx) where x < 40 and y < 30", fx.IDX, fx.PAL))
+def graph_palette(spark, sf_dir):
+    """An indexed source with its palette in a graph; the screen has its sink's size."""
+    found = [{"id": "i", "type": "image", "imageId": 1}, {"id": "s", "type": "sink", "imageId": 4, "outputWidth": 40, "outputHeight": 30}]
+    edges = [{"fromNodeId": "i", "toNodeId": "renderer", "toPortId": "in"}, {"fromNodeId": "renderer", "toNodeId": "s", "toPortId": "in"}]
+    return graph.from_dict(found, edges, {1: (fx.idx(spark, sf_dir), 64, 64, fx.pal(spark, sf_dir))}).to_df().select(*P)
+
+
+@query(_out("select image_id, (y + 32)::int as y, (x + 32)::int as x, case when k then 0 else r end as r, case when k then 200 else g end as g, case when k then 0 else b end as b, case when k then 255 else a end as a from (select image_id, y - 32 as y, x - 32 as x, (r // 64 * 64)::int as r, 0 as g, 0 as b, 255 as a, r // 64 = 2 as k from px)", fx.PX))
+def graph_color_key(spark, sf_dir):
+    found = [
+        {"id": "i", "type": "image", "imageId": 1, "pivot": {"x": 32, "y": 32}, "colorKey": {"r": 128, "g": 0, "b": 0, "a": 255}, "colorKeyReplace": {"g": 200, "a": 255}},
+        {"id": "s", "type": "sink", "imageId": 4, "outputWidth": 64, "outputHeight": 64, "pivotX": 32, "pivotY": 32},
+    ]
+    edges = [{"fromNodeId": "i", "toNodeId": "renderer", "toPortId": "in"}, {"fromNodeId": "renderer", "toNodeId": "s", "toPortId": "in"}]
+    flat = fx.px(spark, sf_dir).selectExpr("image_id", "y", "x", "cast(r div 64 * 64 as int) r", "0 g", "0 b", "255 a")
+    return graph.from_dict(found, edges, {1: (flat, 64, 64)}, pivot=None).to_df().select(*P)
+
+
+@query(ORACLES["affine_chain"])
+def tiles_of_ones_own(spark, sf_dir):
+    """Tiles by a rule of one's own: columns of ten pixels."""
+    inside = nodes.Affine(nodes.Blur(nodes.Affine(_source(spark, sf_dir), INNER), "x", 2), OUTER)
+    return nodes.Plan(nodes.Render(inside, 120, 80, (60, 40))).tiled(lambda screen: F.floor(F.col("x") / 10))
+
+
+@query(ORACLES["graph_from_dict"])
+def graph_saved(spark, sf_dir):
+    """The graph after its state was kept and read."""
+    px = fx.px(spark, sf_dir)
+    other = px.selectExpr("image_id", "y", "x", "g r", "r g", "b", "200 a")
+    plan = graph.from_dict(*graph.from_json(graph.to_json(GRAPH_NODES, GRAPH_EDGES)), {1: (px, 64, 64), 2: (other, 64, 64)}, 64, 64, (32, 32))
+    return ints(plan.to_df(), ["sink_id", *P])
+
+
+@query(ORACLES["graph_from_dict"])
+def graph_connected(spark, sf_dir):
+    """The same graph connected by hand: a wrong connection is taken away, and a port that is taken refuses."""
+    b = builder.Builder()
+    made = {n["id"]: b.add(n["id"], n["type"], **{k: v for k, v in n.items() if k not in ("id", "type")}) for n in GRAPH_NODES}
+    made["b"] >> made["turn"]
+    made["turn"].disconnect_all()
+    made["a"] >> made["dark"] >> made["turn"]
+    ends = [made["turn"].connect_to(made["both"], "in1"), made["both"].connect_from(made["b"], "in2"), made["b"].connect_to(made["dark"])]
+    assert ends == [True, True, False]
+    made["both"] >> graph.SCREEN >> made["out"]
+    px = fx.px(spark, sf_dir)
+    other = px.selectExpr("image_id", "y", "x", "g r", "r g", "b", "200 a")
+    return ints(b.plan({1: (px, 64, 64), 2: (other, 64, 64)}, width=64, height=64, pivot=(32, 32)).to_df(), ["sink_id", *P])
+
+
+@query(f"select image_id, y, x, r, g, b, a from ({ORACLES['graph_from_dict']})")
+def evaluator(spark, sf_dir):
+    """The graph through the facade, read back by image id."""
+    e = api.Evaluator(spark, 64, 64)
+    e.set_dst_origin(32, 32)
+    px = fx.px(spark, sf_dir)
+    e.store_image(1, px, 64, 64)
+    e.store_image(2, px.selectExpr("image_id", "y", "x", "g r", "r g", "b", "200 a"), 64, 64)
+    e.set_nodes(GRAPH_NODES)
+    e.set_connections(GRAPH_EDGES)
+    assert e.evaluate_graph() == 0
+    return ints(e.get_image_as_rgba8(9), P)
+
+
+@query(f"select image_id, y, x, ((c // 2048) * 8 + (c // 2048) // 4)::int as r, (((c // 32) % 64) * 4 + ((c // 32) % 64) // 16)::int as g, ((c % 32) * 8 + (c % 32) // 4)::int as b, 255 as a from (select *, {_ENC565} as c from ({ORACLES['graph_from_dict']}))")
+def evaluator_preview(spark, sf_dir):
+    """A sink's preview in its format."""
+    e = api.Evaluator(spark, 64, 64)
+    e.set_dst_origin(32, 32)
+    px = fx.px(spark, sf_dir)
+    e.store_image(1, px, 64, 64)
+    e.store_image(2, px.selectExpr("image_id", "y", "x", "g r", "r g", "b", "200 a"), 64, 64)
+    e.set_nodes(GRAPH_NODES)
+    e.set_connections(GRAPH_EDGES)
+    e.set_sink_format("out", "RGB565_BE")
+    assert e.evaluate_graph() == 0
+    return ints(e.get_sink_preview("out"), P)
+
+
+@query(_values("given, status", [("complete", 0), ("circle", 1), ("no source", 2), ("no sink", 3)]))
+def plan_status(spark, sf_dir):
+    """What a graph that can't run says."""
+    circle = [*GRAPH_EDGES[1:], {"fromNodeId": "turn", "toNodeId": "dark", "toPortId": "in"}]
+    rows = []
+    for given, edges in (("complete", GRAPH_EDGES), ("circle", circle), ("no source", GRAPH_EDGES[-1:]), ("no sink", GRAPH_EDGES[:-1])):
+        e = api.Evaluator(spark, 64, 64)
+        for k in (1, 2):
+            e.store_image(k, fx.px(spark, sf_dir), 64, 64)
+        e.set_nodes(GRAPH_NODES)
+        e.set_connections(edges)
+        rows.append((given, e.evaluate_graph()))
+    return spark.createDataFrame(rows, "given string, status int")
+
+
 # --- streams -----------------------------------------------------------------------------------
 
 
