@@ -14,6 +14,10 @@ from tesserae.operators import blur
 from tesserae.sources import images
 
 
+def stem(path: str) -> str:
+    return os.path.splitext(os.path.basename(path))[0]
+
+
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(description="Filters over image files.")
     parser.add_argument("path", help="an image file or a folder of them")
@@ -28,7 +32,7 @@ def main(args: list[str] | None = None) -> int:
     sizes = df.groupBy("origin").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
     os.makedirs(given.output, exist_ok=True)
     found = sizes.orderBy("origin").collect()
-    names = Counter(os.path.basename(r["origin"]) for r in found)
+    names = Counter(stem(r["origin"]) for r in found)
     for n, r in enumerate(found):  # files come one by one, each as a job
         one = df.where(F.col("origin") == r["origin"]).withColumn("image_id", F.lit(n))
         if given.brightness is not None:
@@ -39,9 +43,9 @@ def main(args: list[str] | None = None) -> int:
             one = blur.blur_2d(one, given.blur).where(F.col("x").between(0, r["w"] - 1) & F.col("y").between(0, r["h"] - 1))
         if given.alpha is not None:
             one = pixels.alpha_scale(one, given.alpha)
-        name = os.path.basename(r["origin"])
-        if names[name] > 1:  # files of one name in several folders
-            name = f"{n}-{name}"
+        name = stem(r["origin"])
+        if names[name] > 1:  # files of one name in several folders, or of several kinds
+            name = f"{name}-{n}"
         for row in images.encode_png(one, r["w"], r["h"]).collect():
             with open(os.path.join(given.output, f"{name}.png"), "wb") as f:
                 f.write(row["png"])
