@@ -56,7 +56,7 @@ STAGES = [
     ("sentencepiece", tokens),
 ]
 
-#: SQL can express neither the trained classifier nor the keyed surrogates; tests hold run() against a brute-force version.
+#: SQL can express neither the trained classifier nor the keyed surrogates. Each stage's operator has its brute-force test; test_pipeline holds run() against the stages, decontamination and the sentencepiece library.
 ORACLE_SQL = None
 
 
