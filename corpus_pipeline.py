@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the
 last return the columns of `documents`. run() writes each stage's result to the shared folder and
 rereads it, so a lost executor costs one stage's rereading at most.
+
+Defined results: a text that is null or has no letter goes with the first stage (all do, where no document has a
+label to learn from); the other stages keep such rows, which have no words, entities or tokens (null ids for a null text). Of
+linked documents the smallest id stays, and of repeated rows of one id the least text; rows without an id stay, unless they
+are linked with a row that has one, or with each other. Very long texts are worked on whole. An empty table gives no
+rows, and an empty benchmark cuts nothing. Other columns of any name go, and the order of columns doesn't matter.
 """
 
 from __future__ import annotations
@@ -56,7 +62,7 @@ STAGES = [
     ("sentencepiece", tokens),
 ]
 
-#: SQL can express neither the trained classifier nor the keyed surrogates. Each stage's operator has its brute-force test; test_pipeline holds run() against the stages, decontamination and the sentencepiece library.
+#: SQL can express neither the trained classifier nor the keyed surrogates. tests/llm/test_pipeline.py holds every stage and run() against a brute-force version.
 ORACLE_SQL = None
 
 
