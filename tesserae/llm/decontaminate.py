@@ -33,7 +33,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import NON_ALNUM, Scratch, mix, small_batches, texts_of, word_blocks
+from tesserae.llm.common import NON_ALNUM, Scratch, lean, mix, small_batches, texts_of, word_blocks
 
 #: UTF-8 bytes of item texts in one automaton: some 100,000 words and twice as many states, about 100 MB.
 PART_BYTES = 600_000
@@ -241,17 +241,17 @@ def _stream(spark: SparkSession, rows: DataFrame, benchmark: DataFrame, window:
     parts = load_items(benchmark, window)
     first, second = next(parts), next(parts, None)
     if second is None:
-        return rows.mapInArrow(_step(Matcher.build(first, window), text_at), f"{kept}, {_FOUND}")
+        return rows.mapInArrow(lean(_step(Matcher.build(first, window), text_at)), f"{kept}, {_FOUND}")
     windows = WindowFilter(window)
     for part in itertools.chain([first, second], parts):
         windows.add(part)
     scratch, shared = Scratch(spark, "decontaminate"), spark.sparkContext.broadcast(windows)
-    told = rows.mapInArrow(_maybe(shared, text_at), f"{kept}, _n_words long, _can boolean")
+    told = rows.mapInArrow(lean(_maybe(shared, text_at)), f"{kept}, _n_words long, _can boolean")
     some = scratch.cut(told.where("_can").withColumn("_row", F.monotonically_increasing_id()), "candidates")
     texts = some.select("_row", f"c{text_at}")
     found = []
     for part in load_items(benchmark, window):
-        one = texts.mapInArrow(_step(Matcher.build(part, window), 1), f"_row long, c{text_at} string, {_FOUND}")
+        one = texts.mapInArrow(lean(_step(Matcher.build(part, window), 1)), f"_row long, c{text_at} string, {_FOUND}")
         found.append(scratch.cut(one.where(F.size("_items") > 0).select("_row", "_spans", "_items"), "spans"))
     spans = functools.reduce(DataFrame.unionByName, found).groupBy("_row").agg(F.flatten(F.collect_list("_spans")).alias("_all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items"))
     # spans of several parts are joined where they touch, as _merged() does

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tesserae.llm.common import SPACE, Scratch, mix, small_batches, texts_of, word_blocks
+from tesserae.llm.common import SPACE, Scratch, lean, mix, small_batches, texts_of, word_blocks
 
 SHINGLE = 5
 #: Links need 100 * intersection >= NUMERATOR * union; sets of sizes s and t then differ in at most (s + t) // NINTH members.
@@ -230,7 +230,7 @@ def verify(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """(u, v, good) of pairs of ids."""
     first = pairs.join(sets.select(F.col("id").alias("u"), F.col("members").alias("x")), "u")
     both = first.join(sets.select(F.col("id").alias("v"), F.col("members").alias("y")), "v")
-    return scratch.cut(both.select("u", "v", "x", "y").mapInArrow(_verify, "u long, v long, good boolean"), "verified")
+    return scratch.cut(both.select("u", "v", "x", "y").mapInArrow(lean(_verify), "u long, v long, good boolean"), "verified")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -278,9 +278,9 @@ def id_filter(spark: SparkSession, ids: DataFrame) -> tuple[int, object]:
 def survivors(spark: SparkSession, documents: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(id, n, cls) of every row, and (id, members) of the classes that can have links, by the class's hash."""
     kind = documents.schema["id"].dataType.simpleString()
-    rows = scratch.cut(documents.mapInArrow(_sizes, f"id {kind}, n long, cls long"), "rows")
+    rows = scratch.cut(documents.mapInArrow(lean(_sizes), f"id {kind}, n long, cls long"), "rows")
     classes = scratch.cut(rows.where("n > 0").groupBy("cls").agg(F.max("n").alias("n"), F.min("id").alias("some")), "classes")
-    lone = documents.mapInArrow(_members, "h long, a long").groupBy("h").agg(F.min("a").alias("a"), F.max("a").alias("z")).where("a = z")
+    lone = documents.mapInArrow(lean(_members), "h long, a long").groupBy("h").agg(F.min("a").alias("a"), F.max("a").alias("z")).where("a = z")
     lone = scratch.cut(lone.groupBy(F.col("a").alias("cls")).agg(F.count("*").alias("lone")), "lone")
     scratch.release()
     kept = classes.join(lone, "cls", "left").where(F.coalesce("lone", F.lit(0)) * 100 <= F.col("n") * (100 - NUMERATOR))
@@ -295,7 +295,7 @@ def survivors(spark: SparkSession, documents: DataFrame, scratch: Scratch) -> tu
             found = [m for _, m in shingle_sets(texts_of(batch.column(1).take(pa.array(on)))) if len(m)]
             yield pa.RecordBatch.from_arrays([pa.array([set_hash(m) for m in found], pa.int64()), pa.array([m.tobytes() for m in found], pa.binary())], names=["id", "members"])
 
-    sets = documents.withColumn("at", slot_of(F.col("id"), bits)).mapInArrow(members, "id long, members binary")
+    sets = documents.withColumn("at", slot_of(F.col("id"), bits)).mapInArrow(lean(members), "id long, members binary")
     sets = scratch.cut(sets.join(kept.select(F.col("cls").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "sets")
     scratch.drop(classes, lone, kept)
     scratch.release()
@@ -343,7 +343,7 @@ def jaccard_components(spark: SparkSession, documents: DataFrame, id_col: str =
 
 def class_links(sets: DataFrame, scratch: Scratch) -> DataFrame | None:
     """(u, v): links that join all classes of a component; None without any."""
-    keys = sets.mapInArrow(_keys, "key long, id long, flags byte")
+    keys = sets.mapInArrow(lean(_keys), "key long, id long, flags byte")
     # keys that one set probes and another indexes; a row says which side(s) of a link its set can be on
     probe, exact = F.col("flags").bitwiseAND(2) > 0, F.col("flags").bitwiseAND(4) == 0
     per_key = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max(probe).alias("probed"), F.max(exact).alias("exact"), F.count("*").alias("size"))
@@ -423,7 +423,7 @@ def across_components(rows: DataFrame, sets: DataFrame, scratch: Scratch) -> Dat
     several = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("cells")).where("low != high").select("key", "cells")
     rows = scratch.cut(rows.drop("degree").join(scratch.cut(several, "open-keys"), "key"), "open")
     longs = [f"s{k}" for k in range(SKETCH_BITS // 64)]
-    sketch = scratch.cut(sets.mapInArrow(_sketches, ", ".join(["id long", "n long", *(f"{c} long" for c in longs)])), "sketches")
+    sketch = scratch.cut(sets.mapInArrow(lean(_sketches), ", ".join(["id long", "n long", *(f"{c} long" for c in longs)])), "sketches")
     rows = scratch.cut(rows.join(sketch, "id"), "sketched")
     # a key with many sets is a grid: probes are dealt over its lines and repeated along them, the index over its columns
     own, every = F.pmod(F.xxhash64("id"), F.col("cells")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1))

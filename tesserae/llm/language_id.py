@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import small_batches
+from tesserae.llm.common import lean, small_batches, trim
 
 SAMPLE_ROWS = 6000
 SAMPLE_CHARS = 20_000
@@ -207,7 +207,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
         at, n = np.append(at, 1 << BITS), np.append(df[at], rows)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n)], names=["feature", "n"])
 
-    counts = texts.mapInArrow(run, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
+    counts = texts.mapInArrow(lean(run), "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros((1 << BITS) + 1, np.int64)
     out[counts["feature"]] = counts["n"]
     return out[:-1], int(out[-1])
@@ -231,7 +231,7 @@ def train(spark: SparkSession, documents: DataFrame, learn: Column, id_col: str
     bound = F.create_map(*[F.lit(x) for y in languages for x in (y, bounds[y])])
     chosen = fit_rows.where(F.pmod(F.xxhash64(F.lit("fit"), "i"), F.lit(spread)) < bound[F.col("y")])
     # counts of features are made where the texts are, so that the driver gets no texts
-    sample = chosen.mapInArrow(_counts, "i string, y string, features binary, counts binary").limit(2 * SAMPLE_ROWS).collect()
+    sample = chosen.mapInArrow(lean(_counts), "i string, y string, features binary, counts binary").limit(2 * SAMPLE_ROWS).collect()
     sample.sort(key=lambda r: (r["y"], r["i"]))
     at = {y: k for k, y in enumerate(languages)}
     made, labels = [], []
@@ -272,6 +272,7 @@ def predict(spark: SparkSession, model: Model, text: Column) -> Column:
     @F.pandas_udf("lang string, score double")
     def run(column: pd.Series) -> pd.DataFrame:
         languages, scores = shared.value.predict([None if t is None or t != t else t for t in column])
+        trim()
         return pd.DataFrame({"lang": languages, "score": scores})
 
     return run(text)
