@@ -12,10 +12,10 @@ stand in a text, so they are rebuilt under names with a space, which no normalis
 User-defined symbols are found first in a BPE model's text (leftmost, then longest) and have a
 score that always wins in a unigram model.
 
-Parity: a codec encodes PROBES, and further ones made of the model's own control, byte and
+Parity: a codec encodes PROBES, and further ones made of each of the model's own control, byte and
 user-defined pieces, both with the rebuilt pipeline and the sentencepiece library and refuses a model
-on which they differ. encode() also encodes every `parity_every`-th text of a batch (by its place in the
-batch), and every text that holds such a piece's name, with the library and reports whether ids agree. All ids
+on which they differ. encode() also encodes every text with the library and reports whether ids agree; a caller may ask
+for fewer (every `parity_every`-th text of a batch, by its place in the batch, and every text that holds such a piece's name). All ids
 are decoded again and compared with the normalised text. A unigram model with byte fallback can't tell a text's
 literal `<0x41>` from the byte piece; texts with such a literal get the library's own ids.
 
@@ -235,8 +235,8 @@ class Codec:
         self.bytes_of = pa.array([bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == UNKNOWN else p.encode() for p, _, kind in self.model.pieces], pa.large_binary())
         if any(self.normaliser.normalize_str(f"x{p}x").lstrip(MARK) != f"x{p}x" for p in self.model.symbols()):
             raise ValueError("user-defined symbols that the normaliser changes aren't rebuilt")
-        own = [x for p in [*names[:64], *names[-64:], *self.model.symbols()[:512]] for x in (p, f"the {p} cat", f"a{p}{p}b", f"{p[:-1]} {p[1:]}")]
-        probes = [*PROBES, *own, "".join(names[:64])]
+        own = [x for p in names for x in (p, f"the {p} cat", f"a{p}{p}b", f"{p[:-1]} {p[1:]}")]
+        probes = [*PROBES, *own, "".join(names)]
         bad = [t for t, a, b in zip(probes, self.encode(probes)[0], self.library.encode(probes, num_threads=1), strict=True) if a.tolist() != b]
         if bad:
             raise ValueError(f"the rebuilt pipeline differs from the library on {bad[:20]!r}")
@@ -304,7 +304,7 @@ def read_model(path: str) -> bytes:
     return data
 
 
-def encode(spark: SparkSession, documents: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", parity_every: int = 50) -> DataFrame:
+def encode(spark: SparkSession, documents: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", parity_every: int = 1) -> DataFrame:
     """Id, ids (array of int), round_trip (decoding gives the normalised text), parity (null where not compared)."""
     small_batches(spark)
     data = spark.sparkContext.broadcast(read_model(model_path))

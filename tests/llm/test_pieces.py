@@ -1,3 +1,4 @@
+import dataclasses
 import random
 import struct
 
@@ -85,3 +86,24 @@ def test_refused():
     for kind in (3, 4):
         with pytest.raises(ValueError):
             pieces.Codec(model(kind))
+
+
+def test_every_text_is_compared(spark):
+    """The query's own call compares all texts with the library, wherever they stand in a batch."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["the", "cat", "Größe", "日本", "12"]) for _ in range(i % 9)) for i in range(230)] + [None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for parts in (1, 7):
+        got = {r.doc_id: r.parity for r in pieces.encode(spark, df.repartition(parts), PATH).collect()}
+        assert got == {i: None if t is None else True for i, t in enumerate(texts)}
+
+
+def test_every_own_piece_is_probed(monkeypatch):
+    """A symbol of many, neither among the first nor among the last, that is rebuilt wrongly: the model is refused."""
+    data = model(2, symbols=[f"<u{i}>" for i in range(600)])
+    pieces.Codec(data)
+    real = pieces.Model.build
+    lost = lambda self: [(p, s, pieces.UNUSED if p == "<u520>" else kind) for p, s, kind in self.pieces]
+    monkeypatch.setattr(pieces.Model, "build", lambda self: real(dataclasses.replace(self, pieces=lost(self))))
+    with pytest.raises(ValueError, match="u520"):
+        pieces.Codec(data)
