@@ -4,10 +4,12 @@ The model's protobuf is read here field by field (no generated classes): pieces
 types, the trainer's kind, the normaliser's settings with its precompiled map. From them a
 tokenizers pipeline is rebuilt: normaliser, metaspace marker, a unigram model from the scores or a
 BPE model whose merges are derived from the scores' order, and byte fallback. Batches are encoded
-by the library's threads.
+by one thread, as a task has one core and its neighbours use the others.
 
-Pieces with a marker inside (after another sign) would bind words together. Where the vocabulary
-has none, text is split before each run of markers, which changes no result. Control pieces can't
+A BPE model takes each text whole: cutting it into words costs more than the shorter queues of
+pairs save. Pieces with a marker inside (after another sign) would bind words together. Where the
+vocabulary of a unigram model has none, text is split before each run of markers, which changes no
+result. Control pieces can't
 stand in a text, so they are rebuilt under names with a space, which no normalised text holds.
 User-defined symbols are found first in a BPE model's text (leftmost, then longest) and have a
 score that always wins in a unigram model.
@@ -204,7 +206,7 @@ class Model:
         out = Tokenizer(model)
         if self.kind == BPE and self.symbols():
             out.add_tokens([AddedToken(p, normalized=False, special=False) for p in self.symbols()])
-        if self.words_apart():
+        if self.kind == UNIGRAM and self.words_apart():
             out.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
         out.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if self.prefix else [])])
         return out
@@ -222,7 +224,7 @@ class Codec:
     def __init__(self, data: bytes):
         import sentencepiece
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.model = Model.parse(data)
         self.tokenizer = self.model.build()
         self.normaliser = self.model.normaliser()
@@ -230,7 +232,7 @@ class Codec:
         names = self.model.names()
         self.special = re.compile("|".join(map(re.escape, sorted(names, key=len, reverse=True))) or r"(?!)")
         literal = [p for p, _, kind in self.model.pieces if kind == BYTE] if self.model.kind == UNIGRAM else []
-        self.literal = re.compile("|".join(map(re.escape, literal)) or r"(?!)")
+        self.literal = re.compile("|".join(map(re.escape, literal))) if literal else None
         # each piece's bytes; an unknown sign's piece gives back none
         self.bytes_of = pa.array([bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == UNKNOWN else p.encode() for p, _, kind in self.model.pieces], pa.large_binary())
         if any(self.normaliser.normalize_str(f"x{p}x").lstrip(MARK) != f"x{p}x" for p in self.model.symbols()):
@@ -245,7 +247,7 @@ class Codec:
         """Each text's ids, and whether decoding gives the normalised text."""
         marked = [self.marked(t) for t in texts]
         ids = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(marked, add_special_tokens=False)]
-        for i in [i for i, t in enumerate(marked) if self.literal.search(t)]:
+        for i in [i for i, t in enumerate(marked) if self.literal.search(t)] if self.literal else []:
             ids[i] = np.array(self.library.encode(texts[i]), np.int32)
         return ids, self.gives_back(ids, marked)
 
@@ -313,6 +315,7 @@ def encode(spark: SparkSession, documents: DataFrame, model_path: str, id_col: s
         c = codec(data.value)
         for batch in batches:
             every = batch.column(1).to_pylist()
+            made = []  # one batch goes out for each that came, so freed memory is given back once
             for at, end in slices(every):
                 texts = every[at:end]
                 full = [i for i, t in enumerate(texts) if t is not None]
@@ -327,10 +330,12 @@ def encode(spark: SparkSession, documents: DataFrame, model_path: str, id_col: s
                     round_trip[i] = ok
                 probe = [i for i in full if (at + i) % parity_every == 0 or c.special.search(texts[i])]
                 parity: list[bool | None] = [None] * len(texts)
-                for i, theirs in zip(probe, c.library.encode([texts[i] for i in probe], num_threads=1), strict=True):
-                    parity[i] = flat[ends[i] : ends[i + 1]].tolist() == theirs
+                for i, theirs in zip(probe, c.library.encode([texts[i] for i in probe], num_threads=1, out_type="numpy"), strict=True):
+                    parity[i] = np.array_equal(flat[ends[i] : ends[i + 1]], theirs)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=null)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), ids, pa.array(round_trip, pa.bool_()), pa.array(parity, pa.bool_())], names=["id", "ids", "round_trip", "parity"])
+                made.append(pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), ids, pa.array(round_trip, pa.bool_()), pa.array(parity, pa.bool_())], names=["id", "ids", "round_trip", "parity"]))
+            if made:
+                yield pa.concat_batches(made)
 
     rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     kind = rows.schema["id"].dataType.simpleString()
