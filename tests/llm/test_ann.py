@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tesserae.llm import ann
@@ -93,3 +94,89 @@ def test_strings_as_ids(spark):
     df = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [2.0, 0.0]), ("c", [1.5, 0.0])], "vec_id string, embedding array<double>")
     out = ann.nearest_neighbours(spark, df, F.col("vec_id") == "a", k=2).orderBy("rank").collect()
     assert [(r.query_id, r.vec_id, r.score) for r in out] == [("a", "c", 0.5), ("a", "b", 1.0)]
+
+
+def hard_rows(kind, rng, n=1200, dim=16):
+    x = rng.normal(size=(n, dim))
+    if kind == "far from zero":
+        x += 1000
+    elif kind == "of very different lengths":
+        x *= np.exp(3 * rng.normal(size=(n, 1)))
+    elif kind == "in tight groups":
+        x = rng.normal(size=(3, dim))[rng.integers(0, 3, n)] + 1e-3 * x
+    elif kind == "large":
+        x *= 1e20
+    elif kind == "small":
+        x *= 1e-25
+    elif kind == "in a small far group":
+        x[::20] = 30 + 0.01 * x[::20]
+    elif kind == "on a grid":
+        x = np.eye(dim)[rng.integers(0, dim, n)] * rng.integers(1, 40, (n, 1))
+    elif kind == "beyond double precision":
+        x *= 10.0 ** rng.choice([-170, 0, 170], size=(n, 1))
+    return x if kind == "beyond double precision" else x.astype(np.float32)
+
+
+def lists(spark, x, element="float", **options):
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], f"vec_id long, embedding array<{element}>").repartition(3)
+    got = {}
+    for r in ann.nearest_neighbours(spark, df, F.col("vec_id") % 50 == 0, **options).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.score, r.vec_id)
+    return {q: [found[k] for k in sorted(found)] for q, found in got.items()}
+
+
+def all_lists(x):
+    out = {}
+    x = np.asarray(x, float)
+    for q in range(0, len(x), 50):
+        with np.errstate(over="ignore"):
+            d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        out[q] = [(float(d[i]), int(i)) for i in np.lexsort((np.arange(len(x)), d)) if i != q][:10]
+    return out
+
+
+KINDS = ["far from zero", "of very different lengths", "in tight groups", "large", "small", "in a small far group", "on a grid", "beyond double precision"]
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_no_neighbour_is_missed(spark, monkeypatch, kind):
+    """Rows whose scores or cells say little: the lists are those of brute force, ties included."""
+    monkeypatch.setattr(ann, "UNIT_ROWS", 300)
+    x = hard_rows(kind, np.random.default_rng(3))
+    assert lists(spark, x, "double" if kind.startswith("beyond") else "float", rerank=20) == all_lists(x)
+
+
+def test_second_pass_finds_what_the_first_cell_lacks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "UNIT_ROWS", 100)
+    monkeypatch.setattr(ann.Index, "_measured", lambda *_: 1)
+    rng = np.random.default_rng(4)
+    for x in (rng.normal(size=(1000, 8)), rng.normal(size=(12, 8))[rng.integers(0, 12, 1000)] + 0.2 * rng.normal(size=(1000, 8))):
+        x = x.astype(np.float32)
+        assert lists(spark, x, rerank=20) == all_lists(x)
+
+
+def test_cells_too_far_are_left_out():
+    rng = np.random.default_rng(5)
+    x = 10 * rng.normal(size=(20, 8))[rng.integers(0, 20, 3000)] + 0.01 * rng.normal(size=(3000, 8))
+    made = ann.Index.fit(x, 3000 * ann.UNIT_ROWS // 100)
+    cells, far = made.cells(made.put(x))
+    radii = np.full(made.coarse.books.shape[1] ** 2, -1.0)
+    np.maximum.at(radii, cells, far)
+    limits = np.array([np.sort(np.sqrt(((x - q) ** 2).sum(axis=1)))[11] for q in x[:50]])
+    may = made.may_hold(made.put(x[:50]), limits, radii) & (radii >= 0)
+    for q, limit, row in zip(x[:50], limits, may, strict=True):
+        assert row[cells[np.sqrt(((x - q) ** 2).sum(axis=1)) <= limit]].all()
+    assert may.sum(axis=1).mean() <= (radii >= 0).sum() / 2
+
+
+def test_one_id_in_many_rows_does_not_fill_the_candidates(spark):
+    rng = np.random.default_rng(6)
+    rows = [(100, [float(v) for v in 1 + 1e-3 * rng.normal(size=8)]) for _ in range(300)]
+    rows += [(i, [float(v) for v in 1 + rng.normal(size=8)]) for i in range(1, 60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest_neighbours(spark, df, F.col("vec_id") % 100 == 0, k=3).collect():
+        got.setdefault(r["rank"], []).append((r.score, r.vec_id))
+    x = np.array([v for _, v in rows])
+    want = [sorted((float(d), i) for d, (i, _) in zip(np.sqrt(((x - x[q]) ** 2).sum(axis=1)), rows, strict=True) if i != 100)[:3] for q in range(300)]
+    assert {n: sorted(found) for n, found in got.items()} == {n: sorted(w[n - 1] for w in want) for n in (1, 2, 3)}
