@@ -180,3 +180,18 @@ def test_one_id_in_many_rows_does_not_fill_the_candidates(spark):
     x = np.array([v for _, v in rows])
     want = [sorted((float(d), i) for d, (i, _) in zip(np.sqrt(((x - x[q]) ** 2).sum(axis=1)), rows, strict=True) if i != 100)[:3] for q in range(300)]
     assert {n: sorted(found) for n, found in got.items()} == {n: sorted(w[n - 1] for w in want) for n in (1, 2, 3)}
+
+
+@pytest.mark.parametrize("probes", [1, 100])
+def test_repeated_ids_and_vectors_in_many_cells(spark, monkeypatch, probes):
+    monkeypatch.setattr(ann, "UNIT_ROWS", 30)
+    monkeypatch.setattr(ann.Index, "_measured", lambda *_: probes)
+    rng = np.random.default_rng(7)
+    rows = [(int(i), [float(v) for v in x]) for i, x in zip(rng.integers(0, 120, 700), rng.integers(1, 6, (700, 3)), strict=True)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = [(r.query_id, r["rank"], r.score, r.vec_id) for r in ann.nearest_neighbours(spark, df, F.col("vec_id") % 20 == 0, k=4, rerank=6).collect()]
+    want, x = [], np.array([v for _, v in rows])
+    for q, v in {(i, tuple(v)) for i, v in rows if i % 20 == 0}:
+        near = sorted((float(d), i) for d, (i, _) in zip(np.sqrt(((x - v) ** 2).sum(axis=1)), rows, strict=True) if i != q)[:4]
+        want += [(q, n, d, i) for n, (d, i) in enumerate(near, 1)]
+    assert sorted(got) == sorted(want)
